@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, simple8b
-from .common import read
+from . import langid, mixing, packing, simple8b, toxicity
+from .common import crc_bucket, read
 
 
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +22,18 @@ def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_best_fit": op3_best_fit, "op4_mix": op4_mix, "op6_simple8b": op6_simple8b}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"), crc_bucket(F.col("doc_id")) != 0)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_bucket(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), "score")
+    return scored.select("doc_id", (crc_bucket(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit, op4_mix, op6_simple8b, op8_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
