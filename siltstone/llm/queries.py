@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simple8b, toxicity
+from . import chosen_path, langid, mixing, packing, simple8b, toxicity
 from .common import crc_bucket, read
 
 
@@ -18,6 +18,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(read(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit, op4_mix, op6_simple8b, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_best_fit, op4_mix, op5_near_duplicates, op6_simple8b, op8_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
