@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, langid, maxscore, mixing, packing, simple8b, toxicity
+from . import chosen_path, fingerprint, langid, maxscore, mixing, packing, simple8b, toxicity
 from .common import crc_bucket, read
 
 
@@ -13,6 +13,10 @@ def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest_rows(read(spark, sf_dir, "documents"))
+
+
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op3_best_fit, op4_mix, op5_near_duplicates, op6_simple8b, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_order_minhash, op3_best_fit, op4_mix, op5_near_duplicates, op6_simple8b, op8_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore": """
         WITH v AS (
