@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, fingerprint, langid, maxscore, mixing, packing, simple8b, toxicity
+from . import chat, chosen_path, fingerprint, langid, maxscore, mixing, packing, quality, simple8b, toxicity
 from .common import crc_bucket, read
 
 
@@ -34,6 +34,11 @@ def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1")
+    return quality.classify(read(spark, sf_dir, "documents"), trusted)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs.select("doc_id", "text", "lang"), crc_bucket(F.col("doc_id")) != 0)
@@ -41,13 +46,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_bucket(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), "score")
     return scored.select("doc_id", (crc_bucket(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op2_order_minhash, op3_best_fit, op4_mix, op5_near_duplicates, op6_simple8b, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_order_minhash, op3_best_fit, op4_mix, op5_near_duplicates, op6_simple8b, op7_quality, op8_language_id, op9_chat, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore": """
         WITH v AS (
@@ -60,4 +69,14 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_chat": """
+        WITH c AS (
+            SELECT conv_id, list((role, text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l,
+                   string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), ''
+                              ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+            FROM conversations GROUP BY conv_id),
+        o AS (SELECT min(conv_id) AS conv_id, l, any_value(rendered) AS rendered FROM c GROUP BY l)
+        SELECT conv_id, CAST(len(l) AS BIGINT) AS turns, CAST(0 AS INTEGER) AS part, rendered
+        FROM o
+        WHERE NOT EXISTS (SELECT 1 FROM o b WHERE len(b.l) > len(o.l) AND b.l[1:len(o.l)] = o.l)""",
 }
