@@ -22,12 +22,14 @@ doc_id are not linked and kept, with a null component; an empty table gives an e
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_scratch, materialize, ship
+from .common import drop_scratch, materialize, ship
 from .components import components
 from .shingles import digest, minwise, shingle_sets, similar
 
@@ -35,7 +37,7 @@ TOKENS = 64
 TREES = 10
 #: Tokens of each tree's root; trees share none of them.
 ROOT_TOKENS = 2
-NODE = 2048
+NODE = 8192
 PIVOTS = 8
 #: Expected children in common of a pair at the threshold, below the root.
 CHILDREN = 1.1
@@ -46,7 +48,7 @@ BROADCAST_CANDIDATES = 1_000_000
 
 
 def sketches(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), digest (of the set), sketch (TOKENS 32-bit tokens; null for the empty set)."""
+    """doc_id, n (set size), digest (of the set), sketch (TOKENS 32-bit tokens) and low (a byte of each); null for the empty set."""
     ship(documents.sparkSession)
 
     def run(batches):
@@ -54,12 +56,13 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
             for a in range(0, batch.num_rows, 500):
                 b = batch.slice(a, 500)
                 sets = shingle_sets([x.as_py() or b"" for x in b.column(1)], size)
+                tokens = [minwise(s, TOKENS).astype("<u4").tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([minwise(s, TOKENS).astype("<u4").tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "n", "digest", "sketch"],
+                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(tokens, pa.binary()), pa.array([t and t[::4] for t in tokens], pa.binary())],
+                    names=["doc_id", "n", "digest", "sketch", "low"],
                 )
 
-    return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, digest binary, sketch binary")
+    return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, digest binary, sketch binary, low binary")
 
 
 def _child(node: Column, i: Column | int) -> Column:
@@ -88,17 +91,19 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def agreements(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows (a < b) that agree on at least so many tokens, and on how many."""
-    low = np.ascontiguousarray(tokens & 0xFF).astype(np.uint8)
+def agreements(low: np.ndarray, least: int):
+    """For each row in turn: the later rows that agree with it on at least so many tokens, most alike first.
+
+    low: one byte of each token. Memory stays in proportion to the rows, however many pairs are alike.
+    """
     n = len(low)
-    found = []
-    for a in range(0, n, 64):
-        same = (low[a : a + 64, None, :] == low[None, a + 1 :, :]).sum(2, dtype=np.uint8)
-        x, y = np.nonzero(same >= least)
-        keep = y + a + 1 > x + a
-        found.append((x[keep] + a, y[keep] + a + 1, same[x[keep], y[keep]]))
-    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    step = max(1, min(64, (1 << 22) // max(1, n * TOKENS)))
+    for a in range(0, n, step):
+        same = (low[a : a + step, None, :] == low[None, a + 1 :, :]).sum(2, dtype=np.uint8)
+        for x in range(min(step, n - a)):
+            y = np.flatnonzero(same[x, x:] >= least) + x
+            if len(y):
+                yield a + x, y[np.argsort(same[x, y] ^ 0xFF, kind="stable")] + a + 1
 
 
 def grouped(batches, key: int):
@@ -120,7 +125,7 @@ def grouped(batches, key: int):
 
 
 def _candidates(least: int, percent: int):
-    """(node, rep, comp, n, sketch) sorted by node, to (grp, rep): documents of a node that may be linked across components."""
+    """(node, rep, comp, n, low) sorted by node, to (grp, rep): documents of a node that may be linked across components."""
 
     def run(batches):
         out_g, out_r = [], []
@@ -131,18 +136,19 @@ def _candidates(least: int, percent: int):
                 continue
             comp, size = cols[1][at], cols[2][at]
             raw = [x for r in rows for x in r.column(4).to_pylist()]
-            a, b, _ = agreements(np.frombuffer(b"".join([raw[i] for i in at.tolist()]), "<u4").reshape(-1, TOKENS), least)
-            lo, hi = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            keep = (comp[a] != comp[b]) & (100 * lo >= percent * hi)
-            a, b = a[keep], b[keep]
-            if not len(a):
+            parent, seen = list(range(len(rep))), set()
+            for x, y in agreements(np.frombuffer(b"".join([raw[i] for i in at.tolist()]), np.uint8).reshape(-1, TOKENS), least):
+                y = y[(comp[y] != comp[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+                for z in y.tolist():
+                    p, q = _find(parent, x), _find(parent, z)
+                    parent[max(p, q)] = min(p, q)
+                if len(y):
+                    seen.add(x)
+                    seen.update(y.tolist())
+            if not seen:
                 continue
-            parent = list(range(len(rep)))
-            for x, y in zip(a.tolist(), b.tolist()):
-                x, y = _find(parent, x), _find(parent, y)
-                parent[max(x, y)] = min(x, y)
             groups: dict[int, list[int]] = {}
-            for x in np.unique(np.concatenate([a, b])).tolist():
+            for x in sorted(seen):
                 groups.setdefault(_find(parent, x), []).append(x)
             for members in groups.values():
                 ids = rep[members]
@@ -169,15 +175,33 @@ def _confirm(size: int, percent: int, least: int):
             texts = [x.as_py() or b"" for r in rows for x in r.column(3)]
             sets = [s for i in range(0, len(texts), 200) for s in shingle_sets(texts[i : i + 200], size)]
             del texts
+            full = [i for i, x in enumerate(sets) if len(x)]
+            if len(full) < len(sets):
+                rep, comp, sets = ([v[i] for i in full] for v in (rep, comp, sets))
             first: dict[int, int] = {}
             parent = [first.setdefault(c, i) for i, c in enumerate(comp)]
-            a, b, same = agreements(np.array([minwise(s, TOKENS) if len(s) else np.zeros(TOKENS, np.uint32) for s in sets]), least)
-            order = np.argsort(-same.astype(np.int64), kind="stable")
-            for x, y in zip(a[order].tolist(), b[order].tolist()):
-                p, q = _find(parent, x), _find(parent, y)
-                if p != q and len(sets[x]) and len(sets[y]) and similar(sets[x], sets[y], percent):
-                    parent[max(p, q)] = min(p, q)
-                    links.append((rep[x], rep[y]))
+            sizes = np.array([len(x) for x in sets])
+            begin = np.cumsum(sizes) - sizes
+            names, flat = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
+            mark = np.zeros(len(names), np.uint8)
+            low = np.array([minwise(x, TOKENS) for x in sets], np.uint32).astype("<u4").view(np.uint8).reshape(len(sets), -1)[:, ::4]
+            for x, near in agreements(np.ascontiguousarray(low), least):
+                p = _find(parent, x)
+                near = [y for y in near.tolist() if _find(parent, y) != p]
+                if len(near) * 20 > len(sets):  # many at once: one pass over the whole group's shingles
+                    mine = flat[begin[x] : begin[x] + sizes[x]]
+                    mark[mine] = 1
+                    both = np.add.reduceat(mark[flat], begin, dtype=np.int64)
+                    mark[mine] = 0
+                    yes = 100 * both >= percent * (sizes + sizes[x] - both)
+                    near = [y for y in near if yes[y]]
+                else:
+                    near = [y for y in near if similar(sets[x], sets[y], percent)]
+                for y in near:
+                    p, q = _find(parent, x), _find(parent, y)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        links.append((rep[x], rep[y]))
             if len(links) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
                 links = []
@@ -191,7 +215,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, percent: int = 85, tree
     """doc_id, n_shingles, component_id, kept for every row."""
     spark = documents.sparkSession
     all_ = materialize(sketches(documents, size), "sketches")
-    classes = all_.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n", "sketch").agg(F.min("doc_id").alias("rep"))
+    classes = all_.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n", "sketch", "low").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     threshold = percent / 100
     least = int(np.ceil(TOKENS * threshold - MARGIN * np.sqrt(TOKENS * threshold * (1 - threshold))))
@@ -216,30 +240,32 @@ def near_duplicates(documents: DataFrame, size: int = 3, percent: int = 85, tree
         own = F.pmod(F.xxhash64("rep", "node"), blocks).cast("int")
         dealt = large.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))).select(F.xxhash64("node", "block").alias("node"), "rep", "comp")
         leaves = open_.filter(F.col("size") <= NODE).select("node", "rep", "comp").union(dealt)
-        leaves = leaves.join(classes.select("rep", "n", "sketch"), "rep").select("node", "rep", "comp", "n", "sketch").repartition("node").sortWithinPartitions("node")
+        leaves = leaves.join(classes.select("rep", "n", "low"), "rep").select("node", "rep", "comp", "n", "low").repartition("node").sortWithinPartitions("node")
         cand = materialize(leaves.mapInArrow(_candidates(least, percent), "grp long, rep long").distinct(), "candidates")
         if labels is not None:
             known = cand.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"))
         else:
             known = cand.withColumn("comp", F.col("rep"))
-        few = cand.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
+        some = cand.limit(BROADCAST_CANDIDATES + 1).count()
+        few = some <= BROADCAST_CANDIDATES
         full = texts.join(F.broadcast(known), "rep") if few else known.join(texts.hint("merge"), "rep")
         full = full.select("grp", "rep", "comp", "text").repartition("grp").sortWithinPartitions("grp", "rep")
-        found = materialize(full.mapInArrow(_confirm(size, percent, least), "a long, b long"), "links")
+        if some:
+            found = materialize(full.mapInArrow(_confirm(size, percent, least), "a long, b long"), "links")
+            links.append(found)
+            if found.limit(1).count():
+                old, labels = labels, components(reduce(DataFrame.union, links))
+                if old is not None:
+                    drop_scratch(old)
         drop_scratch(cand)
-        links.append(found)
-        every = links[0]
-        for x in links[1:]:
-            every = every.union(x)
-        old, labels = labels, components(every)
-        if old is not None:
-            drop_scratch(old)
         children = [roots(classes, range(1, trees))] if more else []
         more = False
         if large.limit(1).count():
             children.append(branch(large.select("node", "rep"), classes, percent))
         members = children[0].unionByName(children[1]) if len(children) == 2 else children[0] if children else None
         round_ += 1
+    if labels is None:
+        labels = spark.createDataFrame([], "id long, component long")
     merged = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     # Both sides of this join are shuffled by it alone, so AQE splits a hot group of copies.
     out = all_.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(merged, "digest", "left")
