@@ -75,7 +75,7 @@ def knn_ivf_recall(spark, sf_dir):
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     exact = knn.nearest(e, asked, 12).select("query_id", "vec_id")
     indexed, centers = knn.build_ivf(e, 16)
-    found = knn.probe_ivf(indexed, centers, asked, 12, 8).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    found = knn.probe_ivf(indexed, centers, asked, 12, 12).select("query_id", "vec_id", F.lit(1).alias("hit"))
     return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 

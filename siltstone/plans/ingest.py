@@ -56,7 +56,7 @@ def run_ingest(spark: SparkSession, repo_root: str | None = None, db_dir: str |
         # Vectors go to the cache table before anything reads them, so a retried task embeds but nothing embeds twice for good.
         n_new = misses.count()
         if n_new:
-            cache.upsert(vectors.validated(embedded(misses, model, make), "vector", dim).withColumn("vector", F.col("vector").cast(schema.VECTOR)), ["chunk_sha", "model"])
+            cache.upsert(vectors.validated(embedded(misses, model, make), "vector", dim).withColumn("vector", F.col("vector").cast("array<float>")), ["chunk_sha", "model"])
         with_vectors = store.cache_lookup(rows.withColumn("chunk_sha", F.col("content_sha")), cache.read(), model).select(*schema.CHUNKS.names)
         n_chunks = rows.count()
         if n_chunks:
