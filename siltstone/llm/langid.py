@@ -12,7 +12,8 @@ the learned languages in the model.
 
 Edge cases: a null text or one without letters is `und` with score 0 and no spans; ties go to the language that comes
 first by name; null languages are not learned; repeated rows get the same answer; with nothing to learn from every text
-is `und`; an empty table gives an empty result.
+is `und`; an empty table gives an empty result; other columns pass through, but for those named like a result, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def _counts(languages: list[str]):
                 cp, part = code_points(parts)
                 lang = langs[np.array(index)][part]
                 for at, bucket in hashed(cp, SIZES, BITS):
-                    total += np.bincount(bucket.astype(np.int64) * n + lang[at], minlength=size * n)
+                    total += np.bincount(bucket.astype(np.int64) * n + lang[at + 1], minlength=size * n)
                 at = np.flatnonzero(cp)
                 total += np.bincount(((1 << BITS) + _scripts(cp[at])) * n + lang[at], minlength=size * n)
         at = np.flatnonzero(total)
@@ -159,7 +160,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.Struc
 
 def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], switch: float = SWITCH, spans: bool = True) -> DataFrame:
     """documents plus lang_pred, lang_score (the share of words in that language) and lang_spans."""
-    spark = documents.sparkSession
+    spark, documents = documents.sparkSession, documents.drop("lang_pred", "lang_score", "lang_spans")
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # 2**BITS floats per language
     where = documents.columns.index("text")

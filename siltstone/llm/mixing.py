@@ -7,7 +7,7 @@ sources meet their targets too.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; repeated ids get the same
 copies (the seed is the id), a null id counts as the empty id; an empty table gives an empty result; other columns pass
-through, and working columns are named with a leading underscore pair that `documents` must not use.
+through, but for those named like a result or a working column (_key, _copy), which are replaced.
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seeds: int = SEEDS) -> DataFrame:
     """documents plus size, source_size, target and copies (how often the mix takes the document)."""
+    documents = documents.drop("size", "source_size", "target", "copies")
     sized = documents.withColumn("size", words(F.col("text")))
     sizes = materialize(sized.select("doc_id", "source", "size"), "sizes")
     targets = source_targets(sizes, weights, limit)

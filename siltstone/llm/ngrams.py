@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters handled at once.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -56,7 +56,10 @@ def code_points(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed(cp: np.ndarray, sizes: range, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size: (start places, buckets) of the n-grams whose inner characters are all letters."""
+    """For each size: (start places, buckets) of the n-grams whose inner characters are all letters.
+
+    A gram may start at the boundary before its part; its second place is always in the part it belongs to.
+    """
     h = cp.astype(np.uint32)
     ok = np.ones(len(cp), bool)
     letter = cp != 0

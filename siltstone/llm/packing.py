@@ -10,7 +10,7 @@ source or group of copies meets in one task. A task takes `tokens_per_task` toke
 half-full bins at its end are a constant small share.
 
 Edge cases: a null or empty text is the single end id; repeated rows are packed as often as they occur; an empty table
-gives an empty result; other columns pass through unless they bear a result's name.
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

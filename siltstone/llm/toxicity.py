@@ -9,7 +9,8 @@ features. The rows that go to the driver are one bitmap of FEATURES bits for eac
 
 Edge cases: null and empty texts get the model's bias, a score like any other; a null doc_id in labels matches nothing;
 an id with several labels counts once per distinct label; repeated documents are scored alike; with no training rows of
-one label every score is that of the prior; an empty table gives an empty result.
+one label every score is that of the prior; an empty table gives an empty result; other columns pass through, but for
+one named like the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ BITS = 20
 FEATURES = 8192
 SAMPLE = 10_000
 MIN_ROWS = 3
-PENALTY = 1e-4
+#: A telling bucket's rows are so many times (e to this power) as frequent under one label; this also keeps rows sparse.
+MIN_RATIO = 1.0
+PENALTY = 1e-3
 
 
 def present(texts: list[str | None], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +46,7 @@ def present(texts: list[str | None], table: np.ndarray | None = None) -> tuple[n
                 slot = table[bucket]
                 hit = np.flatnonzero(slot >= 0)
                 at, bucket = at[hit], slot[hit]
-            mine.append(of[part[at]] << BITS | bucket.astype(np.int64))
+            mine.append(of[part[at + 1]] << BITS | bucket.astype(np.int64))
         keys.append(np.unique(np.concatenate(mine)))
     keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return keys >> BITS, keys & ((1 << BITS) - 1)
@@ -146,7 +149,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
     if not np_ or not nq:
         return Model(table, np.zeros(0), float(np.log((np_ + 1) / (nq + 1))))
     ratio = F.log((F.col("p") + 1) / (np_ + 2)) - F.log((F.col("q") + 1) / (nq + 2))
-    telling = counted.filter(F.col("p") + F.col("q") >= MIN_ROWS).withColumn("r", ratio).withColumn("z", F.abs(F.col("r")) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1)))
+    telling = counted.filter(F.col("p") + F.col("q") >= MIN_ROWS).withColumn("r", ratio).withColumn("z", F.abs(F.col("r")) - F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))).filter(F.abs("r") >= MIN_RATIO)
     best = telling.orderBy(F.desc("z"), "bucket").limit(features).select("bucket", "r").collect()
     r = np.array([b["r"] for b in best])
     table[[b["bucket"] for b in best]] = np.arange(len(best))
@@ -158,7 +161,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
         at.append(np.full(len(on), i, np.int32))
         col.append(on.astype(np.int32))
     at, col = np.concatenate(at), np.concatenate(col)
-    val = r[col]
+    val = r[col].astype(np.float32)
+    del got
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both labels weigh the same
 
     def loss(w):
@@ -174,7 +178,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
 
 def score(documents: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
     """documents plus `column`, the probability of the label."""
-    spark = documents.sparkSession
+    spark, documents = documents.sparkSession, documents.drop(column)
     ship(spark)
     shared = spark.sparkContext.broadcast((model.table, model.weight, model.bias))  # 4 MB by construction
     where = documents.columns.index("text")

@@ -1,0 +1,267 @@
+import hashlib
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.llm import chat, chosen_path, components, fingerprint, maxscore, mixing
+from siltstone.llm.shingles import minwise, overlap, shingle_sets, similar
+
+
+# ---- near-duplicates
+
+def _sets(rows, size):
+    out = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        out[i] = frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset()
+    return out
+
+
+def _brute(rows, size, percent):
+    sets = _sets(rows, size)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def _family(n, seed=1):
+    """Texts, exact copies, and copies edited more and less around the threshold."""
+    rng = np.random.default_rng(seed)
+    vocab = [f"w{k}" for k in range(400)]
+    rows, i = [], 0
+    for _ in range(n):
+        base = list(rng.choice(vocab, int(rng.integers(2, 90))))
+        for edits in (0, 0, 1, 2, 3, 5):
+            words = base[:]
+            for _ in range(edits):
+                words[int(rng.integers(len(words)))] = "edit" + str(rng.integers(1000))
+            text = " ".join(words)
+            rows.append((i, text.upper() if edits == 0 and i % 2 else text))
+            i += 1
+    return rows
+
+
+@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_against_all_pairs(spark, size, percent):
+    rows = _family(40) + [(9000, None), (9001, ""), (9002, " \n"), (9003, "one"), (9004, "One"), (9005, "one two"), (9006, "one  two\n")]
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _brute(rows, size, percent)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_large_nodes_branch_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "NODE", 8)
+    rows = [(i, t) for i, (_, t) in enumerate(_family(1, 4) * 3 + _family(30, 5))]
+    base = " ".join(f"c{k}" for k in range(80))
+    rows += [(1000 + i, base.replace(f"c{i} ", f"x{i} ")) for i in range(60)]
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _brute(rows, 3, 85)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, none, long_text):
+    got = chosen_path.near_duplicates(odd).orderBy("doc_id", "n_shingles").collect()
+    assert len(got) == 9 and [r.kept for r in got if r.doc_id is None] == [True]
+    assert [r.component_id for r in got if r.doc_id == 5] == [5, 5]
+    assert chosen_path.near_duplicates(none).count() == 0
+    two = spark.createDataFrame([(1, long_text), (2, long_text + "end")], "doc_id long, text string")
+    assert {r.component_id for r in chosen_path.near_duplicates(two).collect()} == {1}
+
+
+def test_components_by_both_ways(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2040)]
+    want = {r: min(c) for c in _groups(edges) for r in c}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (10**6, 0):
+        got = {r.id: r.component for r in components.components(df, few).collect()}
+        assert got == {k: want[k] for k in got} and set(got) == {x for a, b in edges if a != b for x in (a, b)}
+
+
+def _groups(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    out = defaultdict(set)
+    for x in list(parent):
+        out[find(x)].add(x)
+    return out.values()
+
+
+def test_sets_and_sketches():
+    a, b, e = shingle_sets([b"The cat sat on the mat", b"the CAT sat  on\tthe mat", b""], 3)
+    assert (a == b).all() and len(a) == 4 and not len(e) and similar(a, b, 100) and overlap(a, e) == 0
+    x, y = np.arange(1, 9001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(1501, 10501, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x.sort(), y.sort()
+    assert abs((minwise(x, 512) == minwise(y, 512)).mean() - 7500 / 10500) < 0.08
+
+
+# ---- mixing
+
+def _mix_brute(rows, seeds):
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, (_, t, _) in enumerate(rows)}
+    order = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, r in enumerate(rows) if r[2] == s) for s in order}
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    free = set(order)
+    while True:
+        by, spare = sum(weight[s] for s in free), sum(total.values()) - sum(3 * total[s] for s in order if s not in free)
+        over = {s for s in free if 3 * total[s] * by < weight[s] * spare}
+        if not over:
+            break
+        free -= over
+    target = {s: weight[s] * spare / by if s in free else 3.0 * total[s] for s in order}
+    draw = lambda i, k: int(hashlib.md5(f"{k}:{'' if rows[i][0] is None else rows[i][0]}".encode()).hexdigest()[:8], 16)
+    taken = {}
+    for s in order:
+        mine = [i for i, r in enumerate(rows) if r[2] == s]
+        rate = target[s] / total[s] if total[s] else 0
+        whole, odds = int(rate), (rate - int(rate)) * 2**32
+        best = min(range(seeds), key=lambda k: (abs(total[s] * whole + sum(size[i] for i in mine if draw(i, k) < odds) - target[s]), k))
+        for i in mine:
+            taken[i] = size[i] * (whole + (draw(i, best) < odds))
+    return size, total, target, taken
+
+
+def test_mixing_against_brute_force(spark, odd):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(0, 40)), f"s{rng.integers(7)}" if i % 11 else None) for i in range(400)] + [(400 + i, "word " * 2, "tiny") for i in range(3)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas().set_index("doc_id")
+    size, total, target, taken = _mix_brute(rows, mixing.SEEDS)
+    for i, (d, _, s) in enumerate(rows):
+        r = got.loc[d]
+        assert (r["size"], r.source_size, r["size"] * r.copies) == (size[i], total[s], taken[i]) and abs(r.target - target[s]) < 1e-6
+    mixed = mixing.mix(odd)
+    assert mixed.count() == 9 and "_part" in mixed.columns
+    assert mixing.emit(mixed, odd.columns).columns == odd.columns
+
+
+def test_mixing_nothing(none):
+    assert mixing.mix(none).count() == 0
+
+
+# ---- fingerprints
+
+def test_edited_texts_and_likeness(spark, odd):
+    rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = {(r.doc_id, r.n_chars): r for r in fingerprint.digest_rows(odd).collect()}
+    for k, (d, t) in enumerate(rows):
+        nxt, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert got[d, len(t)].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert got[2, 0].fingerprint == "" and got[2, 0].near_edited == 1.0
+
+
+def _omh(text, k=2, size=2):
+    """Occurrence-numbered k-mers in text order; which tuples the bins hold is checked by properties only."""
+    words = re.findall(r"\S+", text)
+    seen, out = defaultdict(int), []
+    for i in range(max(min(len(words), 1), len(words) - k + 1)):
+        g = tuple(words[i : i + k])
+        out.append((g, seen[g]))
+        seen[g] += 1
+    return out
+
+
+def test_fingerprints_see_edits_and_order(spark, long_text):
+    words = [f"w{i}" for i in range(600)]
+    base = " ".join(words)
+    one = " ".join(["x", *words[1:]])
+    half = " ".join([*words[:300], *(f"v{i}" for i in range(300))])
+    moved = " ".join([*words[300:], *words[:300]])
+    texts = [base, base, one, half, moved, "other " * 10, "a b a b a b a b", long_text]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fp = {r.doc_id: r.fp for r in fingerprint.with_fingerprint(df, "text", "fp").collect()}
+    like = lambda a, b: len(set(fp[a]) & set(fp[b])) / len({x >> 32 for x in fp[a]} | {x >> 32 for x in fp[b]})
+    assert fp[0] == fp[1] and like(0, 2) > 0.9 > like(0, 3) > like(0, 5) and like(0, 4) < 0.75
+    filled = {i: len(fp[i]) for i in fp}
+    assert filled[0] == 64 and filled[6] <= len(_omh(texts[6])) and all(len({x >> 32 for x in f}) == len(f) for f in fp.values())
+
+
+def test_next_rows_over_many_ranges(spark):
+    df = spark.createDataFrame([(i * i, f"t{i}") for i in range(200)], "doc_id long, text string").repartition(7)
+    for buckets in (1, 5, 600):
+        got = {r.doc_id: r.next_text for r in fingerprint.with_next(df, ["text"], buckets=buckets).collect()}
+        assert got == {i * i: f"t{(i + 1) % 200}" for i in range(200)}
+    assert fingerprint.digest_rows(df.limit(0)).count() == 0
+
+
+def test_fingerprints_stay_native(spark):
+    plan = fingerprint.digest_rows(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# ---- search
+
+def _exact(rows, asked, k):
+    out = {}
+    for i in asked:
+        q = rows[i]
+        scores = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows.items() if j != i))[:k]
+        out[i] = [(j, -s) for s, j in scores]
+    return out
+
+
+@pytest.mark.parametrize("shard,block", [(64, 3), (10_000, 10_000)])
+def test_search_against_all_pairs(spark, shard, block):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.2, (900, 16)).astype(np.float32)
+    x[100:300] = x[0]  # ties
+    odd = [(2000, None), (2001, [float("nan")] * 16), (2002, [None] * 16), (2003, [float("inf")] * 16), (None, [1.0] * 16), (2004, [0.5, -0.5]), (2020, [])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in maxscore.top_k(df, F.col("vec_id") % 20 == 0, 20, shard=shard, block=block).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    rows = {i: np.floor(64 * v.astype(float)).astype(int).tolist() for i, v in enumerate(x)} | {2004: [32, -32], 2020: []}
+    assert got == _exact(rows, [i for i in rows if i % 20 == 0], 20)
+
+
+def test_search_of_few_rows(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in maxscore.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 64 * 128)]
+    assert maxscore.top_k(df.limit(0), F.lit(True)).count() == 0
+    assert maxscore.top_k(df.limit(1), F.lit(True)).count() == 0
+
+
+# ---- chats
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def test_only_maximal_conversations_stay(spark):
+    a = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None)]
+    convs = {1: a[:2], 2: a, 3: a[:2], 4: a, 5: [("user", "hi"), ("assistant", "other")], 6: [("user", None)], 7: [("user", "")], None: [("system", "x"), ("user", "y")]}
+    rows = [(c, i, r, t) for c, l in convs.items() for i, (r, t) in enumerate(l)]
+    for stride in (1, 3, 512):
+        got = defaultdict(str)
+        for r in chat.format_chats(spark.createDataFrame(rows, TURNS), stride=stride).orderBy("conv_id", "part").collect():
+            got[r.conv_id] += r.rendered
+        assert got == {c: "".join(f"<|{r}|>\n{t or ''}<|end|>\n" for r, t in convs[c]) for c in (2, 5, 6, 7, None)}
+
+
+def test_odd_turns(spark):
+    rows = [(1, None, "user", "b"), (1, 5, None, "c"), (1, 5, "user", "d"), (2, 0, "user", "b"), (2, 1, None, "c")]
+    got = {r.conv_id: r.turns for r in chat.format_chats(spark.createDataFrame(rows, TURNS)).collect()}
+    assert got == {1: 3}
+    assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
+    plan = chat.format_chats(spark.createDataFrame(rows, TURNS))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
