@@ -69,6 +69,39 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op4_mix": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        n AS (SELECT *, 3 * source_size AS cap, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+        r AS (
+            SELECT *, sum(cap) OVER o - cap AS capped, sum(w) OVER () - sum(w) OVER o + w AS rest, sum(source_size) OVER () AS total
+            FROM n WINDOW o AS (ORDER BY cap / w, source ROWS UNBOUNDED PRECEDING)),
+        f AS (SELECT CAST(total - capped AS DOUBLE) AS spare, CAST(rest AS DOUBLE) AS rest FROM r WHERE cap * rest >= w * (total - capped) ORDER BY cap / w, source LIMIT 1),
+        t AS (SELECT source, source_size, CASE WHEN cap * f.rest >= w * f.spare THEN w * f.spare / f.rest ELSE CAST(cap AS DOUBLE) END AS target FROM n, f),
+        u AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+        v AS (SELECT *, CASE WHEN source_size > 0 THEN (target / source_size - whole) * 4294967296.0::DOUBLE ELSE 0 END AS odds FROM u),
+        x AS (
+            SELECT d.*, v.* EXCLUDE (source), seed, CAST('0x' || substr(md5(seed || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) < odds AS extra
+            FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source, range(32) AS seeds(seed)),
+        y AS (SELECT source, seed, abs(any_value(source_size) * any_value(whole) + sum(CASE WHEN extra THEN size ELSE 0 END) - any_value(target)) AS off FROM x GROUP BY source, seed),
+        z AS (SELECT source, arg_min(seed, (off, seed)) AS best FROM y GROUP BY source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + CASE WHEN extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM x JOIN z ON x.source IS NOT DISTINCT FROM z.source AND x.seed = z.best""",
+    "op5_near_duplicates": r"""
+        WITH RECURSIVE l AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS h
+            FROM l),
+        g AS (SELECT doc_id, len(h) AS n, unnest(h) AS h FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        c AS (SELECT doc_id, doc_id AS x FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.x = e.a)
+        SELECT s.doc_id, CAST(len(s.h) AS BIGINT) AS n_shingles, m.x AS component_id, s.doc_id = m.x AS kept
+        FROM s JOIN (SELECT doc_id, min(x) AS x FROM c GROUP BY doc_id) m USING (doc_id)""",
     "op9_chat": """
         WITH c AS (
             SELECT conv_id, list((role, text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l,
