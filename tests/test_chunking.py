@@ -90,3 +90,13 @@ def test_legacy_java():
     got = definitions.chunk_java("public class A {\n int x;\n public void foo(int a) { if (a) { b(); } }\n}\n", 100)
     assert [s for _, s in got] == [None, "foo", None]
     assert definitions.chunk_java("plain", 100) == [("plain", None)]
+
+
+def test_sql_names(spark):
+    from siltstone.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([("java", "class A { void f() { } }"), ("text", "plain")], "lang string, content string").createOrReplaceTempView("files")
+    got = spark.sql("SELECT lang, c.symbol FROM files, LATERAL chunk_text(lang, files.content, 100, 0) c ORDER BY lang, chunk_idx").collect()
+    assert [tuple(r) for r in got] == [("java", "A"), ("java", "A.f"), ("text", "")]
+    assert spark.sql("SELECT count(*) FROM split_by_size('aaaa bbbb', 4)").first()[0] == 3
