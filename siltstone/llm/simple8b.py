@@ -32,21 +32,26 @@ COUNTS = np.array([0, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 0
 
-BLOCK = 4096
+BLOCK = 1024
 SHARD_IDS = 1 << 20
 MAGIC = b"S8B1"
 _HEAD = struct.Struct("<4sIQIQ")
 
 
+_WIDTH16 = np.zeros(1 << 16, np.uint8)
+for _b in range(16):
+    _WIDTH16[1 << _b : 2 << _b] = _b + 1
+
+
 def _widths(v: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
-    w = np.zeros(v.shape, np.int64)
-    x = v.copy()
-    for s in (32, 16, 8, 4, 2, 1):
-        big = x >> np.uint64(s) != 0
-        w[big] += s
-        x[big] >>= np.uint64(s)
-    return w + (x != 0)
+    if not len(v) or int(v.max()) < 1 << 16:
+        return _WIDTH16[v]
+    w = np.zeros(v.shape, np.uint8)
+    for s in (0, 16, 32, 48):
+        part = (v >> np.uint64(s)).astype(np.uint16)
+        w = np.where(part != 0, _WIDTH16[part] + np.uint8(s), w)
+    return w
 
 
 def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,35 +59,46 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     v = np.ascontiguousarray(ids, np.uint64)
     n = len(v)
     blocks = -(-n // BLOCK)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(1, np.uint64)
     width = _widths(v)
-    room = np.minimum(BLOCK, n - np.arange(n) // BLOCK * BLOCK) - np.arange(n) % BLOCK  # ids left in the block
-    # The longest run from each place whose widths all fit a selector; the last hit, with most ids, is the best.
-    best = np.zeros(n, np.int64)
-    fits_from = np.empty(n + 1, np.int64)
-    for sel in range(15, 0, -1):
-        bad = np.flatnonzero(width > BITS[sel])
-        fits_from = np.full(n, n, np.int64) if not len(bad) else np.append(bad, n)[np.searchsorted(bad, np.arange(n))]
-        run = np.minimum(fits_from - np.arange(n), room)
-        best[run >= COUNTS[sel]] = sel
-    step = np.where(best > 0, COUNTS[best], 1)
-    jump = (np.arange(n) + step).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at = jump[at]
-    starts = np.array(starts, np.int64)
+    room = np.tile(np.arange(BLOCK, 0, -1, dtype=np.uint16), blocks)[:n]  # ids left in the block
+    room[(blocks - 1) * BLOCK :] = np.arange(n - (blocks - 1) * BLOCK, 0, -1)
+    best = np.where(width <= BITS[15], np.uint8(15), np.uint8(ESCAPE))
+    # A selector of more ids has fewer bits, so where one fails all that follow do.
+    most = width.copy()
+    for sel in range(14, 0, -1):
+        for j in range(COUNTS[sel + 1], min(COUNTS[sel], n)):
+            np.maximum(most[: n - j], width[j:], out=most[: n - j])
+        fits = (most <= BITS[sel]) & (room >= COUNTS[sel])
+        if not fits.any():
+            break
+        best[fits] = sel
+    # Every block's words follow from its start: all blocks step on together.
+    step = COUNTS[best]
+    step[best == ESCAPE] = 1
+    at = np.arange(0, n, BLOCK)
+    end = np.minimum(at + BLOCK, n)
+    found = []
+    while len(at):
+        found.append(at)
+        at = at + step[at]
+        more = at < end
+        at, end = at[more], end[more]
+    starts = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
     sel = best[starts]
     size = np.where(sel == ESCAPE, 2, 1)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
-    words[place] = sel.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(sel):
+    for s in np.unique(sel).tolist():
         mine, where = starts[sel == s], place[sel == s]
+        word = np.full(len(mine), s << 60, np.uint64)
         if s == ESCAPE:
             words[where + 1] = v[mine]
-            continue
-        for k in range(COUNTS[s] if BITS[s] else 0):
-            words[where] |= v[mine + k] << np.uint64(int(BITS[s]) * k)
+        elif BITS[s]:
+            for k in range(COUNTS[s]):
+                word |= v[mine + k] << np.uint64(int(BITS[s]) * k)
+        words[where] = word
     offsets = np.append(place[np.searchsorted(starts, np.arange(blocks) * BLOCK)], len(words))
     return words, offsets.astype(np.uint64)
 
@@ -106,9 +122,9 @@ def decode_words(words: np.ndarray) -> np.ndarray:
         if s == ESCAPE:
             out[place[where]] = w[where + 1]
             continue
-        mask = np.uint64((1 << int(BITS[s])) - 1)
+        mask, word, at = np.uint64((1 << int(BITS[s])) - 1), w[where], place[where]
         for k in range(COUNTS[s] if BITS[s] else 0):
-            out[place[where] + k] = w[where] >> np.uint64(int(BITS[s]) * k) & mask
+            out[at + k] = word >> np.uint64(int(BITS[s]) * k) & mask
     return out
 
 

@@ -13,13 +13,12 @@ from collections.abc import Iterator
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of one generation of the cache; at most two generations are held.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Bytes of a text that are split at once.
 SLICE = 1 << 20
 
 _SPACE = re.compile(rb"[\x09-\x0d ]")
 _RUNS = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\x09-\x0d ]+")
-_LETTERS = re.compile(rb"[a-z\x80-\xff]+\Z")
 _ASCII = bytes(range(128))
 #: UTF-8 of the letters U+00C0 to U+017F whose lower case is one letter.
 _LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])*\Z")
@@ -46,15 +45,17 @@ class WordIds(dict):
         self._encode = (t := Tokenizer.from_file(path)).encode
         self._model = t.model.tokenize
         self._level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._bytes = [i.to_bytes(4, "little") for i in range(t.get_vocab_size())].__getitem__
         self._old: dict[bytes, bytes] = {}
         self._words = words
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self._old.get(word)
         if ids is None:
-            if _LETTERS.match(word) and len(word) <= 64 and _LATIN.match(rest := word.translate(None, _ASCII)):
-                s = word.decode().lower() if rest else word.decode()
-                ids = b"".join([x.id.to_bytes(4, "little") for x in self._model(self._level(s)[0][0] if rest else s)])
+            if word.isalpha() and len(word) <= 64:  # ASCII letters: the byte level leaves them as they are
+                ids = b"".join([self._bytes(x.id) for x in self._model(word.decode())])
+            elif word[0] > 96 and len(word) <= 64 and (rest := word.translate(None, _ASCII)) and _LATIN.match(rest) and (s := word.decode().lower()).isalpha():
+                ids = b"".join([self._bytes(x.id) for x in self._model(self._level(s)[0][0])])
             else:
                 ids = b"".join([i.to_bytes(4, "little") for i in self._encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids])
         if len(word) <= 64:
