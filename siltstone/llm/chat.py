@@ -26,42 +26,51 @@ STRIDE = 512
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
 
+#: A conversation's key: its id with 0 for null, and whether it is null. Two plain columns, so that windows, aggregates
+#: and joins on them share one partitioning.
+KEY = ["_conv", "_null"]
+
+
 def numbered(turns: DataFrame, stride: int = STRIDE) -> DataFrame:
-    """conv_id, run, position (from 0), role, text and the hashes p, q of the prefix that ends with each turn."""
-    cols = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / stride), F.lit(-(1 << 40))).alias("run"), "turn", "role", "text")
+    """conv_id, KEY, run, position (from 0), role, text and the hashes h, g of the turn at its position."""
+    cols = turns.select("conv_id", F.coalesce("conv_id", F.lit(0)).alias("_conv"), F.isnull("conv_id").alias("_null"), F.coalesce(F.floor(F.col("turn") / stride), F.lit(-(1 << 40))).alias("run"), "turn", "role", "text")
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    inside = W.partitionBy("conv_id", "run").orderBy(*order)
-    size = cols.groupBy("conv_id", "run").agg(F.count("*").alias("n"))
-    before = W.partitionBy("conv_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
-    first = size.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    key = F.col("l.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("l.run") == F.col("r.run"))
-    placed = cols.withColumn("k", F.row_number().over(inside) - 1).alias("l").join(first.alias("r"), key).select("l.*", (F.col("base") + F.col("k")).alias("position"))
+    size = cols.groupBy(*KEY, "run").agg(F.count("*").alias("n"))
+    first = size.select(*KEY, "run", F.coalesce(F.sum("n").over(_before()), F.lit(0)).alias("base"))
+    placed = cols.withColumn("k", F.row_number().over(W.partitionBy(*KEY, "run").orderBy(*order)) - 1).join(first, [*KEY, "run"]).withColumn("position", F.col("base") + F.col("k"))
     marks = [F.isnull("role"), F.coalesce("role", F.lit("")), F.isnull("text"), F.coalesce("text", F.lit(""))]
-    hashed = placed.withColumn("h", F.xxhash64("position", *marks)).withColumn("g", F.xxhash64(*marks, F.col("position"), F.lit("second")))
-    sums = hashed.groupBy("conv_id", "run").agg(F.expr("bit_xor(h)").alias("h"), F.expr("bit_xor(g)").alias("g"))
-    carry = sums.select("conv_id", "run", F.coalesce(F.expr("bit_xor(h)").over(before), F.lit(0)).alias("hb"), F.coalesce(F.expr("bit_xor(g)").over(before), F.lit(0)).alias("gb"))
-    upto = W.partitionBy("conv_id", "run").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    rolled = hashed.withColumn("hi", F.expr("bit_xor(h)").over(upto)).withColumn("gi", F.expr("bit_xor(g)").over(upto))
-    return rolled.alias("l").join(carry.alias("r"), key).select("l.conv_id", "l.run", "position", "role", "text", F.col("hi").bitwiseXOR(F.col("hb")).alias("p"), F.col("gi").bitwiseXOR(F.col("gb")).alias("q"))
+    return placed.select("conv_id", *KEY, "run", "position", "role", "text", F.xxhash64("position", *marks).alias("h"), F.xxhash64(*marks, F.col("position"), F.lit("second")).alias("g"))
+
+
+def _before():
+    return W.partitionBy(*KEY).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """conv_id, KEY, position and the hashes p, q of the prefix that ends with each turn."""
+    sums = rows.groupBy(*KEY, "run").agg(F.expr("bit_xor(h)").alias("h"), F.expr("bit_xor(g)").alias("g"))
+    carry = sums.select(*KEY, "run", F.coalesce(F.expr("bit_xor(h)").over(_before()), F.lit(0)).alias("hb"), F.coalesce(F.expr("bit_xor(g)").over(_before()), F.lit(0)).alias("gb"))
+    upto = W.partitionBy(*KEY, "run").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
+    rolled = rows.select("conv_id", *KEY, "run", "position", F.expr("bit_xor(h)").over(upto).alias("hi"), F.expr("bit_xor(g)").over(upto).alias("gi"))
+    return rolled.join(carry, [*KEY, "run"]).select("conv_id", *KEY, "position", F.col("hi").bitwiseXOR(F.col("hb")).alias("p"), F.col("gi").bitwiseXOR(F.col("gb")).alias("q"))
 
 
 def maximal(rows: DataFrame) -> DataFrame:
-    """conv_id and turns of the conversations that are no prefix of a longer one, one of each."""
-    ends = rows.groupBy("conv_id").agg((F.max("position") + 1).alias("turns"), F.max(F.struct("position", "p", "q")).alias("last"))
-    whole = ends.select("turns", F.col("last.p").alias("p"), F.col("last.q").alias("q"), "conv_id")
-    one = whole.groupBy("turns", "p", "q").agg(F.min("conv_id").alias("conv_id"))
+    """KEY and turns of the conversations that are no prefix of a longer one, one of each."""
+    ends = rows.groupBy(*KEY).agg((F.max("position") + 1).alias("turns"), F.max_by("p", "position").alias("p"), F.max_by("q", "position").alias("q"))
+    # Of equal conversations the smallest id stays; one without an id yields to any that has one.
+    one = ends.groupBy("turns", "p", "q").agg(F.min(F.struct("_null", "_conv")).alias("first")).select("turns", "p", "q", "first._conv", "first._null")
     # A turn that is not its conversation's last ends a prefix of a longer one.
-    last = ends.select("conv_id", F.col("turns").alias("all"))
-    prefix = rows.alias("l").join(last.alias("r"), F.col("l.conv_id").eqNullSafe(F.col("r.conv_id"))).filter("position + 1 < all").select((F.col("position") + 1).alias("turns"), "p", "q").distinct()
-    return one.join(prefix, ["turns", "p", "q"], "left_anti").select("conv_id", "turns")
+    prefix = rows.join(ends.select(*KEY, F.col("turns").alias("all")), KEY).filter("position + 1 < all").select((F.col("position") + 1).alias("turns"), "p", "q").distinct()
+    return one.join(prefix, ["turns", "p", "q"], "left_anti").select(*KEY, "turns")
 
 
 def format_chats(turns: DataFrame, open_: str = OPEN, close: str = CLOSE, stride: int = STRIDE) -> DataFrame:
     """conv_id, turns (of the whole conversation), part (from 0), rendered; one row per run of a kept conversation."""
-    rows = materialize(numbered(turns, stride), "turn-hashes")
-    keep = maximal(rows.select("conv_id", "position", "p", "q"))
+    rows = materialize(numbered(turns, stride), "turns")
+    keep = materialize(maximal(materialize(prefixes(rows), "prefixes")), "kept-chats")
     start, _, end = open_.partition("{role}")
     piece = F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit(end), F.coalesce("text", F.lit("")), F.lit(close))
-    kept = rows.alias("l").join(keep.alias("r"), F.col("l.conv_id").eqNullSafe(F.col("r.conv_id"))).select("l.conv_id", "turns", "run", "position", piece.alias("piece"))
-    runs = kept.groupBy("conv_id", "turns", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda x: x["piece"]), "").alias("rendered"))
-    return runs.withColumn("part", F.row_number().over(W.partitionBy("conv_id").orderBy("run")) - 1).select("conv_id", "turns", "part", "rendered")
+    kept = rows.join(keep, KEY).select("conv_id", *KEY, "turns", "run", "position", piece.alias("piece"))
+    runs = kept.groupBy("conv_id", *KEY, "turns", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda x: x["piece"]), "").alias("rendered"))
+    return runs.withColumn("part", F.row_number().over(W.partitionBy(*KEY).orderBy("run")) - 1).select("conv_id", "turns", "part", "rendered")
