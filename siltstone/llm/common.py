@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,8 +24,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch, unless the session names another number than Spark's own: a worker holds few whole texts at once.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -44,9 +51,8 @@ def scratch_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if sc.master.startswith("local"):
-        own = os.path.join(tempfile.gettempdir(), "siltstone-scratch")
-        os.makedirs(own, exist_ok=True)
-        return own
+        os.makedirs(_own(), exist_ok=True)
+        return _own()
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siltstone_scratch"
 
 
@@ -58,12 +64,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def _cleanup(spark: SparkSession, path: str) -> None:
     try:
-        if spark.sparkContext._jsc is not None:
+        if path.startswith(_own()):
+            shutil.rmtree(path, ignore_errors=True)
+        elif spark.sparkContext._jsc is not None:
             _remove(spark, path)
     except Exception:  # the session is gone already: the cluster's own expiry clears the folder
         pass
 
 
+def _own() -> str:
+    return os.path.join(tempfile.gettempdir(), "siltstone-scratch")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark)}/siltstone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_cleanup, spark, path)
