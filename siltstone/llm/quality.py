@@ -62,10 +62,10 @@ def _count(batches):
             keys.append(k)
             counts.append(np.bincount(inverse, trusted[np.array(index)][part], len(k)).astype(np.int64))
             held += len(k)
-            if held > 4_000_000:
+            if held > 1_000_000:
                 k, c = _merge(keys, counts)
                 keys, counts, held = [k], [c], len(k)
-                if held > 2_000_000:
+                if held > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["g", "n"])
                     keys, counts, held = [], [], 0
     if keys:
@@ -112,8 +112,8 @@ def _scorer(shared, where: int):
     def run(batches):
         keys, logp = shared.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
                 total, chars = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
                 for index, parts in groups(batch.column(where).to_pylist()):
                     g, part = grams(parts)
