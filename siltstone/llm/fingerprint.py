@@ -15,6 +15,8 @@ doc_id are neighbours in text order; a null doc_id comes first; an empty table g
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -63,9 +65,11 @@ def _pick(bounds: list, lo: int, hi: int, id_: str) -> Column:
     return F.when(F.col(id_) >= bounds[mid], _pick(bounds, mid + 1, hi, id_)).otherwise(_pick(bounds, lo, mid, id_))
 
 
-def with_next(documents: DataFrame, columns: list[str], id_: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def with_next(documents: DataFrame, columns: list[str], id_: str = "doc_id", text: str = "text", buckets: int | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """documents plus next_<column> from the row that follows in ascending (id, text); the last row's is the first's.
 
+    prepare adds columns that are to be sent along; it runs once on each row.
+
     Ranges of ids are dealt out once. The first row of each range is also sent to the range before it, so nothing but
     range bounds and one id per range goes through the driver.
     """
@@ -86,13 +90,13 @@ def with_next(documents: DataFrame, columns: list[str], id_: str = "doc_id", tex
     order = [F.col("_ghost"), F.col(id_).asc_nulls_first(), F.col(text)]
     firsts = sorted((r["_bucket"], (r["lo"], r["nulls"])) for r in keyed.groupBy("_bucket").agg(F.min(id_).alias("lo"), F.max(F.col(id_).isNull()).alias("nulls")).collect())
     if not firsts:
-        return documents.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return prepare(documents).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     heads = [(None if nulls else lo, firsts[i - 1][0], i) for i, (_, (lo, nulls)) in enumerate(firsts)]
     sent = spark.createDataFrame([(h, b) for h, b, _ in heads], f"_head long, _to long")
     # One id per range: the broadcast has as many rows as there are ranges. Of rows that repeat an id the first by text is the head.
     ghosts = keyed.join(F.broadcast(sent), F.col(id_).eqNullSafe(F.col("_head"))).withColumn("_bucket", F.col("_to")).withColumn("_ghost", F.lit(1)).drop("_head", "_to")
     w = W.partitionBy("_bucket").orderBy(*order)
-    out = keyed.unionByName(ghosts)
+    out = prepare(keyed.unionByName(ghosts))
     for c in columns:
         out = out.withColumn(f"next_{c}", F.lead(c).over(w))
     return out.filter("_ghost = 0").drop("_bucket", "_ghost")
@@ -104,7 +108,7 @@ def fingerprints(documents: DataFrame, k: int = K, size: int = TUPLE) -> DataFra
     The edited text: the last half of the code points (rounded down) replaced by as many of the next document's first.
     """
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_fingerprint(docs, "text", "fp", k, size), ["text", "fp"])
+    docs = with_next(docs, ["text", "fp"], prepare=lambda df: with_fingerprint(df, "text", "fp", k, size))
     docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
     docs = docs.withColumn("edited", F.concat(F.expr("left(text, int(n_chars) - _half)"), F.expr("left(next_text, _half)"))).drop("text", "next_text", "_half")
     return with_fingerprint(docs, "edited", "edited_fp", k, size)
