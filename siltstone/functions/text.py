@@ -54,6 +54,12 @@ def preview(c: Column | str, n: int, more: str = "...") -> Column:
     return F.concat(F.left(c, F.lit(n)), F.when(F.length(c) > n, more).otherwise(""))
 
 
+def byte_slice(c: Column | str, start: int, end: int) -> Column:
+    """Text between two byte offsets of the UTF-8 form; a cut character becomes U+FFFD."""
+    raw = (F.col(c) if isinstance(c, str) else c).cast("binary")
+    return F.make_valid_utf8(F.substring(raw, start + 1, end - start).cast("string"))
+
+
 def tail(c: Column | str, cap: int) -> Column:
     """The last `cap` characters."""
     return F.right(c, F.lit(cap))

@@ -35,7 +35,9 @@ def build_ivf(vectors: DataFrame, cells: int, id_: str = "vec_id", vector: str =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = max(1, vectors.count())
+    n = vectors.filter(norm(vector) > 0).count()
+    if not n:  # nothing to index
+        return vectors.withColumn("cell", F.lit(0)).limit(0), []
     share = int(min(1.0, sample / n) * (1 << 20))
     unit = vectors.filter(norm(vector) > 0).withColumn("_unit", F.expr(f"transform(`{vector}`, x -> double(x))")).withColumn("_v", array_to_vector("_unit"))
     model = KMeans(k=min(cells, n), seed=seed, featuresCol="_v", predictionCol="cell", distanceMeasure="cosine", maxIter=10).fit(unit.filter(F.pmod(F.xxhash64(id_), F.lit(1 << 20)) < share))

@@ -24,5 +24,10 @@ HITS = _struct(id=_S, relpath=_S, chunk_idx=_I, content=_S, _distance=_D)
 FILE_ALIASES = {"rel_path": "relpath", "real_path": "realpath", "language": "lang", "text": "content"}
 
 
+def with_times(df: DataFrame, seconds: str = "mtime", out: str = "modified") -> DataFrame:
+    """Epoch seconds as a timestamp."""
+    return df.withColumn(out, F.timestamp_seconds(seconds))
+
+
 def with_file_aliases(files: DataFrame) -> DataFrame:
     return files.withColumns({alias: F.col(name) for alias, name in FILE_ALIASES.items()})

@@ -61,6 +61,22 @@ def file_row(path: str, root: str) -> tuple:
     return real, os.path.relpath(os.path.abspath(path), os.path.abspath(root)).replace(os.sep, "/"), real, os.path.islink(path), stat.st_size, stat.st_mtime
 
 
+def index_file(path: str, root: str, max_file_mb: float | None = None, encodings: list[str] | tuple[str, ...] = ENCODINGS) -> dict | None:
+    """One file as a record of the read columns; None if it is gone or its real size is over the limit."""
+    try:
+        row = file_row(path, root)
+        if max_file_mb and row[4] > int(max_file_mb * 1024 * 1024):
+            return None
+        with open(path, "rb") as f:
+            data = f.read()
+    except FileNotFoundError:
+        return None
+    content = decode_bytes(data, encodings)
+    sha = None if content is None else hashlib.sha256(content.encode("utf-8", "replace")).hexdigest()
+    names = [c.split()[0] for c in READ.split(", ")]
+    return dict(zip(names, (*row, hashlib.sha256(data).hexdigest(), sha, content, None if content is not None else "no encoding fits")))
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
@@ -84,15 +100,12 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Files) -> Iterator[tuple]:
         for path in partition.paths:
             try:
-                row = file_row(path, self.root)
-                with open(path, "rb") as f:
-                    data = f.read()
+                row = index_file(path, self.root, self.max_mb, self.encodings)
             except OSError as e:
                 yield (path, os.path.relpath(path, self.root), path, False, None, None, None, None, None, str(e))
                 continue
-            content = decode_bytes(data, self.encodings)
-            sha = None if content is None else hashlib.sha256(content.encode("utf-8", "replace")).hexdigest()
-            yield (*row, hashlib.sha256(data).hexdigest(), sha, content, None if content is not None else "no encoding fits")
+            if row is not None:
+                yield tuple(row.values())
 
 
 class RepoDataSource(DataSource):

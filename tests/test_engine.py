@@ -11,7 +11,7 @@ from siltstone.operators.store import Table
 from siltstone.plans.ingest import run_ingest
 from siltstone.plans.retrieval import chat_with_context, packed_context, query_repo
 from siltstone.session import ChatSession, Memory, MemoryConfig
-from siltstone.sources.repo import iter_files, read_repo
+from siltstone.sources.repo import index_file, iter_files, read_repo
 
 
 @pytest.fixture
@@ -47,6 +47,12 @@ def test_reading(spark, tree):
     assert got["src/main/Foo.java"].lang == "java" and got["link.xml"].is_symlink and got["link.xml"].sha256 == got["pom.xml"].sha256
 
 
+def test_one_file(tree):
+    got = index_file(str(tree / "caf.txt"), str(tree))
+    assert got["relpath"] == "caf.txt" and got["content"] and got["size_bytes"] == 4
+    assert index_file(str(tree / "gone"), str(tree)) is None and index_file(str(tree / "big.txt"), str(tree), 0.001) is None
+
+
 def _config(tmp_path, dim=16):
     p = tmp_path / "c.json"
     p.write_text(json.dumps({"embedding": {"model": "fake", "dim": dim}, "indexing": {"include_globs": ["**/*.java", "**/pom.xml"]}}))

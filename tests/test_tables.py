@@ -66,6 +66,14 @@ def test_languages_and_text(spark):
     assert tuple(one.first()) == ("User", "1.2 KB", "f", "a b")
 
 
+def test_bytes_times_and_empty_index(spark):
+    one = spark.createDataFrame([("\u00e9\u00e9x", 1.5)], "t string, mtime double")
+    assert one.select(text.byte_slice("t", 0, 3), text.byte_slice("t", 4, 9)).first()[:] == ("\u00e9\ufffd", "x")
+    assert schema.with_times(one).first().modified.microsecond == 500_000
+    none = spark.createDataFrame([], "vec_id int, embedding array<double>")
+    assert knn.build_ivf(none, 4)[1] == [] and knn.build_ivf(none, 4)[0].count() == 0
+
+
 def test_decoding(spark):
     data = [b"plain\r\nb\rc", "caf\u00e9".encode("latin-1"), "\u65e5\u672c".encode("cp932"), None, b"\xef\xbb\xbfx"]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, b binary").select("i", decoded("b").alias("t"))
