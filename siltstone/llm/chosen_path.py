@@ -42,7 +42,7 @@ PIVOTS = 8
 #: Expected children in common of a pair at the threshold, below the root.
 CHILDREN = 1.1
 #: Standard deviations that a sketch's estimate may lie below the threshold.
-MARGIN = 4.0
+MARGIN = 5.0
 #: Candidate rows (two longs) are broadcast to the scan of texts up to this count, else joined by shuffle.
 BROADCAST_CANDIDATES = 1_000_000
 
