@@ -265,3 +265,18 @@ def test_odd_turns(spark):
     assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
     plan = chat.format_chats(spark.createDataFrame(rows, TURNS))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_a_hot_conversation_is_spread_whatever_its_turn_numbers(spark):
+    rows = [(None, i % 10, ["user", None][i % 2], f"t{i % 7}") for i in range(1500)] + [(4, None, "user", "same")] * 1200 + [(5, 0, "user", "hi")]
+    df = spark.createDataFrame(rows, TURNS).repartition(3)
+    got = defaultdict(dict)
+    for r in chat.format_chats(df).collect():
+        got[r.conv_id, r.turns][r.part] = r.rendered
+    assert {k: sorted(v) for k, v in got.items()} == {(None, 1500): [0, 1, 2], (4, 1200): [0, 1, 2], (5, 1): [0]}
+    assert all(text.count("<|end|>") <= chat.STRIDE for parts in got.values() for text in parts.values())
+    for (c, _), parts in got.items():
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
+        assert "".join(parts[p] for p in sorted(parts)) == "".join(f"<|{r or ''}|>\n{t}<|end|>\n" for _, _, r, t in mine)
+    ranges = chat.placed(df).groupBy("conv_id", "range").count()
+    assert ranges.filter("conv_id = 4").count() > 1 and ranges.filter("conv_id IS NULL").count() > 1
