@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scratch import drop_scratch, materialize, scratch_path, scratch_root
+
 #: A side of a join is broadcast only when it was counted and has at most so many rows.
 BROADCAST_ROWS = 50_000
 
@@ -44,61 +42,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if sc.master.startswith("local"):
-        os.makedirs(_own(), exist_ok=True)
-        return _own()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siltstone_scratch"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _cleanup(spark: SparkSession, path: str) -> None:
-    try:
-        if path.startswith(_own()):
-            shutil.rmtree(path, ignore_errors=True)
-        elif spark.sparkContext._jsc is not None:
-            _remove(spark, path)
-    except Exception:  # the session is gone already: the cluster's own expiry clears the folder
-        pass
-
-
-def _own() -> str:
-    return os.path.join(tempfile.gettempdir(), "siltstone-scratch")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_root(spark)}/siltstone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_cleanup, spark, path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(*frames: DataFrame) -> None:
-    """Remove scratch tables that no later plan reads."""
-    for df in frames:
-        for f in df.inputFiles()[:1]:
-            folder = f.rsplit("/", 1)[0]
-            if "/siltstone-" in folder:
-                _remove(df.sparkSession, folder)
-
-
 def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side of a checked size: broadcast up to `limit` rows, else a shuffled join that AQE can split."""
     if right.limit(limit + 1).count() <= limit:

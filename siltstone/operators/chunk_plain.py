@@ -9,6 +9,7 @@ limit, neighbours are merged whole instead.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, strip
 from .chunk_size import split_by_size
+from .ranges import ranged, running
 
 BLANK = "\n\n"
 _GAP = re.compile(r"\n\s*\n")
@@ -160,6 +162,87 @@ def paragraph_array(text: Column | str) -> Column:
     return F.filter(F.transform(F.split(text, rf"\n[{WS}]*\n"), strip), lambda p: p != "")
 
 
+def split_rows(df: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """(group, pos, paragraph) of the group's texts joined by blank lines. A blank line parts paragraphs anyway, so each
+    text is split by itself and its paragraphs are numbered from the counts before it; no text holds a group."""
+    rows = ranged(df.select(group, order, text), [group], [order, text])
+    split = paragraph_array(text)
+    counted = running(rows, [group], F.coalesce(F.size(F.when(F.col(text).isNotNull(), split)), F.lit(0)))
+    return counted.select(group, "_before", F.posexplode(split).alias("i", "paragraph")).select(group, (F.col("_before") + F.col("i")).cast("int").alias("pos"), "paragraph")
+
+
+def packed_rows(df: DataFrame, group: str, order: str, text: str, limit: int) -> DataFrame:
+    """(group, chunk_idx, content): the paragraphs of split_rows packed, for paragraphs that all fit the limit: chunks
+    before any borrowing.
+
+    Only lengths are followed from row to row, range by range. A group that goes over several ranges hands each range
+    the size of its open chunk and its number of chunks; a first pass tells for each of its ranges what every possible
+    open chunk leads to, in one small row a range, and the driver follows these. Texts meet a chunk at a time.
+    """
+    spark = df.sparkSession
+    rows = ranged(df.select(group, order, text), [group], [order, text])
+    sizes = rows.select(group, "_range", "_k", F.when(F.col(text).isNotNull(), F.transform(paragraph_array(text), F.length)).alias("sizes"))
+    ones = running(sizes, [group]).select("_range", "_k", "_low", "_before", "_total", F.coalesce("sizes", F.array().cast("array<int>")).alias("sizes"))
+    here = ones.groupBy("_range", "_low").agg(F.count("*").alias("_here"), F.min("_before").alias("_first"))
+    wide = ones.join(here, ["_range", "_low"]).filter("_here < _total").select("_range", "_low", "_k", "_first", "sizes")
+
+    def lead(pdf):
+        """Of a group's rows in a range: what an open chunk of any size leads to."""
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("_k")
+        flat = np.concatenate([np.asarray(x, np.int64) for x in pdf["sizes"]] or [np.zeros(0, np.int64)])
+        m, ends = len(flat), np.concatenate([[0], np.cumsum(flat + 2)]).astype(np.int64)
+        after = np.maximum(np.searchsorted(ends, ends[:-1] + 2 + limit, "right") - 1, np.arange(m) + 1)
+        size, starts = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+        for j in range(m - 1, -1, -1):
+            t = after[j]
+            starts[j] = 1 + starts[t]
+            size[j] = ends[m] - ends[j] - 2 if t == m else size[t]
+        to = int(np.searchsorted(ends, limit, "right"))
+        return pd.DataFrame({"_range": [pdf["_range"].iloc[0]], "_low": [pdf["_low"].iloc[0]], "first": [pdf["_first"].iloc[0] == 0], "m": [m], "chars": [int(ends[m])], "ends": [ends[:to].tolist()], "size": [size[:to].tolist()], "starts": [starts[:to].tolist()]})
+
+    leads = wide.groupBy("_range", "_low").applyInPandas(lead, "_range long, _low long, first boolean, m long, chars long, ends array<long>, size array<long>, starts array<long>")
+    states, open_, chunks = [], 0, 0
+    for r in sorted(leads.collect(), key=lambda r: (r["_range"], r["_low"])):
+        if r["first"]:
+            open_, chunks = 0, 0
+        states.append((r["_range"], r["_low"], open_, chunks))
+        if r["m"]:
+            j = max(bisect_right(r["ends"], limit - open_) - 1, 0) if open_ else 0
+            if open_ and j == r["m"]:
+                open_ += r["chars"]
+            else:
+                open_, chunks = r["size"][j], chunks + r["starts"][j]
+    state = spark.createDataFrame(states, "_range long, _low long, _open long, _chunks long")
+    given = ones.select("_range", "_low", "_k", "sizes").join(F.broadcast(state), ["_range", "_low"], "left").fillna(0, ["_open", "_chunks"])
+
+    def follow(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("_k")
+        out, low = [], None
+        for at, size, chunks, parts in zip(pdf["_low"], pdf["_open"], pdf["_chunks"], pdf["sizes"]):
+            if at != low:
+                low, open_, n = at, int(size), int(chunks)
+            idx = []
+            for x in parts:
+                if open_ and open_ + 2 + x <= limit:
+                    open_ += 2 + int(x)
+                else:
+                    open_, n = int(x), n + 1
+                idx.append(n - 1)
+            out.append(idx)
+        return pd.DataFrame({"_range": pdf["_range"], "_k": pdf["_k"], "idx": out})
+
+    placed = given.groupBy("_range").applyInPandas(follow, "_range long, _k long, idx array<int>").filter(F.size("idx") > 0)
+    pieces = rows.select(group, "_range", "_k", paragraph_array(text).alias("p")).join(placed, ["_range", "_k"])
+    one = pieces.select(group, "_range", "_k", F.posexplode(F.arrays_zip("p", "idx")).alias("i", "x")).select(group, F.col("x.idx").alias("chunk_idx"), "_range", "_k", "i", F.col("x.p").alias("t"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_range", "_k", "i", "t"))), lambda x: x["t"]), BLANK)
+    return one.groupBy(group, "chunk_idx").agg(content.alias("content"))
+
+
 def packed_paragraphs(text: Column | str, limit: int) -> Column:
     """Packing as a column, for paragraphs that all fit the limit: chunks before any borrowing."""
     paras = paragraph_array(text)

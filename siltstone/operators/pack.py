@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import ranged
+
+#: Rows whose texts are joined at once.
+PART = 4096
+
 
 def joined_within(df: DataFrame, group: list[str], rank: str, text: str, budget: int) -> DataFrame:
     """Keep rows whose text, joined to those before it by blank lines (two characters, charged to the first piece as
@@ -34,5 +39,16 @@ def snippets_within(df: DataFrame, group: list[str], rank: str, piece: str, budg
 
 
 def context_text(df: DataFrame, group: list[str], rank: str, text: str, sep: str = "\n\n") -> DataFrame:
-    """One text per group, in rank order."""
+    """One text per group, in rank order, gathered at once: for groups that a budget or the caller bounds."""
     return df.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(text).alias("t")))), lambda x: x["t"]), sep).alias("context"))
+
+
+def gathered_text(df: DataFrame, group: list[str], rank: str, text: str, sep: str = "\n\n") -> DataFrame:
+    """context_text for groups of any number of rows: joined in parts of at most PART rows, which are spread over ranges;
+    only a group's parts, joined already, come together. The text itself is one value."""
+    rows = ranged(df.select(*group, rank, text), group, [rank, text]).withColumn("_part", F.floor(F.col("_k") / PART))
+    joined = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, F.col("t")))), lambda x: x["t"])
+    # A part without any text is null, so that it adds no separator.
+    parts = rows.filter(F.col(text).isNotNull()).withColumn("t", F.col(text)).groupBy(*group, "_range", "_part").agg(F.array_join(joined("_k"), sep).alias("t"))
+    empty = rows.groupBy(*group).agg(F.lit(None).cast("string").alias("t")).select(*group, F.lit(-1).cast("long").alias("_range"), F.lit(0).cast("long").alias("_part"), "t")
+    return parts.unionByName(empty).groupBy(*group).agg(F.array_join(joined("_range", "_part"), sep).alias("context"))

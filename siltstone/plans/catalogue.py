@@ -186,13 +186,9 @@ _PARAS = f"""paras AS (SELECT conv_id, list_filter(list_transform(regexp_split_t
     lambda p: regexp_replace(p, '^[{_WS}]+|[{_WS}]+$', '', 'g')), lambda p: p <> '') AS l FROM conv)"""
 
 
-def _joined_turns(spark, sf_dir):
-    return pack.context_text(_t(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").withColumnRenamed("context", "text")
-
-
 @query(f"WITH {_CONV}, {_PARAS} SELECT conv_id, CAST(i AS INTEGER) AS pos, l[i + 1] AS paragraph FROM paras, unnest(range(len(l))) AS r(i)")
 def paragraph_split(spark, sf_dir):
-    return _joined_turns(spark, sf_dir).select("conv_id", F.posexplode(chunk_plain.paragraph_array("text")).alias("pos", "paragraph"))
+    return chunk_plain.split_rows(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 @query(f"""WITH {_CONV}, {_PARAS},
@@ -203,8 +199,7 @@ steps AS (SELECT conv_id, list_reduce(list_transform(l, lambda p: {{'d': []::VAR
 done AS (SELECT conv_id, CASE WHEN s.o = '' THEN s.d ELSE list_append(s.d, s.o) END AS c FROM steps)
 SELECT conv_id, CAST(i AS INTEGER) AS chunk_idx, c[i + 1] AS content FROM done, unnest(range(len(c))) AS r(i)""".replace("100000", "6000"))
 def paragraph_pack_phase1(spark, sf_dir):
-    packed = _joined_turns(spark, sf_dir).select("conv_id", chunk_plain.packed_paragraphs("text", 6000).alias("c"))
-    return packed.select("conv_id", F.posexplode("c").alias("chunk_idx", "content"))
+    return chunk_plain.packed_rows(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 6000)
 
 
 @query()
@@ -377,7 +372,7 @@ def memory_text_block(spark, sf_dir):
 @query("SELECT user_id, string_agg(json_extract_string(props, '$.k'), ',' ORDER BY event_id) AS collected FROM events GROUP BY user_id")
 def ndjson_collect(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"))
-    return pack.context_text(rows, ["user_id"], "event_id", "k", ",").withColumnRenamed("context", "collected")
+    return pack.gathered_text(rows, ["user_id"], "event_id", "k", ",").withColumnRenamed("context", "collected")
 
 
 @query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) ELSE printf('%.1f MB', n / 1048576) END AS size FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) AS n FROM documents)")

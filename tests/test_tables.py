@@ -119,3 +119,57 @@ def test_packing_against_a_loop(spark):
     df = spark.createDataFrame(data, "g int, i int, t string")
     assert {(r.g, r.i) for r in pack.joined_within(df, ["g"], "i", "t", 40).collect()} == want_a
     assert {(r.g, r.i) for r in pack.snippets_within(df, ["g"], "i", "t", 40).collect()} == want_b
+
+
+def _hot(spark):
+    """A third of all rows under a null key, with few turn numbers and many equal rows; a long one with an id; small ones."""
+    data = [(None, i % 10, ["user", "assistant"][i % 2], f"p{i % 4}\n \nq" + "x" * (i % 90)) for i in range(1400)]
+    data += [(7, i, ["user", "assistant", "user"][i % 3], ["a" * (i % 50 + 1), None, " \n\n ", f"b\n\nc{i}"][i % 4]) for i in range(1300)]
+    data += [(c, i, "user", f"{c}: {i}") for c in range(100, 130) for i in range(3)]
+    return data, spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5)
+
+
+def _in_order(data, by):
+    out = {}
+    for r in sorted(data, key=lambda r: tuple((x is not None, x or ("" if isinstance(x, str) or x is None else 0)) for x in by(r))):
+        out.setdefault(r[0], []).append(r)
+    return out
+
+
+def test_hot_groups_are_spread_and_whole(spark):
+    from siltstone.operators import chunk_plain, ranges
+
+    data, df = _hot(spark)
+    held = ranges.ranged(df, ["conv_id"], ["turn", "text"]).groupBy("conv_id").agg(F.count_distinct("_range").alias("n")).collect()
+    assert {r.conv_id: r.n > 1 for r in held if r.conv_id in (None, 7)} == {None: True, 7: True}
+    texts = {c: "\n\n".join(r[3] for r in l if r[3] is not None) for c, l in _in_order(data, lambda r: (r[1], r[3])).items()}
+    whole = {r.conv_id: r.context for r in pack.gathered_text(df, ["conv_id"], "turn", "text").collect()}
+    assert whole == texts
+    got = {}
+    for r in chunk_plain.split_rows(df, "conv_id", "turn", "text").orderBy("pos").collect():
+        assert r.pos == len(got.setdefault(r.conv_id, []))
+        got[r.conv_id].append(r.paragraph)
+    assert got == {c: chunk_plain.paragraphs(t) for c, t in texts.items()}
+    for limit in (1, 60, 700, 10**6):
+        chunks = {}
+        for r in chunk_plain.packed_rows(df, "conv_id", "turn", "text", limit).orderBy("chunk_idx").collect():
+            assert r.chunk_idx == len(chunks.setdefault(r.conv_id, []))
+            chunks[r.conv_id].append(r.content)
+        assert chunks == {c: [x.text() for x in chunk_plain.packed([(p, False) for p in l], limit)] for c, l in got.items()}
+
+
+def test_memory_of_hot_conversations(spark):
+    data, df = _hot(spark)
+    lists = _in_order(data, lambda r: r[1:])
+    n = {c: len(l) for c, l in lists.items()}
+    gone = memory.absorbed(df, keep=4)
+    assert {r.conv_id: r["count"] for r in gone.groupBy("conv_id").count().collect()} == {c: k - 4 for c, k in n.items() if k >= 6}
+    lines = {c: "\n".join(f"{r[2].capitalize()}: {r[3]}" for r in l[:-4] if r[3] is not None) for c, l in lists.items() if len(l) >= 6}
+    for cap in (3, 400, 10**7):
+        assert {r.conv_id: r.digest for r in memory.digest(gone, cap).collect()} == {c: t[-cap:] for c, t in lines.items()}
+    found = {c: [(a[3], b[3]) for a, b in zip(l, l[1:]) if (a[2], b[2]) == ("user", "assistant")] for c, l in lists.items()}
+    for k in (2, 400):
+        got = {}
+        for r in memory.pairs(df, k).orderBy("pair").collect():
+            got.setdefault(r.conv_id, []).append((r.user, r.assistant))
+        assert got == {c: l[-k:] for c, l in found.items() if l}
