@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship
+from .common import BROADCAST_ROWS, scratch_path, ship, small_join
 from .tokens import encoder, vocabulary_path
 
 #: Ids per word and bits per id of selectors 1 to 15 (fixed values of the format).
@@ -189,8 +189,9 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end_id
     return path
 
 
-def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
+def read(spark: SparkSession, path: str, keep_ids: bool = False, most: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per document from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids. Shard starts are
+    broadcast if they were counted and are at most `most`."""
     ship(spark)
     files = spark.read.schema("part int, shard int, n_ids long, doc_ids array<long>, data binary").parquet(path)
     # One number per range partition goes to the driver; shards inside a part add up in a window over their counts.
@@ -214,7 +215,7 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
                 arrays = [pa.array(docs, pa.int64()), pa.array(begins + at), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(parts, pa.binary())] if keep_ids else [])], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + keep_ids])
 
-    return files.join(F.broadcast(starts), ["part", "shard"]).select("at", "doc_ids", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
+    return small_join(files, starts, ["part", "shard"], "inner", most).select("at", "doc_ids", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
 def round_trip(documents: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:

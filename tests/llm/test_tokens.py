@@ -110,3 +110,12 @@ def test_packing_is_close_to_the_bound_and_repeats(spark):
 
 def test_packing_nothing(none):
     assert packing.pack_documents(none).count() == 0
+
+
+def test_many_shard_starts_are_not_broadcast(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word {i} and more") for i in range(60)], "doc_id long, text string")
+    path = simple8b.write(docs, str(tmp_path / "files"), shard_ids=20)
+    few, many = simple8b.read(spark, path), simple8b.read(spark, path, most=5)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and few.count() == 60
+    hints = [str(df._jdf.queryExecution().optimizedPlan()).count("strategy=merge") for df in (few, many)]
+    assert hints == [0, 1]
