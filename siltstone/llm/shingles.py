@@ -6,6 +6,8 @@ import hashlib
 
 import numpy as np
 
+from .tokens import slices
+
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -15,16 +17,13 @@ _odd = lambda n, seed: np.random.Generator(np.random.PCG64(seed)).integers(1 <<
 _BASE = _odd(1, 5)[0]
 _STEP = _odd(16, 6)
 
-_powers = np.zeros(0, np.uint64)
-
+#: Bytes of text that are split into words at once.
+GROUP_BYTES = 1 << 20
+#: Words longer than this are hashed in blocks of this many bytes.
+LONG_WORD = 1 << 12
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        p = np.full(max(64, 2 * n), _BASE, np.uint64)
-        p[0] = 1
-        _powers = np.cumprod(p, dtype=np.uint64)
-    return _powers[:n]
+with np.errstate(over="ignore"):
+    _POWERS = np.cumprod(np.append(np.uint64(1), np.full(LONG_WORD, _BASE, np.uint64)), dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -33,24 +32,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased, parted by space and U+0009 to U+000D), and each text's word count."""
-    raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+def _long_word(word: np.ndarray) -> np.uint64:
+    """The sum that a short word's hash is made of, block by block."""
+    total, shift = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for at in range(0, len(word), LONG_WORD):
+        block = word[at : at + LONG_WORD]
+        total += shift * ((_LOWER[block].astype(np.uint64) + np.uint64(1)) * _POWERS[: len(block)]).sum()
+        shift *= _POWERS[LONG_WORD]
+    return total[0]
+
+
+def _hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
     space = _SPACES[raw]
     start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
-    counts = np.diff(np.searchsorted(start, bounds))
-    if not len(start):
-        return np.zeros(0, np.uint64), counts
+    counts = np.diff(np.searchsorted(start, np.cumsum([1, *(len(t) + 1 for t in parts)])))
     size = end - start
-    inside = np.flatnonzero(~space)
-    word = np.repeat(np.arange(len(start)), size)
-    terms = (_LOWER[raw[inside]].astype(np.uint64) + np.uint64(1)) * _power(int(size.max()))[inside - start[word]]
-    sums = np.add.reduceat(terms, np.cumsum(size) - size)
+    sums = np.zeros(len(start), np.uint64)
+    far = size > LONG_WORD
+    for i in np.flatnonzero(far).tolist():
+        sums[i] = _long_word(raw[start[i] : end[i]])
+        space[start[i] : end[i]] = True
+    near = np.flatnonzero(~far)
+    if len(near):
+        inside = np.flatnonzero(~space)
+        n = size[near]
+        terms = _LOWER[raw[inside]].astype(np.uint64) + np.uint64(1)
+        inside -= np.repeat(start[near], n)
+        terms *= _POWERS[inside]
+        sums[near] = np.add.reduceat(terms, np.cumsum(n) - n)
     return mixed(sums ^ (size.astype(np.uint64) << np.uint64(40))), counts
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lower-cased, parted by space and U+0009 to U+000D), and each text's word count.
+
+    About GROUP_BYTES are worked on at once: long texts in slices that end at white space, very long words by themselves.
+    """
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    held, index, size = [], [], 0
+    for i, text in enumerate(texts):
+        for part in slices(text, GROUP_BYTES):
+            held.append(part)
+            index.append(i)
+            size += len(part)
+            if size >= GROUP_BYTES:
+                h, n = _hashes(held)
+                hashes.append(h)
+                np.add.at(counts, index, n)
+                held, index, size = [], [], 0
+    if held:
+        h, n = _hashes(held)
+        hashes.append(h)
+        np.add.at(counts, index, n)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+
+
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Each text's distinct shingles, sorted; with fewer words than `size` the whole sequence is one, none without."""
     words, counts = word_hashes(texts)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, chosen_path, components, fingerprint, maxscore, mixing
+from siltstone.llm import chat, chosen_path, components, fingerprint, maxscore, mixing, shingles
 from siltstone.llm.shingles import minwise, overlap, shingle_sets, similar
 
 
@@ -71,6 +71,71 @@ def test_large_nodes_branch_and_lose_nothing(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _brute(rows, 3, 85)
 
 
+def _kin(n, base, own):
+    """Texts with a common base and a tail of their own: alike, not linked."""
+    return [(i, " ".join([f"b{k}" for k in range(base)] + [f"t{i}x{k}" for k in range(own)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("base,own", [(200, 22), (200, 42)])  # similarity 0.82 and 0.70
+def test_families_that_are_alike_but_not_linked_end_within_few_rounds(spark, monkeypatch, base, own):
+    monkeypatch.setattr(chosen_path, "NODE", 16)
+    rounds, write = [], chosen_path.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "open-nodes":
+            rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "materialize", counted)
+    rows = _kin(200, base, own)
+    pairs = [(1000 + i, t.replace(f"t{i}x0", "other")) for i, t in rows[:40]]
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows + pairs, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 1000 for i, _ in rows + pairs}
+    assert len(rounds) <= 8 and max(rounds) <= 20 * 240
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs at similarity 0.85 to 0.90 among many that are alike, with small nodes."""
+    monkeypatch.setattr(chosen_path, "NODE", 16)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i, t in _kin(150, 160, 40):
+        w, k = t.split(), int(rng.integers(8, 16))
+        rows += [(2 * i, t), (2 * i + 1, " ".join(w[:-k] + [f"z{i}y{j}" for j in range(k)]))]
+    want = _brute(rows, 3, 85)
+    linked = [i for i in want if want[i][1] != i]
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert len(linked) > 100 and sum(got[i] == want[i][1] for i in linked) >= 0.9 * len(linked)
+    assert all(got[i] == i for i in want if i not in linked)
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark, monkeypatch):
+    words = [f"w{k}" for k in range(200)]
+    b, c = "other text " * 40, " ".join(words)
+    near = " ".join([*words[:-1], "changed"])
+    rows = [(5, b), (5, c), (9, near), (5, c), (5, c), (5, ""), (7, b + "x"), (3, "alone"), (3, None)]
+    for most in (chosen_path.GROUP_SHINGLES, 300):  # also in pairs of blocks
+        monkeypatch.setattr(chosen_path, "GROUP_SHINGLES", most)
+        got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True)] * 2 + [(5, 5, True)] * 5 + [(7, 7, True), (9, 5, False)]
+
+
+def test_candidate_groups_are_cut_into_pairs_of_blocks():
+    size = np.array([10, 10, 30, 5, 80, 10])
+    parts = chosen_path._parts(list(range(6)), size, 40)
+    assert all({i, j} <= set().union(*(p for p in parts if i in p and j in p)) for i in range(6) for j in range(6))
+    assert chosen_path._parts([0, 1], size, 40) == [[0, 1]]
+
+
+def test_long_words_and_texts_hash_alike_in_any_slices(monkeypatch):
+    texts = [b"A bc  d\te", b"", b"x" * 9000 + b" Y " + b"z" * 5000, b"many words here " * 50]
+    whole = [shingle_sets([t], 3)[0] for t in texts]
+    monkeypatch.setattr(shingles, "GROUP_BYTES", 64)
+    assert all((a == b).all() for a, b in zip(whole, shingle_sets(texts, 3), strict=True))
+    assert len({*shingle_sets([b"x" * 9000], 3)[0].tolist(), *shingle_sets([b"x" * 8999 + b"y"], 3)[0].tolist()}) == 2
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none, long_text):
     got = chosen_path.near_duplicates(odd).orderBy("doc_id", "n_shingles").collect()
     assert len(got) == 9 and [r.kept for r in got if r.doc_id is None] == [True]
