@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +15,17 @@ from .scratch import materialize
 SAMPLE, DRAWN = "spark.sql.execution.rangeExchange.sampleSizePerPartition", "20"
 
 
+@contextmanager
+def few_samples(spark: SparkSession):
+    """Bounds of ranges are drawn from few rows while this lasts, so that whole texts among them keep the driver small."""
+    held = spark.conf.get(SAMPLE)
+    spark.conf.set(SAMPLE, DRAWN)
+    try:
+        yield
+    finally:
+        spark.conf.set(SAMPLE, held)
+
+
 def same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join on equal columns, nulls being equal; the columns of the left stay."""
     other = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
@@ -30,12 +42,8 @@ def ranged(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # The id of a row is its partition, 33 bits to the left, and its place in there.
     rows = tied.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_tie").withColumn("_id", F.monotonically_increasing_id())
-    held = spark.conf.get(SAMPLE)
-    spark.conf.set(SAMPLE, DRAWN)
-    try:
+    with few_samples(spark):
         return materialize(rows.withColumns({"_range": F.shiftright("_id", 33), "_k": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"), "ranged")
-    finally:
-        spark.conf.set(SAMPLE, held)
 
 
 def running(rows: DataFrame, group: list[str], amount: Column | None = None) -> DataFrame:

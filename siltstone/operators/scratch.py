@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +44,30 @@ def _own() -> str:
     return os.path.join(tempfile.gettempdir(), "siltstone-scratch")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch tables made while this lasts go at its end, but for those that the caller takes out of the list it gets.
+
+    Only for work that is done then: whatever still has to be computed may need them.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            _remove(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark)}/siltstone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_cleanup, spark, path)
+    for made in _scopes[-1:]:
+        made.append(path)
     return path
 
 
