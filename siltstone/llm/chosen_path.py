@@ -286,20 +286,23 @@ def _rounds(classes: DataFrame, texts: DataFrame, size: int, percent: int, trees
         for known, column in ((labels, "comp"), (done, "done")):
             rows = rows.join(known.select(F.col("id").alias("rep"), F.col("component").alias(column)), "rep", "left") if known is not None else rows.withColumn(column, F.lit(None).cast("long"))
         rows = rows.withColumn("comp", F.coalesce("comp", "rep"))
-        pivots = [F.min(F.xxhash64("rep", F.lit(k))).alias(f"m{k}") for k in range(PIVOTS)]
-        stats = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("rep"), 16)).alias("sum"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("done").alias("n_done"), F.min("done").alias("d_lo"), F.max("done").alias("d_hi"), *pivots)
-        open_ = stats.filter("size > 1 AND lo <> hi AND (n_done < size OR d_lo <> d_hi)")
+        sums = [F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("rep"), 16)).alias("sum"), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+        stats = rows.groupBy("node").agg(*sums, *([F.count("done").alias("n_done"), F.min("done").alias("d_lo"), F.max("done").alias("d_hi")] if done is not None else []))
+        open_ = stats.filter("size > 1 AND lo <> hi").filter("n_done < size OR d_lo <> d_hi" if done is not None else "true")
         # Nodes of several trees with the same classes count once.
-        once = open_.groupBy("size", "sum").agg(F.min("node").alias("node"), *[F.min(f"m{k}").alias(f"m{k}") for k in range(PIVOTS)]).drop("sum")
+        once = open_.groupBy("size", "sum").agg(F.min("node").alias("node")).drop("sum")
         open_ = materialize(rows.join(once, "node"), "open-nodes")
-        pivot = F.coalesce(*[F.when(F.xxhash64("rep", F.lit(k)) == F.col(f"m{k}"), True) for k in range(PIVOTS)], F.lit(False))
         new = open_.filter((F.col("size") > NODE) & (F.col("stage") % 2 == 0))
-        own = F.pmod(F.xxhash64("rep", "node"), _blocks(F.col("size"))).cast("int")
-        dealt = new.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), _blocks(F.col("size")) - 1)).otherwise(F.array(own)))).select(F.xxhash64("node", "block").alias("node"), "rep", "comp", "done", F.lit(0).alias("side"))
-        leaves = open_.filter(F.col("size") <= NODE).select("node", "rep", "comp", "done", F.lit(0).alias("side")).unionByName(dealt)
-        following = [new.select("node", "rep", (F.col("stage") + 1).alias("stage"))] if new.limit(1).count() else []
+        leaves = open_.filter(F.col("size") <= NODE).select("node", "rep", "comp", "done", F.lit(0).alias("side"))
+        following, scratch, ended = [], [open_], None
+        if new.limit(1).count():
+            pivots = new.groupBy("node").agg(*[F.min(F.xxhash64("rep", F.lit(k))).alias(f"m{k}") for k in range(PIVOTS)])
+            pivot = F.coalesce(*[F.when(F.xxhash64("rep", F.lit(k)) == F.col(f"m{k}"), True) for k in range(PIVOTS)], F.lit(False))
+            own = F.pmod(F.xxhash64("rep", "node"), _blocks(F.col("size"))).cast("int")
+            dealt = small_join(new, pivots, ["node"], "inner").withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), _blocks(F.col("size")) - 1)).otherwise(F.array(own))))
+            leaves = leaves.unionByName(dealt.select(F.xxhash64("node", "block").alias("node"), "rep", "comp", "done", F.lit(0).alias("side")))
+            following.append(new.select("node", "rep", (F.col("stage") + 1).alias("stage")))
         late = open_.filter((F.col("size") > NODE) & (F.col("stage") % 2 == 1)).select("node", "rep", "comp", "done", "stage", "size")
-        scratch, ended = [open_], None
         if late.limit(1).count():
             plan = materialize(plans(late, late.join(classes.select("rep", "sketch"), "rep"), percent), "node-plans")
             planned = small_join(late, plan, ["node"], "inner").withColumn("depth", F.when(F.col("stage") > 2 * LEAPS, 0).otherwise(F.col("depth")))
@@ -311,11 +314,11 @@ def _rounds(classes: DataFrame, texts: DataFrame, size: int, percent: int, trees
         leaves = leaves.join(classes.select("rep", "n", "low"), "rep").select("node", "rep", "comp", F.coalesce("done", F.lit(NOT_DONE)).alias("done"), "side", "n", "low").repartition("node").sortWithinPartitions("node")
         cand = materialize(leaves.mapInArrow(_candidates(least, percent, GROUP_SHINGLES), "grp long, rep long").distinct(), "candidates")
         scratch.append(cand)
+        if following:
+            following = [materialize(reduce(DataFrame.unionByName, following), "nodes")]
         if waiting:
             following.append(roots(classes, waiting))
             waiting = []
-        if following:
-            following = [materialize(reduce(DataFrame.unionByName, following), "nodes")]
         if ended is not None and ended.limit(1).count():
             before = done
             done = materialize(ended if before is None else before.unionByName(ended.join(before, "id", "left_anti")), "ended")
@@ -336,7 +339,7 @@ def _rounds(classes: DataFrame, texts: DataFrame, size: int, percent: int, trees
                     scratch.append(labels)
                 labels = components(reduce(DataFrame.union, links))
         drop_scratch(*scratch)
-        members = following[0] if following else None
+        members = reduce(DataFrame.unionByName, following) if following else None
     return links
 
 
