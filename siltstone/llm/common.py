@@ -1,4 +1,4 @@
-"""What the operators share: code shipping, shared scratch tables, size-checked joins and a global running sum."""
+"""What the operators share: code shipping, shared scratch tables, size-checked joins and names that clash with none."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +18,9 @@ BROADCAST_ROWS = 50_000
 #: Words of every operator here: runs of bytes other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Tasks that a bounded sample of training rows is dealt to.
+SAMPLE_PARTS = 8
+
 _shipped: set[str] = set()
 
 
@@ -49,25 +51,17 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     return left.join(right.hint("merge"), on, how)
 
 
-def running_start(df: DataFrame, order: list[Column], amount: str, out: str, name: str) -> DataFrame:
-    """Add `out`: the sum of `amount` over all rows before this one in `order`.
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores as make it differ from all columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Range partitions, sorted inside; only one number per partition goes to the driver. The sorted rows are written
-    once, so that every later read sees the same partitions.
-    """
-    from pyspark.sql import Window as W
 
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), name)
-    sums = sorted((r["_part"], r["s"]) for r in placed.groupBy("_part").agg(F.sum(amount).alias("s")).collect())
-    offsets, total = {}, 0
-    for part, s in sums:
-        offsets[part] = total
-        total += s or 0
-    w = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    base = spark.createDataFrame([(p, o) for p, o in offsets.items()] or [(0, 0)], "_part int, _base long")
-    return placed.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.coalesce(F.sum(amount).over(w), F.lit(0))).drop("_part", "_base")
+def plain(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def crc_bucket(doc_id: Column, folds: int = 5) -> Column:
@@ -83,4 +77,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "StorageLevel", "add_columns", "crc_bucket", "drop_scratch", "materialize", "read", "running_start", "scratch_path", "scratch_root", "ship", "small_join"]
+__all__ = ["BROADCAST_ROWS", "SAMPLE_PARTS", "WORD", "add_columns", "crc_bucket", "drop_scratch", "free_name", "materialize", "plain", "read", "scratch_path", "scratch_root", "ship", "small_join"]

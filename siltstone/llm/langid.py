@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, ship
-from .ngrams import code_points, groups, hashed
+from .common import SAMPLE_PARTS, add_columns, drop_scratch, materialize, plain, ship
+from .ngrams import Counts, code_points, groups, hashed
 
 SIZES = range(2, 5)
 BITS = 18
@@ -49,22 +49,28 @@ def _scripts(cp: np.ndarray) -> np.ndarray:
 
 
 def _counts(languages: list[str]):
+    """(text, lang) to (bucket, lang, n); buckets from 2**BITS on count the scripts of letters."""
     number = {x: i for i, x in enumerate(languages)}
 
+    def row(got):
+        key, n = got
+        return pa.RecordBatch.from_arrays([pa.array((key // len(number)).astype(np.int32)), pa.array((key % len(number)).astype(np.int32)), pa.array(n)], names=["bucket", "lang", "n"])
+
     def run(batches):
-        size, n = (1 << BITS) + SCRIPTS, len(number)
-        total = np.zeros(size * n, np.int64)
+        n, counts = len(number), Counts()
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
             for index, parts in groups(texts):
                 cp, part = code_points(parts)
                 lang = langs[np.array(index)][part]
                 for at, bucket in hashed(cp, SIZES, BITS):
-                    total += np.bincount(bucket.astype(np.int64) * n + lang[at + 1], minlength=size * n)
+                    counts.add(bucket.astype(np.int64) * n + lang[at + 1])
                 at = np.flatnonzero(cp)
-                total += np.bincount(((1 << BITS) + _scripts(cp[at])) * n + lang[at], minlength=size * n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((at // n).astype(np.int32)), pa.array((at % n).astype(np.int32)), pa.array(total[at])], names=["bucket", "lang", "n"])
+                counts.add(((1 << BITS) + _scripts(cp[at])) * n + lang[at])
+                if got := counts.full():
+                    yield row(got)
+        if got := counts.rest():
+            yield row(got)
 
     return run
 
@@ -81,8 +87,10 @@ def fit(documents: DataFrame, train: Column, sample: int = SAMPLE, seed: int = 2
     share = F.lit(0)
     for x, n in counts.items():
         share = F.when(F.col("lang") == x, int(min(1.0, sample / n) * (1 << 30))).otherwise(share)
-    rows = known.filter(draw < share).select("text", "lang").coalesce(8)
+    # The scan is as wide as the corpus; only the bounded sample is dealt to few tasks, and read from there.
+    rows = materialize(known.filter(draw < share).select("text", "lang").repartition(SAMPLE_PARTS), "language-sample")
     got = rows.mapInArrow(_counts(languages), "bucket int, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toArrow()
+    drop_scratch(rows)
     table = np.zeros(((1 << BITS) + SCRIPTS, len(languages)))
     table[got["bucket"].to_numpy(), got["lang"].to_numpy()] = got["n"].to_numpy()
     grams, scripts = table[: 1 << BITS], table[1 << BITS :]
@@ -130,8 +138,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float = SWITCH) -> n
     return np.repeat(label, np.diff(np.append(runs, n)))
 
 
-def label_words(texts: list[str | None], odds: np.ndarray, allowed: np.ndarray, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, language) of every word, in order."""
+def word_scores(texts: list[str | None], odds: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, score by language) of every word, in order; languages that the word's script rules out are far below."""
     width, of, scores = odds.shape[1], [], []
     for index, parts in groups(texts):
         cp, part = code_points(parts)
@@ -149,8 +157,15 @@ def label_words(texts: list[str | None], odds: np.ndarray, allowed: np.ndarray,
         of.append(np.array(index)[part[start]])
         scores.append(total)
     if not of:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    of, scores = np.concatenate(of), np.concatenate(scores)
+        return np.zeros(0, np.int64), np.zeros((0, width), np.float32)
+    return np.concatenate(of), np.concatenate(scores)
+
+
+def label_words(texts: list[str | None], odds: np.ndarray, allowed: np.ndarray, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, language) of every word, in order."""
+    of, scores = word_scores(texts, odds, allowed)
+    if not len(of):
+        return of, np.zeros(0, np.int32)
     starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     return of, viterbi(scores, starts, switch)
 
@@ -158,9 +173,14 @@ def label_words(texts: list[str | None], odds: np.ndarray, allowed: np.ndarray,
 SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("words", T.IntegerType())]))
 
 
-def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], switch: float = SWITCH, spans: bool = True) -> DataFrame:
-    """documents plus lang_pred, lang_score (the share of words in that language) and lang_spans."""
-    spark, documents = documents.sparkSession, documents.drop("lang_pred", "lang_score", "lang_spans")
+RESULTS = ("lang_pred", "lang_score", "lang_spans")
+
+
+def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], switch: float = SWITCH, results: tuple[str, ...] = RESULTS) -> DataFrame:
+    """documents plus, by these names, the language, the share of words in it and, if a third is given, the spans."""
+    spans = len(results) > 2
+    gone = {r.lower() for r in results}
+    spark, documents = documents.sparkSession, documents.select(*plain([c for c in documents.columns if c.lower() not in gone]))
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # 2**BITS floats per language
     where = documents.columns.index("text")
@@ -184,7 +204,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarra
                     size = np.diff(np.append(cut, len(of)))
                     flat = pa.StructArray.from_arrays([pa.array([languages[k] for k in lang[cut].tolist()], pa.string()), pa.array((cut - begin[of[cut]]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["lang", "first_word", "words"])
                     out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(of[cut], np.arange(n + 1)).astype(np.int32)), flat).cast(span_type))
-                yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, "lang_pred", "lang_score", "lang_spans"][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, *results])
 
-    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_spans", SPANS)]
-    return documents.mapInArrow(run, add_columns(documents.schema, *extra[: 2 + spans]))
+    types = [T.StringType(), T.DoubleType(), SPANS]
+    return documents.mapInArrow(run, add_columns(documents.schema, *map(T.StructField, results, types)))

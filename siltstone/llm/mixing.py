@@ -6,17 +6,18 @@ Of a few hash seeds each source takes the one whose Bernoulli copies come neares
 sources meet their targets too.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; repeated ids get the same
-copies (the seed is the id), a null id counts as the empty id; an empty table gives an empty result; other columns pass
-through, but for those named like a result or a working column (_key, _copy), which are replaced.
+copies (the seed is the id), a null id counts as the empty id; an empty table gives an empty result; all columns pass
+through unchanged, whatever their names: results are in one struct column, named `mix` or, where that is taken, the first
+free of mix_, mix__ and so on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small_join
+from ..operators.ranges import ranged, running
+from .common import WORD, free_name, materialize, plain, small_join
 
 #: Hash seeds tried for each source.
 SEEDS = 32
@@ -40,11 +41,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
     `limit` times a source's size is shared again by weight until no target is above: each round is one small
     aggregate, so the sources themselves never go to the driver.
     """
-    # Ordering the sources needs one task; it holds one row per source, never documents.
-    order = F.row_number().over(W.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("_n", order).withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_n") % len(weights) + 1).cast("int")).cast("long"))
-    per = materialize(per, "sources")
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_last", F.isnull("source"))
+    # Sources are numbered over ranges of them: there may be as many as hosts.
+    per = running(ranged(per, [], ["_last", "source"]), []).withColumnRenamed("_before", "_n").withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_n") % len(weights) + 1).cast("int")).cast("long"))
+    per = materialize(per.select("source", "source_size", "_n", "_w"), "sources")
     cap = F.col("source_size") * limit
     free, spare, by = None, None, None
     while True:
@@ -58,24 +58,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seeds: int = SEEDS) -> DataFrame:
-    """documents plus size, source_size, target and copies (how often the mix takes the document)."""
-    documents = documents.drop("size", "source_size", "target", "copies")
-    sized = documents.withColumn("size", words(F.col("text")))
-    sizes = materialize(sized.select("doc_id", "source", "size"), "sizes")
+    """documents plus, as the last column, a struct of size, source_size, target and copies (how often the mix takes it)."""
+    keyed = lambda source: F.coalesce(F.concat(F.lit("s"), source), F.lit("-"))
+    sizes = materialize(documents.select("doc_id", keyed(F.col("source")).alias("key"), "source", words(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sizes, weights, limit)
-    targets = targets.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    targets = targets.withColumn("_odds", F.when(F.col("source_size") > 0, (F.col("target") / F.col("source_size") - F.col("_whole")) * float(HASH_RANGE)).otherwise(0.0))
-    targets = targets.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")))
-    tries = small_join(sizes.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))).drop("source"), targets.select("_key", "_odds"), ["_key"], "inner")
-    sums = tries.groupBy("_key").agg(*[F.sum(F.when(_draw(F.col("doc_id"), F.lit(s)) < F.col("_odds"), F.col("size")).otherwise(0)).alias(f"_s{s}") for s in range(seeds)])
-    got = F.array(*[F.struct(F.abs(F.col("source_size") * F.col("_whole") + F.col(f"_s{s}") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(seeds)])
-    plan = materialize(targets.join(sums, "_key").withColumn("_seed", F.array_min(got)["seed"]).select("_key", "source_size", "target", "_whole", "_odds", "_seed"), "rates")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    targets = targets.select(keyed(F.col("source")).alias("key"), "source_size", "target", F.floor(rate).cast("long").alias("whole"), ((rate - F.floor(rate)) * float(HASH_RANGE)).alias("odds"))
+    tries = small_join(sizes.select("doc_id", "key", "size"), targets.select("key", "odds"), ["key"], "inner")
+    sums = tries.groupBy("key").agg(*[F.sum(F.when(_draw(F.col("doc_id"), F.lit(s)) < F.col("odds"), F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(seeds)])
+    got = F.array(*[F.struct(F.abs(F.col("source_size") * F.col("whole") + F.col(f"s{s}") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(seeds)])
+    key, rates = free_name(documents.columns, "_key"), free_name(documents.columns, "_rates")
+    plan = targets.join(sums, "key").select(F.col("key").alias(key), F.struct("source_size", "target", "whole", "odds", F.array_min(got)["seed"].alias("seed")).alias(rates))
     # Only sizes and ids were needed so far; the texts are read once more, and no document moves.
-    known = documents.withColumn("size", words(F.col("text"))).withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")))
-    out = small_join(known, plan, ["_key"], "left")
-    return out.withColumn("copies", F.col("_whole") + (_draw(F.col("doc_id"), F.col("_seed")) < F.col("_odds")).cast("long")).drop("_key", "_whole", "_odds", "_seed")
-
-
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    out = small_join(documents.withColumn(key, keyed(F.col("source"))), materialize(plan, "rates"), [key], "left")
+    r = F.col(rates)
+    copies = r["whole"] + (_draw(F.col("doc_id"), r["seed"]) < r["odds"]).cast("long")
+    found = F.struct(words(F.col("text")).alias("size"), r["source_size"].alias("source_size"), r["target"].alias("target"), copies.alias("copies"))
+    return out.select(*plain(documents.columns), found.alias(free_name(documents.columns, "mix")))
+
+
+def emit(mixed: DataFrame) -> DataFrame:
+    """Each document, without the struct that mix() added, as often as the mix takes it."""
+    *columns, name = mixed.columns
+    taken = mixed.filter(F.col(name)["copies"] > 0)
+    return taken.select(*plain(columns), F.explode(F.sequence(F.lit(1), F.col(name)["copies"].cast("int"))).alias(name)).select(*plain(columns))

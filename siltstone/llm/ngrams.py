@@ -71,3 +71,37 @@ def hashed(cp: np.ndarray, sizes: range, bits: int) -> Iterator[tuple[np.ndarray
             x = h[at] + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)
             x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             yield at, x >> np.uint32(32 - bits)
+
+
+class Counts:
+    """Sums by key, held sparsely; full() now and then hands over what is held, so that memory stays bounded."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        self.most, self.keys, self.sums, self.held = most, [], [], 0
+
+    def add(self, keys: np.ndarray, amounts: np.ndarray | None = None) -> None:
+        k, inverse = np.unique(keys, return_inverse=True)
+        self.keys.append(k)
+        self.sums.append(np.bincount(inverse, amounts, len(k)).astype(np.int64))
+        self.held += len(k)
+
+    def _merge(self) -> None:
+        if len(self.keys) > 1:
+            k, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
+            self.sums = [np.bincount(inverse, np.concatenate(self.sums), len(k)).astype(np.int64)]
+            self.keys, self.held = [k], len(k)
+
+    def full(self) -> tuple[np.ndarray, np.ndarray] | None:
+        if self.held > 2 * self.most:
+            self._merge()
+            if self.held > self.most:
+                return self.rest()
+        return None
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray] | None:
+        if not self.keys:
+            return None
+        self._merge()
+        out = self.keys[0], self.sums[0]
+        self.keys, self.sums, self.held = [], [], 0
+        return out

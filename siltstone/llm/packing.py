@@ -6,7 +6,8 @@ none fits and no bin may be opened, the fullest closes. What is still open at th
 more, longest pieces first.
 
 Only piece lengths are dealt out: by hash of the piece, so every task sees a random order (which best fit likes) and no
-source or group of copies meets in one task. A task takes `tokens_per_task` tokens whatever the input's size, so the few
+source or group of copies meets in one task; of equal rows (same id and text) at most the first of each Arrow batch share
+a hash. A task takes `tokens_per_task` tokens whatever the input's size, so the few
 half-full bins at its end are a constant small share.
 
 Edge cases: a null or empty text is the single end id; repeated rows are packed as often as they occur; an empty table
@@ -30,7 +31,7 @@ OPEN_BINS = 2048
 TOKENS_PER_TASK = 16_000_000
 PIECES_PER_TASK = 200_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, copy long"
 
 
 class OpenBins:
@@ -89,38 +90,47 @@ def pack_stream(pieces, length: int = LENGTH, most: int = OPEN_BINS) -> Iterator
 
 
 def cut(documents: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32-bit)."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, copy and, if asked for, ids (little-endian 32-bit).
+
+    copy tells equal rows of a batch apart: 0 for the first.
+    """
     ship(documents.sparkSession)
     path, tail = vocabulary or vocabulary_path(), end_id.to_bytes(4, "little")
 
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
-            out: tuple = ([], [], [], [], [], [])
+        for number, batch in enumerate(batches):
+            out: tuple = ([], [], [], [], [], [], [])
+            seen: dict = {}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = enc.encode(text.as_py() or b"") + tail
+                copy = 0
                 for n, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
-                    for col, v in zip(out, (doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), part)):
-                        if col is not out[5] or keep_ids:
+                    crc = zlib.crc32(part)
+                    if not n:
+                        again = seen[doc_id, crc] = seen.get((doc_id, crc), -1) + 1
+                        copy = again and again << 32 | number
+                    for col, v in zip(out, (doc_id, n, at // 4, len(part) // 4, crc, copy, part)):
+                        if col is not out[6] or keep_ids:
                             col.append(v)
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5])]
+            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:6])]
             if keep_ids:
-                arrays.append(pa.array(out[5], pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+                arrays.append(pa.array(out[6], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "copy", "ids"][: len(arrays)])
 
     return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, tokens_per_task: int = TOKENS_PER_TASK) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32) plus sequence_id and offset."""
+    """pieces (doc_id, piece, start, length, ids_crc32 and, to spread equal rows, copy) plus sequence_id and offset."""
     spark = pieces.sparkSession
     ship(spark)
     pieces = materialize(pieces, "pieces")
     total, rows_ = pieces.filter(F.col("length") < length).agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     tasks = max(1, -(-total // tokens_per_task), -(-rows_ // PIECES_PER_TASK))
     # sequence ids: task number, then a running number in the task; whole sequences get odd numbers of their own.
-    keyed = pieces.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    keyed = pieces.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32", *[c for c in ("copy",) if c in pieces.columns]))
     names = pieces.columns
 
     def run(batches):

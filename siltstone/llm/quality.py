@@ -4,15 +4,16 @@ One pass counts every character ORDER-gram of the corpus (an exact 64-bit number
 it occurs in trusted texts. Discounts, history sums and continuation counts come from aggregates over these counts;
 joins on histories and suffixes, sharded by gram like the counts, give the probability of every gram of the corpus. A
 text's perplexity is that of its characters. A text is kept if its perplexity is at most a quantile of the trusted
-texts' in its language.
+texts' in its language; of these, only the texts of fold 0 (by hash of the id), which the model has not seen.
 
 What is gathered grows with the corpus: all grams of all texts. The gram table is sent to the scoring pass as a whole
 only if it was counted and has at most `table_grams` rows (12 bytes each); beyond that, counts per text and gram are
 joined with it by shuffle. Both ways give the same perplexities.
 
 Edge cases: null and empty texts have no grams, a null perplexity, and are kept (there is nothing against them);
-a null lang is a language of its own; a language without trusted texts takes the quantile over all of them; with no
-trusted text at all everything is kept; characters beyond U+FFFE count as one; an id that is trusted twice counts once;
+a null lang is a language of its own; a language with too few trusted texts in fold 0 for the quantile to differ from
+their maximum takes the quantile over its other trusted texts too, one without any the quantile over all languages;
+with no trusted text at all everything is kept; characters beyond U+FFFE count as one; an id that is trusted twice counts once;
 repeated rows are scored alike; an empty table gives an empty result.
 """
 
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, ship, small_join
-from .ngrams import groups
+from .common import crc_bucket, materialize, ship, small_join
+from .ngrams import Counts, groups
 
 ORDER = 4
 QUANTILE = 0.995
@@ -47,30 +48,18 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g.view(np.int64), part
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
-
-
 def _count(batches):
-    keys, counts, held = [], [], 0
+    counts = Counts()
+    row = lambda got: pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["g", "n"])
     for batch in batches:
         trusted = np.array(batch.column(1).to_pylist(), np.int64)
         for index, parts in groups(batch.column(0).to_pylist()):
             g, part = grams(parts)
-            k, inverse = np.unique(g, return_inverse=True)
-            keys.append(k)
-            counts.append(np.bincount(inverse, trusted[np.array(index)][part], len(k)).astype(np.int64))
-            held += len(k)
-            if held > 1_000_000:
-                k, c = _merge(keys, counts)
-                keys, counts, held = [k], [c], len(k)
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["g", "n"])
-                    keys, counts, held = [], [], 0
-    if keys:
-        k, c = _merge(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["g", "n"])
+            counts.add(g, trusted[np.array(index)][part])
+            if got := counts.full():
+                yield row(got)
+    if got := counts.rest():
+        yield row(got)
 
 
 def _low(order: int) -> str:
@@ -137,13 +126,14 @@ def _per_text(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rows[np.array(index)[part[cut]]]), pa.array(g[cut]), pa.array(np.diff(np.append(cut, len(g))))], names=["row", "g", "k"])
 
 
-def score(documents: DataFrame, trusted: DataFrame, table_grams: int = TABLE_GRAMS) -> DataFrame:
-    """doc_id, lang, trusted, grams, perplexity. trusted: doc_id of the texts to learn from."""
+def score(documents: DataFrame, trusted: DataFrame, table_grams: int = TABLE_GRAMS, leave_out: bool = False) -> DataFrame:
+    """doc_id, lang, trusted (1: learned from, 2: left out), grams, perplexity. trusted: doc_id of the trusted texts, of which
+    leave_out keeps those of fold 0 from the model."""
     spark = documents.sparkSession
     ship(spark)
-    ids = trusted.filter("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(1))
+    ids = trusted.filter("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.when(F.lit(leave_out) & (crc_bucket(F.col("doc_id")) == 0), 2).otherwise(1))
     marked = small_join(documents.select("doc_id", "lang", "text"), ids, ["doc_id"], "left", BROADCAST_IDS).select("doc_id", "lang", F.coalesce("trusted", F.lit(0)).alias("trusted"), "text")
-    counted = materialize(marked.select("text", "trusted").mapInArrow(_count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "gram-counts")
+    counted = materialize(marked.select("text", F.expr("int(trusted = 1)").alias("learn")).mapInArrow(_count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "gram-counts")
     table = materialize(gram_table(counted), "gram-table")
     if table.limit(table_grams + 1).count() <= table_grams:
         got = table.toArrow()
@@ -160,12 +150,15 @@ def score(documents: DataFrame, trusted: DataFrame, table_grams: int = TABLE_GRA
 
 def classify(documents: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, table_grams: int = TABLE_GRAMS) -> DataFrame:
     """doc_id, lang, grams, perplexity, threshold, kept."""
-    scored = materialize(score(documents, trusted, table_grams), "perplexities")
-    good = scored.filter("trusted = 1 AND perplexity IS NOT NULL")
+    scored = materialize(score(documents, trusted, table_grams, leave_out=True), "perplexities")
+    good = scored.filter("trusted > 0 AND perplexity IS NOT NULL")
     key = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("-"))
-    at = F.percentile_approx("perplexity", quantile, 100_000)
-    limits = good.withColumn("_key", key).groupBy("_key").agg(at.alias("_own"))
-    overall = good.agg(at).first()[0]
+    unseen = F.when(F.col("trusted") == 2, F.col("perplexity"))
+    # Below this count a quantile is the maximum.
+    least = round(1 / (1 - quantile)) if quantile < 1 else 1
+    own = F.when(F.count(unseen) >= least, F.percentile_approx(unseen, quantile, 100_000)).otherwise(F.percentile_approx("perplexity", quantile, 100_000))
+    limits = good.withColumn("_key", key).groupBy("_key").agg(own.alias("_own"))
+    overall = good.agg(own).first()[0]
     out = small_join(scored.withColumn("_key", key), limits, ["_key"])
     out = out.withColumn("threshold", F.coalesce("_own", F.lit(overall).cast("double")))
     return out.select("doc_id", "lang", "grams", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))

@@ -22,8 +22,8 @@ def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"))
-    return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.selectExpr("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.size * mix.copies AS taken")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,13 +103,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.h) AS BIGINT) AS n_shingles, m.x AS component_id, s.doc_id = m.x AS kept
         FROM s JOIN (SELECT doc_id, min(x) AS x FROM c GROUP BY doc_id) m USING (doc_id)""",
     "op9_chat": """
-        WITH c AS (
-            SELECT conv_id, list((role, text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l,
-                   string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), ''
-                              ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
-            FROM conversations GROUP BY conv_id),
-        o AS (SELECT min(conv_id) AS conv_id, l, any_value(rendered) AS rendered FROM c GROUP BY l)
-        SELECT conv_id, CAST(len(l) AS BIGINT) AS turns, CAST(0 AS INTEGER) AS part, rendered
-        FROM o
-        WHERE NOT EXISTS (SELECT 1 FROM o b WHERE len(b.l) > len(o.l) AND b.l[1:len(o.l)] = o.l)""",
+        WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos FROM conversations),
+        c AS (SELECT conv_id, list((role, text) ORDER BY pos) AS l FROM t GROUP BY conv_id),
+        o AS (SELECT min(conv_id) AS conv_id, l FROM c GROUP BY l),
+        m AS (SELECT conv_id, len(l) AS turns FROM o WHERE NOT EXISTS (SELECT 1 FROM o b WHERE len(b.l) > len(o.l) AND b.l[1:len(o.l)] = o.l))
+        SELECT t.conv_id, CAST(turns AS BIGINT) AS turns, CAST(pos // 512 AS INTEGER) AS part,
+               string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
+        FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id
+        GROUP BY t.conv_id, turns, pos // 512""",
 }

@@ -8,7 +8,8 @@ decoded selector by selector with whole-array shifts.
 A shard (one row of the Parquet files written, any store that Spark writes to will do) is
   magic b"S8B1", then little-endian: u32 documents, u64 ids, u32 blocks, u64 words,
   u32 * documents: ids of each document, u64 * (blocks + 1): offset of each block's first word, u64 * words.
-The rows also carry doc_ids, in ascending order; shards are in ascending order of (part, shard).
+The rows also carry doc_ids, in ascending order, and `before`, the ids of earlier shards of the part; shards are in
+ascending order of (part, shard). A part is one range of (doc_id, text), so an id that many rows share is spread.
 
 Edge cases: a null or empty text is the end id alone; a null doc_id comes first; rows that share a doc_id stand in text
 order; an empty table writes no shard and reads back empty; other columns are not stored.
@@ -22,8 +23,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranges import few_samples
 from .common import BROADCAST_ROWS, scratch_path, ship, small_join
 from .tokens import encoder, vocabulary_path
 
@@ -35,6 +38,8 @@ ESCAPE = 0
 BLOCK = 1024
 SHARD_IDS = 1 << 20
 MAGIC = b"S8B1"
+#: Columns of the files.
+FILES = "part int, shard int, before long, n_ids long, doc_ids array<long>, data binary"
 _HEAD = struct.Struct("<4sIQIQ")
 
 
@@ -164,11 +169,11 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end_id
 
     def run(batches):
         enc, shard = encoder(voc), 0
-        part, docs, lengths, held, size = 0, [], [], [], 0
+        part, before, docs, lengths, held, size = 0, 0, [], [], [], 0
 
         def row():
             data = pack_shard(lengths, np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "shard", "n_ids", "doc_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "shard", "before", "n_ids", "doc_ids", "data"])
 
         for batch in batches:
             for doc_id, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
@@ -179,30 +184,26 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end_id
                 size += lengths[-1]
                 if size >= shard_ids:
                     yield row()
-                    docs, lengths, held, size, shard = [], [], [], 0, shard + 1
+                    docs, lengths, held, size, shard, before = [], [], [], 0, shard + 1, before + size
         if docs:
             yield row()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
-    rows.mapInArrow(run, "part int, shard int, n_ids long, doc_ids array<long>, data binary").write.parquet(path)
+    cols = documents.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("tie", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text"), F.col("tie")]
+    rows = cols.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    with few_samples(spark):
+        rows.mapInArrow(run, FILES).write.parquet(path)
     return path
 
 
 def read(spark: SparkSession, path: str, keep_ids: bool = False, most: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids. Shard starts are
-    broadcast if they were counted and are at most `most`."""
+    """One row per document from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids. The parts' starts
+    (one number for each range partition that was written) are broadcast if they were counted and are at most `most`."""
     ship(spark)
-    files = spark.read.schema("part int, shard int, n_ids long, doc_ids array<long>, data binary").parquet(path)
-    # One number per range partition goes to the driver; shards inside a part add up in a window over their counts.
-    offsets, total = [], 0
-    for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
-        offsets.append((r["part"], total))
-        total += r["n"]
-    base = spark.createDataFrame(offsets or [(0, 0)], "part int, base long")
-    inside = files.select("part", "shard", "n_ids").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("shard", "n_ids"))).alias("all"))
-    # Few shards per part: a part is one task's rows.
-    starts = inside.join(F.broadcast(base), "part").select("part", F.posexplode("all").alias("k", "one"), "all", "base").select("part", F.col("one.shard").alias("shard"), (F.col("base") + F.expr("aggregate(slice(all, 1, k), 0L, (a, x) -> a + x.n_ids)")).alias("at"))
+    files = spark.read.schema(FILES).parquet(path)
+    sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    starts = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
     def run(batches):
         for batch in batches:
@@ -215,7 +216,7 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False, most: int = BRO
                 arrays = [pa.array(docs, pa.int64()), pa.array(begins + at), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(parts, pa.binary())] if keep_ids else [])], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + keep_ids])
 
-    return small_join(files, starts, ["part", "shard"], "inner", most).select("at", "doc_ids", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
+    return small_join(files, starts, ["part"], "inner", most).select((F.col("base") + F.col("before")).alias("at"), "doc_ids", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
 def round_trip(documents: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:

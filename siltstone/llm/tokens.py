@@ -1,22 +1,36 @@
 """Public tokenizer behind a bounded word cache.
 
-The vocabulary drops white space and never joins characters across it, so a text's ids are its words' ids in a row.
+A vocabulary that drops white space and never joins characters across it gives a text the ids of its words in a row.
 Most words of a corpus repeat: each worker keeps the ids of frequent words, and the library encodes only the others.
-A very long text is encoded in slices that end at white space, so memory stays bounded.
+A very long text is encoded in slices that end at white space, so memory stays bounded. Whether a vocabulary is of this
+kind is read from its file; any other is given whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words of one generation of the cache; at most two generations are held.
 CACHE_WORDS = 300_000
 #: Bytes of a text that are split at once.
 SLICE = 1 << 20
 
+#: The normalizer and the splitting of the vocabularies that the word cache serves (fixed values of their files).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 _SPACE = re.compile(rb"[\x09-\x0d ]")
 _RUNS = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\x09-\x0d ]+")
 _ASCII = bytes(range(128))
@@ -30,6 +44,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def by_words(tokenizer: dict) -> bool:
+    """Does a tokenizer's file describe one that the word cache serves?"""
+    model, added = tokenizer["model"], tokenizer.get("added_tokens") or []
+    return (
+        tokenizer.get("normalizer") == NORMALIZER
+        and tokenizer.get("pre_tokenizer") == SPLITTING
+        and not (tokenizer.get("truncation") or tokenizer.get("padding"))
+        and model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+        and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in added)
+    )
+
+
 class WordIds(dict):
     """Words, or runs of letters and of other characters in them, to their ids as little-endian 32-bit integers.
 
@@ -43,6 +70,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._encode = (t := Tokenizer.from_file(path)).encode
+        with open(path, encoding="utf-8") as f:
+            self._by_words = by_words(json.load(f))
         self._model = t.model.tokenize
         self._level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self._bytes = [i.to_bytes(4, "little") for i in range(t.get_vocab_size())].__getitem__
@@ -66,6 +95,8 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: bytes) -> bytes:
+        if not self._by_words:
+            return np.array(self._encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         if len(text) > SLICE:
             return b"".join([self._slice(s.lower()) for s in slices(text)])
         return self._slice(text.lower())

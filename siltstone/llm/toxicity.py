@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, crc_bucket, ship
+from .common import SAMPLE_PARTS, add_columns, crc_bucket, drop_scratch, materialize, plain, ship
 from .ngrams import code_points, groups, hashed
 
 SIZES = range(3, 7)
@@ -140,8 +140,8 @@ class Model:
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, penalty: float = PENALTY) -> Model:
     ship(documents.sparkSession)
-    # The sample is bounded, so few tasks; each of them sends at most one row per bucket.
-    rows = training_rows(documents, labels, label, sample).coalesce(8)
+    # The scan is as wide as the corpus; only the bounded sample is dealt to few tasks, and read from there.
+    rows = materialize(training_rows(documents, labels, label, sample).repartition(SAMPLE_PARTS), "toxicity-sample")
     counted = rows.mapInArrow(_counts, "bucket int, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     np_, nq = n.get(1, 0), n.get(0, 0)
@@ -154,6 +154,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
     r = np.array([b["r"] for b in best])
     table[[b["bucket"] for b in best]] = np.arange(len(best))
     got = rows.mapInArrow(_bitmaps(table, features), "bits binary, y int").toArrow()
+    drop_scratch(rows)
     y = np.array(got["y"].to_pylist(), float)
     at, col = [], []
     for i, b in enumerate(got["bits"]):
@@ -178,7 +179,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
 
 def score(documents: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
     """documents plus `column`, the probability of the label."""
-    spark, documents = documents.sparkSession, documents.drop(column)
+    spark, documents = documents.sparkSession, documents.select(*plain([c for c in documents.columns if c.lower() != column.lower()]))
     ship(spark)
     shared = spark.sparkContext.broadcast((model.table, model.weight, model.bias))  # 4 MB by construction
     where = documents.columns.index("text")

@@ -4,9 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, chosen_path, components, fingerprint, maxscore, mixing, shingles
+from siltstone.llm import chat, chosen_path, components, fingerprint, maxscore, mixing, queries, shingles
 from siltstone.llm.shingles import minwise, overlap, shingle_sets, similar
 
 
@@ -213,11 +214,24 @@ def test_mixing_against_brute_force(spark, odd):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas().set_index("doc_id")
     size, total, target, taken = _mix_brute(rows, mixing.SEEDS)
     for i, (d, _, s) in enumerate(rows):
-        r = got.loc[d]
+        r = got.loc[d].mix
         assert (r["size"], r.source_size, r["size"] * r.copies) == (size[i], total[s], taken[i]) and abs(r.target - target[s]) < 1e-6
-    mixed = mixing.mix(odd)
-    assert mixed.count() == 9 and "_part" in mixed.columns
-    assert mixing.emit(mixed, odd.columns).columns == odd.columns
+
+
+def test_mixing_leaves_all_columns_as_they_are(spark, odd):
+    names = ["_seed", "_odds", "_whole", "_key", "_rates", "source_size", "copies", "target", "mix", "a.b", "key"]
+    docs = odd.select("*", *[F.lit(777 + i).alias(n) for i, n in enumerate(names)])
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix_"] and mixed.drop("mix_").exceptAll(docs).count() == 0 and mixed.count() == 9
+    out = mixing.emit(mixed)
+    assert out.columns == docs.columns and out.dropDuplicates().exceptAll(docs.dropDuplicates()).count() == 0 and out.count() > 0
+
+
+def test_sources_are_numbered_in_order_over_ranges(spark):
+    names = [f"s{i:03}é" if i else None for i in range(300)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame([(s, 1000) for s in names], "source string, size long")).collect()}
+    order = sorted(names, key=lambda s: (s is None, s or ""))
+    assert [got[s] for s in order] == [500.0 * (1, 2, 3)[i % 3] for i in range(300)]
 
 
 def test_mixing_nothing(none):
@@ -236,15 +250,41 @@ def test_edited_texts_and_likeness(spark, odd):
     assert got[2, 0].fingerprint == "" and got[2, 0].near_edited == 1.0
 
 
+def _hash(*values):
+    """What the SQL function xxhash64 gives: each value is hashed with the hash so far for a seed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, h)
+    return h
+
+
 def _omh(text, k=2, size=2):
-    """Occurrence-numbered k-mers in text order; which tuples the bins hold is checked by properties only."""
+    """Order MinHash from its definition: bin number to hash of the bin's tuple."""
     words = re.findall(r"\S+", text)
-    seen, out = defaultdict(int), []
+    seen, bins = defaultdict(int), defaultdict(list)
     for i in range(max(min(len(words), 1), len(words) - k + 1)):
-        g = tuple(words[i : i + k])
-        out.append((g, seen[g]))
-        seen[g] += 1
-    return out
+        gram = _hash(*words[i : i + k]) >> 24
+        # The upper 40 bits, as a signed number.
+        signed = (gram - (1 << 40) if gram >> 39 else gram).to_bytes(8, "little", signed=True)
+        mark = _hash(signed, seen[gram].to_bytes(4, "little")) >> 24
+        seen[gram] += 1
+        bins[mark >> 34].append((mark - (1 << 40) if mark >> 39 else mark, i, mark & (1 << 34) - 1))
+    chosen = {b: [m for _, m in sorted((i, m) for _, i, m in sorted(marks)[:size])] for b, marks in bins.items()}
+    return {b: _hash(*(m.to_bytes(8, "little") for m in marks)) & 0xFFFFFFFF for b, marks in chosen.items()}
+
+
+def test_fingerprints_against_the_definition(spark, long_text):
+    rng = np.random.default_rng(3)
+    texts = ["", "one", "a b", "a b a b a b a b a", "é 日本 x  y\tz", " ".join(rng.choice([f"w{i}" for i in range(40)], 700)), " ".join(f"w{i}" for i in range(300)), long_text]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [_omh(t) for t in texts]
+    for r in fingerprint.digest_rows(df).collect():
+        mine = want[r.doc_id]
+        assert {int(r.fingerprint[i : i + 10], 16) for i in range(0, len(r.fingerprint), 10)} == {b << 32 | h for b, h in mine.items()}
+        t, nxt = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        edited = _omh(t[: len(t) - len(t) // 2] + nxt[: len(t) // 2])
+        like = lambda a, b: sum(a.get(k) == b.get(k) for k in a.keys() | b.keys()) / len(a.keys() | b.keys()) if a or b else 1.0
+        assert abs(r.near_edited - like(mine, edited)) < 1e-9 and abs(r.near_next - like(mine, want[(r.doc_id + 1) % len(texts)])) < 1e-9
 
 
 def test_fingerprints_see_edits_and_order(spark, long_text):
@@ -323,6 +363,21 @@ def test_only_maximal_conversations_stay(spark):
         assert got == {c: "".join(f"<|{r}|>\n{t or ''}<|end|>\n" for r, t in convs[c]) for c in (2, 5, 6, 7, None)}
 
 
+def test_chats_against_sql_whatever_the_turn_numbers(spark):
+    import duckdb
+
+    rows = [(1, t, "user", f"t{t}") for t in (0, 1000, 2000)] + [(2, None, "user", "x"), (2, 5, "assistant", "y"), (3, -7, "user", "x"), (3, 10**12, None, "y")]
+    rows += [(4, 1.7e9 // 1 * 1 + i, "user", f"m{i}") for i in range(40)] + [(5, 1.7e9 // 1 * 1 + i, "user", f"m{i}") for i in range(20)]
+    rows += [(6, i, "user", f"long {i}") for i in range(1300)] + [(7, i * 10**6, "user", f"long {i}") for i in range(700)]
+    rows = [(c, None if t is None else int(t), r, x) for c, t, r, x in rows]
+    frame = spark.createDataFrame(rows, TURNS)
+    con = duckdb.connect()
+    con.register("conversations", frame.toArrow())
+    want = con.execute(queries.ORACLE_SQL["op9_chat"]).fetchall()
+    got = [(r.conv_id, r.turns, r.part, r.rendered) for r in chat.format_chats(frame).collect()]
+    assert sorted(got) == sorted(want) and [c for c, *_ in sorted(want)] == [1, 2, 3, 4, 6, 6, 6]
+
+
 def test_odd_turns(spark):
     rows = [(1, None, "user", "b"), (1, 5, None, "c"), (1, 5, "user", "d"), (2, 0, "user", "b"), (2, 1, None, "c")]
     got = {r.conv_id: r.turns for r in chat.format_chats(spark.createDataFrame(rows, TURNS)).collect()}

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltstone.llm import langid, quality, toxicity
+from siltstone.llm import langid, ngrams, quality, toxicity
 from siltstone.llm.common import crc_bucket
 
 GOOD = ["the quick brown fox jumps over the dog", "a small house stands near the river bank", "people walk along the road every day"]
@@ -48,6 +48,117 @@ def test_presence_counts_a_bucket_once():
     assert set(bucket[row == 0]) == set(bucket[row == 1]) and len(set(bucket[row == 0])) == (row == 0).sum() and not (row == 2).any()
 
 
+def _bucket(gram: str, bits: int) -> int:
+    """An n-gram's bucket, character by character."""
+    m, h = 0xFFFFFFFF, ord(gram[0])
+    for c in gram[1:]:
+        h = (h * 0x9E3779B1 + ((ord(c) ^ ord(c) << 11) & m)) & m
+    x = (h + (len(gram) * 0x85EBCA6B & m)) & m
+    return ((x ^ x >> 15) * 0x2C1B3C6D & m) >> 32 - bits
+
+
+def _grams(text: str, sizes: range) -> list[str]:
+    """All n-grams of the words (runs of letters) with their ends."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return [s[i : i + n] for w in words for s in [f"\0{w}\0"] for n in sizes for i in range(len(s) - n + 1)]
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Counts, ratios, the choice of features and the optimum of the regression."""
+    docs, labels = _labelled(spark, 80)
+    rows = docs.join(labels, "doc_id").filter(crc_bucket(F.col("doc_id")) != 0).collect()
+    pos, neg = Counter(), Counter()
+    for r in rows:
+        (pos if r.toxic else neg).update({_bucket(g, toxicity.BITS) for g in _grams(r.text, toxicity.SIZES)})
+    n, m = sum(r.toxic for r in rows), sum(1 - r.toxic for r in rows)
+    ratio = {b: math.log((pos[b] + 1) / (n + 2)) - math.log((neg[b] + 1) / (m + 2)) for b in pos | neg}
+    z = {b: abs(r) - math.sqrt(1 / (pos[b] + 1) + 1 / (neg[b] + 1)) for b, r in ratio.items() if pos[b] + neg[b] >= toxicity.MIN_ROWS and abs(r) >= toxicity.MIN_RATIO}
+    found, search = {}, toxicity.minimize
+
+    def seen(f, x, **k):
+        found["w"] = search(f, x, **k)
+        found["f"] = f
+        return found["w"]
+
+    monkeypatch.setattr(toxicity, "minimize", seen)
+    model = toxicity.fit(docs, labels, features=40)
+    chosen = sorted(z, key=lambda b: (-z[b], b))[:40]
+    assert np.flatnonzero(model.table >= 0).tolist() == sorted(chosen)
+    w = found["w"]
+    for slot, b in enumerate(model.table.argsort()[-len(chosen) :]):
+        assert model.table[b] == slot and math.isclose(model.weight[slot], w[slot] * ratio[b], rel_tol=1e-5, abs_tol=1e-9)
+    # The penalised loss, written out, and its flat point.
+    inv = {s: ratio[b] for b, s in zip(model.table.argsort()[-len(chosen) :].tolist(), range(len(chosen)))}
+
+    def loss(v):
+        total = toxicity.PENALTY / 2 * sum(x * x for x in v[:-1])
+        for r in rows:
+            has = {int(model.table[_bucket(g, toxicity.BITS)]) for g in _grams(r.text, toxicity.SIZES)} - {-1}
+            s = v[-1] + sum(v[k] * inv[k] for k in has)
+            total += (math.log1p(math.exp(-s)) / (2 * n)) if r.toxic else (math.log1p(math.exp(s)) / (2 * m))
+        return total
+
+    assert math.isclose(loss(w), found["f"](w)[0], rel_tol=1e-4)
+    rng = np.random.default_rng(1)
+    assert all(loss(w) <= loss(w + d * 0.05) + 1e-5 for d in rng.normal(size=(20, len(w))))
+
+
+def test_word_scores_against_brute_force():
+    rng = np.random.default_rng(2)
+    odds = rng.normal(size=(1 << langid.BITS, 3)).astype(np.float32)
+    allowed = rng.random((langid.SCRIPTS, 3)) < 0.7
+    texts = ["The quick, brown fox! ünder 12 a", None, "", "слово и two", "日本 x" * 5, "word " * 400]
+    of, scores = langid.word_scores(texts, odds, allowed)
+    want = [(i, w) for i, t in enumerate(texts) for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()]
+    assert of.tolist() == [i for i, _ in want]
+    for (_, w), s in zip(want, scores):
+        # Where the scripts of these texts start.
+        script = 0 if ord(w[0]) < 0x370 else 2 if 0x400 <= ord(w[0]) < 0x530 else 13
+        total = sum(odds[_bucket(g, langid.BITS)] for g in _grams(w, langid.SIZES)) - np.where(allowed[script], 0, 1e3)
+        assert np.allclose(s, total, atol=1e-2), w
+
+
+def test_spans_against_a_plain_walk():
+    rng = np.random.default_rng(6)
+    odds = rng.normal(size=(1 << langid.BITS, 3)).astype(np.float32) * 3
+    allowed = np.ones((langid.SCRIPTS, 3), bool)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(int(rng.integers(1, 9)))) for _ in range(20)]
+    of, lang = langid.label_words(texts, odds, allowed, switch=4.0)
+    _, scores = langid.word_scores(texts, odds, allowed)
+    for i in range(len(texts)):
+        s, mine = scores[of == i], lang[of == i]
+        worth = lambda p: sum(s[k, p[k]] for k in range(len(p))) - 4.0 * sum(a != b for a, b in zip(p, p[1:]))
+        best = max(worth(p) for p in itertools.product(range(3), repeat=len(s)))
+        assert math.isclose(worth(mine.tolist()), best, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_language_odds_against_brute_force(spark):
+    docs = _langs(spark)
+    languages, odds, allowed = langid.fit(docs, crc_bucket(F.col("doc_id")) != 0)
+    counts = {x: Counter() for x in languages}
+    for r in docs.filter(crc_bucket(F.col("doc_id")) != 0).collect():
+        counts[r.lang].update(_bucket(g, langid.BITS) for g in _grams(r.text, langid.SIZES))
+    every = set().union(*counts.values())
+    for b in sorted(every)[:50]:
+        row = np.array([math.log(counts[x][b] + 0.5) - math.log(sum(counts[x].values()) + 0.5 * len(every)) for x in languages])
+        assert np.allclose(odds[b], langid.SCALE * (row - row.mean()), atol=1e-4)
+    assert allowed[0].tolist() == [True, True, False] and allowed[2].tolist() == [False, False, True]
+
+
+def test_counts_are_the_same_however_small_the_parts():
+    rng = np.random.default_rng(4)
+    counts, total = ngrams.Counts(most=20), Counter()
+    for _ in range(60):
+        keys = rng.integers(0, 60, 40)
+        counts.add(keys)
+        if got := counts.full():
+            total.update(dict(zip(got[0].tolist(), got[1].tolist())))
+        total.update()
+    if got := counts.rest():
+        total.update(dict(zip(got[0].tolist(), got[1].tolist())))
+    assert sum(total.values()) == 2400 and counts.rest() is None
+
+
 def _langs(spark):
     data = [(i, " ".join(itertools.islice(itertools.cycle(LANGS[x]), i % 3, i % 3 + 3)), x) for i, x in enumerate(["en", "de", "ru"] * 40)]
     return spark.createDataFrame(data, "doc_id long, text string, lang string")
@@ -134,3 +245,22 @@ def test_quality_keeps_what_is_like_the_trusted(spark, odd, long_text):
     assert {r.kept for r in quality.classify(odd, trusted.limit(0)).collect()} == {True}
     assert quality.classify(odd.limit(0), trusted).count() == 0
     assert quality.classify(odd, odd.select("doc_id")).count() == 9
+
+
+def test_thresholds_are_quantiles_of_texts_the_model_has_not_seen(spark):
+    rng = np.random.default_rng(9)
+    words = [w for g in LANGS["de"] + GOOD for w in g.split()]
+    rows = [(i, " ".join(rng.choice(words, 8)), ["en", "de", None, "xx"][i % 3 if i < 900 else 3]) for i in range(940)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.range(900).withColumnRenamed("id", "doc_id")
+    got = quality.classify(docs, trusted, quantile=0.9).toPandas()
+    fold = {r.doc_id: r.b for r in docs.select("doc_id", crc_bucket(F.col("doc_id")).alias("b")).collect()}
+    learned = _kneser_ney([t for i, t, _ in rows if i < 900 and fold[i]])
+    for r in got.head(40).itertuples():
+        assert math.isclose(r.perplexity, learned(rows[r.doc_id][1]), rel_tol=1e-4)
+    for lang in ("en", "de", None, "xx"):
+        mine = got[got.lang.isna()] if lang is None else got[got.lang == lang]
+        unseen = sorted(got.perplexity[[i for i in got.index if got.doc_id[i] < 900 and not fold[got.doc_id[i]] and (lang == "xx" or rows[got.doc_id[i]][2] == lang)]])
+        limit = unseen[math.ceil(0.9 * len(unseen)) - 1]
+        assert mine.threshold.nunique() == 1 and math.isclose(mine.threshold.iloc[0], limit, rel_tol=1e-6)
+        assert (mine.kept == (mine.perplexity <= limit)).all()

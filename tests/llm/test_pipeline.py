@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from siltstone.llm import queries
+from siltstone.operators.scratch import materialize, scratch_scope
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,6 +64,43 @@ def test_repeated_rows_count_as_one(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None"] and got.columns == docs.columns
 
 
+EXTRA = ["_seed", "_odds", "_whole", "size", "copies", "target", "mix", "_toxicity", "toxicity", "lang_pred", "lang_score", "lang_spans", "hash", "kept", "component_id", "_h"]
+
+
+def _tables(spark, folder, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'{x}' AS {x}" for x in EXTRA]).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_further_columns_and_long_texts_pass_unchanged(spark, tmp_path):
+    long_text = "river stone cloud field horse light music " * 30_000
+    docs = [(i, f"river stone {i} cloud field {i % 7} horse light music", "en", "ab"[i % 2], 40) for i in range(60)] + [(100, long_text, "en", "a", len(long_text)), (101, None, None, None, None)]
+    _tables(spark, tmp_path, docs, [(i, 1, 0) for i in range(60)])
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        columns = left.columns
+        out = stage(spark, left, str(tmp_path))
+        assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        left = spark.read.parquet(f"{tmp_path}/{k}")
+    assert all(r[x] == x for r in left.select(EXTRA).distinct().collect() for x in EXTRA)
+    assert corpus_pipeline.run(spark, str(tmp_path)).filter("doc_id = 100").agg({"length": "sum"}).first()[0] > 200_000
+
+
+def test_no_documents(spark, tmp_path):
+    _tables(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_drop_what_they_no_longer_need(spark, tmp_path):
+    with scratch_scope(spark) as made:
+        kept = materialize(spark.range(3), "kept")
+        materialize(spark.range(4), "gone")
+        paths = list(made)
+        made.remove(paths[0])
+    assert kept.count() == 3 and [os.path.exists(p.removeprefix("file:")) for p in paths] == [True, False]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
