@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 ENCODINGS = ("utf-8", "utf-8-sig", "cp932", "shift_jis", "cp1252", "latin-1")
 
 
@@ -27,6 +29,7 @@ def decode_bytes(data: bytes | None, encodings: Sequence[str] = ENCODINGS, error
 def decoded(content: Column | str, encodings: Sequence[str] = ENCODINGS) -> Column:
     """UTF-8 stays in the JVM; only other bytes go through an Arrow batch."""
     encodings = tuple(encodings)
+    ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def other(batch: pd.Series) -> pd.Series:

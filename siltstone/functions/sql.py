@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.chunk_size import split_by_size
 from ..operators.definitions import chunk_text, extract_defs
+from ..shipping import ship
 from .decode import decode_bytes
 
 
@@ -34,6 +35,7 @@ class SplitBySize:
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.udtf.register("chunk_text", F.udtf(ChunkText, returnType="chunk_idx int, symbol string, content string"))
     spark.udtf.register("extract_defs", F.udtf(ExtractDefs, returnType="def_idx int, symbol string, code string"))
     spark.udtf.register("split_by_size", F.udtf(SplitBySize, returnType="chunk_idx int, content string"))

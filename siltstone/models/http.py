@@ -8,6 +8,12 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from ..shipping import ship
+
 
 class ModelError(Exception):
     def __init__(self, message: str, status: int | None = None, body: str | None = None) -> None:
@@ -47,6 +53,17 @@ def collect_lines(lines: Iterable[bytes | str], on_chunk: Callable[[str], None]
     return "".join(out)
 
 
+def line_text(line: Column) -> Column:
+    """The text that one JSON line adds, null for none."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def read(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: None if x is None else collect_lines([x]) or None)
+
+    return read(line)
+
+
 class HttpClient:
     """`opener(request, timeout)` gives a response with .status, .read() and line iteration; injectable for tests."""
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, strip
+from ..shipping import ship
 from .chunk_size import split_by_size
 from .ranges import ranged, running
 
@@ -259,6 +260,7 @@ def packed_paragraphs(text: Column | str, limit: int) -> Column:
 def chunk_table(df: DataFrame, key: str, text: str, limit: int, least: int) -> DataFrame:
     """(key, chunk_idx, content): all phases, one Arrow batch at a time."""
     kind = df.schema[key].dataType.simpleString()
+    ship(df.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -38,18 +38,10 @@ def split_by_size(text: str, limit: int) -> list[str]:
 
 
 def size_pieces(text: Column | str, limit: int) -> Column:
-    """The same as a column: a fold over token lengths that only appends offsets, then one substring per piece."""
+    """The same as a column, for limits from 1, in time linear in the text: one pattern takes as many characters as end at
+    the edge of a word or of a white-space character, or, inside a longer word, just as many as the limit."""
     text = F.col(text) if isinstance(text, str) else text
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(rf"[{WS}]|[^{WS}]+"), F.lit(0)), lambda t: F.length(t))
-    none = F.array().cast("array<int>")
-
-    def step(s: Column, n: Column) -> Column:
-        over = s["at"] + n - s["start"] > limit
-        hard = F.floor((n - 1) / limit).cast("int")
-        new = F.when(hard > 0, F.transform(F.sequence(F.lit(0), hard), lambda k: (s["at"] + k * limit).cast("int"))).otherwise(F.array(s["at"]))
-        return F.struct((s["at"] + n).cast("int").alias("at"), F.when(over, s["at"] + hard * limit).otherwise(s["start"]).cast("int").alias("start"), F.when(over, F.concat(s["cuts"], new)).otherwise(s["cuts"]).alias("cuts"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), none.alias("cuts"))
-    ends = F.aggregate(sizes, first, step, lambda s: F.when(s["at"] > s["start"], F.concat(s["cuts"], F.array(s["at"]))).otherwise(s["cuts"]))
-    pieces = F.transform(F.array(ends), lambda e: F.transform(e, lambda b, i: F.substring(text, F.when(i == 0, 1).otherwise(F.get(e, i - 1) + 1), b - F.when(i == 0, 0).otherwise(F.get(e, i - 1)))))
-    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.element_at(pieces, 1))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{limit}}}(?:(?<=[{WS}])|(?=[{WS}])|\z)|.{{{limit}}}"), F.lit(0))
+    # The loop starts a piece before a first word that does not fit.
+    first = F.when(text.rlike(rf"\A[^{WS}]{{{limit + 1}}}"), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(first)

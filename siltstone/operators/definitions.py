@@ -14,7 +14,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .chunk_plain import chunk_plain
 from .chunk_size import split_by_size
 
@@ -268,14 +270,20 @@ def chunk_java(text: str, limit: int) -> list[tuple[str, str | None]]:
     return out or [(p, None) for p in split_by_size(text, limit)]
 
 
-def chunked(files: DataFrame, key: str, lang: str, text: str, limit: int, least: int) -> DataFrame:
-    """(key, chunk_idx, symbol, content), symbol `` where there is none."""
-    kind = files.schema[key].dataType.simpleString()
+def chunked(files: DataFrame, key: str, lang: str, text: str, limit: int, least: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, chunk_idx, symbol, content) and the columns to keep; symbol `` where there is none."""
+    ship(files.sparkSession)
+    own = [key, *keep]
 
     def run(batches):
         for batch in batches:
-            rows = [(k, i, symbol or "", piece) for k, g, t in zip(*(batch.column(c).to_pylist() for c in range(3))) for i, (symbol, piece) in enumerate(chunk_text(g, t or "", limit, least))]
-            cols = list(zip(*rows)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=[key, "chunk_idx", "symbol", "content"])
-
-    return files.select(key, lang, text).mapInArrow(run, f"`{key}` {kind}, chunk_idx int, symbol string, content string")
+            rows = [(at, i, symbol or "", piece) for at, (g, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) for i, (symbol, piece) in enumerate(chunk_text(g, t or "", limit, least))]
+            at, idx, symbols, pieces = zip(*rows) if rows else ((), (), (), ())
+            given = [batch.column(2 + k).take(pa.array(at, pa.int32())) for k in range(len(own))]
+            yield pa.RecordBatch.from_arrays([given[0], pa.array(idx, pa.int32()), pa.array(symbols, pa.string()), pa.array(pieces, pa.string()), *given[1:]], names=[key, "chunk_idx", "symbol", "content", *keep])
+
+    kind = lambda c: f"`{c}` {files.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind(key), "chunk_idx int, symbol string, content string", *map(kind, keep)])
+    # Two columns first, under names of their own: a kept column may be the language or the key itself.
+    given = files.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), *own)
+    return given.mapInArrow(run, schema)

@@ -1,27 +1,36 @@
-"""Keyed tables: pure DataFrame operators, and a versioned folder store over them.
-
-A table is a folder of versions v1, v2, ... and a pointer file that names the current one. Writers add a version and
-then move the pointer, so a reader sees one version and the path being read is never overwritten.
-"""
+"""Keyed tables: pure DataFrame operators, and Parquet folders that Spark writes by hash of the key."""
 
 from __future__ import annotations
 
-import uuid
+import json
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import same
+from .scratch import drop_scratch, materialize
+
+PARTS = 64
+PART = "_part"
+
 
-def last_by_key(rows: DataFrame, keys: list[str], order: Column | str) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(F.desc(order) if isinstance(order, str) else order.desc())
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def last_by_key(rows: DataFrame, keys: list[str], order: Column | str | None = None) -> DataFrame:
+    """One row of each key, null being a key too: the last by `order`, or by its place in the input. Nulls in `order` come first.
 
+    An aggregate that is combined before its shuffle, so that a hot key does not meet in one task.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    by = F.monotonically_increasing_id() if order is None else F.col(order) if isinstance(order, str) else order
+    last = rows.select(*keys, F.struct(by.alias("o"), F.struct(*rest, F.lit(0).alias("_any")).alias("r")).alias("_row"))
+    return last.groupBy(*keys).agg(F.max_by("_row.r", F.struct("_row.o")).alias("_row")).select(*[c if c in keys else F.col("_row")[c].alias(c) for c in rows.columns])
 
-def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `existing` whose whole key is not in `incoming`, and all of `incoming`."""
-    return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming, allowMissingColumns=True)
+
+def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str], order: Column | str | None = None) -> DataFrame:
+    """Rows of `existing` whose whole key is not in `incoming`, and of `incoming` the last row of each key. Null keys match."""
+    new = last_by_key(incoming, keys, order)
+    return same(existing, incoming.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def deleted(df: DataFrame, predicate: str | None) -> DataFrame:
@@ -34,14 +43,24 @@ def widened(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in df.columns})
 
 
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """name and n, the number of rows, of each table."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def changed_only(files: DataFrame, existing: DataFrame) -> DataFrame:
     """Files whose (relpath, sha256) the table does not hold."""
     return files.join(existing.select("relpath", "sha256").distinct(), ["relpath", "sha256"], "left_anti")
 
 
 def cache_lookup(pieces: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """pieces (chunk_sha) with the cached vector of the model, null where there is none."""
-    return pieces.join(cache.filter(F.col("model") == model).select("chunk_sha", "vector"), "chunk_sha", "left")
+    """pieces (chunk_sha) with the cached vector of the model, null where there is none; of several the last row's."""
+    known = last_by_key(cache.filter(F.col("model") == model).select("chunk_sha", "vector"), ["chunk_sha"])
+    return pieces.join(known, "chunk_sha", "left")
 
 
 def cache_misses(pieces: DataFrame, cache: DataFrame, model: str) -> DataFrame:
@@ -49,57 +68,120 @@ def cache_misses(pieces: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return pieces.join(cache.filter(F.col("model") == model).select("chunk_sha"), "chunk_sha", "left_anti").dropDuplicates(["chunk_sha"])
 
 
+class TableBusy(RuntimeError):
+    """Another writer is at work, or was stopped while it was."""
+
+
 class Table:
+    """A Parquet folder with one sub-folder for each hash of the key. Appends only add files; upserts and deletes rewrite the
+    sub-folders that they touch, with Spark's own overwriting of partitions, after the new rows were written elsewhere.
+
+    One writer at a time: a second one gets TableBusy instead of losing an update. What a writer that was stopped leaves
+    behind is the mark `_writing`, to be removed by hand once the table was looked at.
+    """
+
     def __init__(self, spark: SparkSession, root: str, name: str) -> None:
         self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
         jvm = spark.sparkContext._jvm
         self._jpath = jvm.org.apache.hadoop.fs.Path
         self._fs = self._jpath(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _version(self) -> str | None:
-        names = sorted((s.getPath().getName() for s in self._fs.listStatus(self._jpath(self.path)) if s.getPath().getName().startswith("CURRENT-")), key=lambda x: int(x.split("-")[1])) if self._fs.exists(self._jpath(self.path)) else []
-        return names[-1].removeprefix("CURRENT-") if names else None
-
     def exists(self) -> bool:
-        return self._version() is not None
-
-    def _commit(self, df: DataFrame) -> Table:
-        number = int((self._version() or "0-").split("-")[0]) + 1
-        version = f"{number}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/v{version}")
-        self._fs.create(self._jpath(f"{self.path}/CURRENT-{version}")).close()
+        return self._fs.exists(self._jpath(f"{self.path}/_schema/_SUCCESS"))
+
+    def _about(self) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/_schema").first()["value"])
+
+    def _describe(self, schema: T.StructType, keys: list[str], parts: int) -> None:
+        text = json.dumps({"schema": schema.jsonValue(), "keys": keys, "parts": parts})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_schema")
+
+    @contextmanager
+    def _writing(self):
+        mark = self._jpath(f"{self.path}/_writing")
+        try:
+            self._fs.create(mark, False).close()
+        except Exception as e:
+            if self._fs.exists(mark):
+                raise TableBusy(self.path) from e
+            raise
+        try:
+            yield
+        finally:
+            self._fs.delete(mark, False)
+
+    def ensure(self, schema: T.StructType, keys: list[str] | None = None, parts: int = PARTS) -> Table:
+        """Open, or create empty. keys: what rows are placed by, the first column by default."""
+        if not self.exists():
+            self._describe(schema, keys or schema.names[:1], parts)
         return self
 
-    def ensure(self, schema: T.StructType) -> Table:
-        """Open, or create empty."""
-        return self if self.exists() else self._commit(self.spark.createDataFrame([], schema))
+    def _read(self) -> DataFrame:
+        schema = T.StructType.fromJson(self._about()["schema"])
+        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField(PART, T.IntegerType())])).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self._version()}")
+        return self._read().drop(PART)
+
+    def _placed(self, rows: DataFrame, about: dict) -> DataFrame:
+        names = T.StructType.fromJson(about["schema"]).names
+        rows = widened(rows, T.StructType.fromJson(about["schema"])).select(*names)
+        return rows.withColumn(PART, F.pmod(F.xxhash64(*about["keys"]), F.lit(about["parts"])).cast("int"))
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
+
+    def _replace(self, touched: list[int], rows: DataFrame) -> None:
+        """The rows instead of what the touched parts (at most as many as the table has) hold."""
+        done = materialize(rows, "table-parts")
+        self._write(done.repartition(PART), "overwrite")
+        left = {r[PART] for r in done.select(PART).distinct().collect()}
+        for part in set(touched) - left:  # an overwrite leaves parts alone that get no row
+            self._fs.delete(self._jpath(f"{self.path}/{PART}={part}"), True)
+        drop_scratch(done)
 
     def add(self, rows: DataFrame) -> Table:
-        return self._commit(self.read().unionByName(rows, allowMissingColumns=True))
+        with self._writing():
+            self._write(self._placed(rows, self._about()), "append")
+        return self
 
-    def upsert(self, rows: DataFrame, keys: list[str]) -> Table:
-        return self._commit(upserted(self.read(), rows, keys))
+    def upsert(self, rows: DataFrame, keys: list[str], order: Column | str | None = None) -> Table:
+        with self._writing():
+            about = self._about()
+            new = materialize(self._placed(last_by_key(rows, keys, order), about), "incoming")
+            there = self._read()
+            if set(about["keys"]) <= set(keys):  # a key is in one part only
+                touched = [r[PART] for r in new.select(PART).distinct().collect()]
+                there = there.filter(F.col(PART).isin(touched))
+            else:
+                touched = list(range(about["parts"]))
+            self._replace(touched, upserted(there, new, keys))
+            drop_scratch(new)
+        return self
 
     def delete_where(self, predicate: str | None) -> Table:
-        return self._commit(deleted(self.read(), predicate)) if predicate and predicate.strip() else self
+        if not (predicate and predicate.strip()):
+            return self
+        with self._writing():
+            touched = [r[PART] for r in self._read().filter(F.expr(predicate)).select(PART).distinct().collect()]
+            if touched:
+                self._replace(touched, deleted(self._read().filter(F.col(PART).isin(touched)), predicate))
+        return self
 
     def add_missing_columns(self, schema: T.StructType) -> Table:
-        now = self.read()
-        return self._commit(widened(now, schema)) if set(schema.names) - set(now.columns) else self
+        """Only the description changes: files without the columns read as null."""
+        with self._writing():
+            about = self._about()
+            now = T.StructType.fromJson(about["schema"])
+            if more := [f for f in schema if f.name not in now.names]:
+                self._describe(T.StructType([*now.fields, *more]), about["keys"], about["parts"])
+        return self
 
     def counts(self) -> dict[str, int]:
         return {"rows": self.read().count()}
 
-    def vacuum(self, files: int | None = None) -> Table:
-        """Rewrite into fewer files and remove all other versions."""
-        df = self.read()
-        self._commit(df.coalesce(files) if files else df)
-        keep = self._version()
-        for s in self._fs.listStatus(self._jpath(self.path)):
-            name = s.getPath().getName()
-            if name not in (f"v{keep}", f"CURRENT-{keep}"):
-                self._fs.delete(s.getPath(), True)
+    def vacuum(self) -> Table:
+        """One file for each part."""
+        with self._writing():
+            self._replace([], self._read())
         return self

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import globs, text, vectors
+from ..models import http
 from ..operators import chunk_plain, chunk_size, definitions, knn, memory, pack, store
+from ..operators.scratch import scratch_path
+from ..sources import repo
+from . import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,6 +23,9 @@ ORACLE_SQL: dict[str, str] = {}
 #: White space in the SQL engine's regex syntax: the same characters as functions.text.WS.
 _WS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LIMIT = 200
+RECALL = 0.9
+#: Labels to search in are broadcast up to this count.
+FEW_LABELS = 10_000
 MODEL = "m1"
 
 
@@ -65,18 +74,22 @@ def knn_cosine_batch(spark, sf_dir):
 def knn_filtered_label(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     one = e.filter("vec_id = 0")
-    return _nearest(e.join(F.broadcast(one.select("label")), "label", "left_semi"), one, 5)
+    labels = one.select("label").distinct()
+    few = labels.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    return _nearest(e.join(F.broadcast(labels) if few else labels, "label", "left_semi"), one, 5)
 
 
-@query()
+@query("SELECT count(*) AS queries, true AS reaches FROM embeddings WHERE vec_id % 50 = 0")
 def knn_ivf_recall(spark, sf_dir):
-    """Recall of the inverted file against the exact search, over every 50th vector; every vector is indexed."""
+    """Does the inverted file find nine tenths of what the exact search finds, over every 50th vector? Every vector is indexed."""
     e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     exact = knn.nearest(e, asked, 12).select("query_id", "vec_id")
-    indexed, centers = knn.build_ivf(e, 16)
-    found = knn.probe_ivf(indexed, centers, asked, 12, 12).select("query_id", "vec_id", F.lit(1).alias("hit"))
-    return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    path = scratch_path(spark, "ivf")
+    centers = knn.build_ivf(e, path)
+    found = knn.probe_ivf(spark.read.parquet(path), centers, asked, 12).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    per = exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return per.agg(F.count("*").alias("queries"), (F.avg("recall") >= RECALL).alias("reaches"))
 
 
 @query("""
@@ -220,7 +233,7 @@ def chunk_defs(spark, sf_dir):
 def upsert_replace(spark, sf_dir):
     there = _t(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("value"))
     new = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("value"))
-    return store.upserted(there, new, ["doc_id"])
+    return store.upserted(there, new, ["doc_id"], "value")
 
 
 @query("""
@@ -255,11 +268,7 @@ def changed_only(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")))
 def table_counts(spark, sf_dir):
-    counts = [_t(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return store.counted({t: _t(spark, sf_dir, t) for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")})
 
 
 # ---- paths
@@ -297,7 +306,7 @@ def hidden_filter(spark, sf_dir):
 
 @query("SELECT doc_id, octet_length(encode(text)) AS size_bytes FROM documents WHERE octet_length(encode(text)) <= 4000")
 def size_gate(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size_bytes")).filter("size_bytes <= 4000")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size_bytes")).filter(repo.within(F.col("size_bytes"), 4000 / (1 << 20)))
 
 
 # ---- context packing: a conversation's turns are its ranked pieces
@@ -371,7 +380,9 @@ def memory_text_block(spark, sf_dir):
 
 @query("SELECT user_id, string_agg(json_extract_string(props, '$.k'), ',' ORDER BY event_id) AS collected FROM events GROUP BY user_id")
 def ndjson_collect(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"))
+    # Each event as the line that a streaming server would send; the client's reader gives its text.
+    line = F.to_json(F.struct(F.struct(F.get_json_object("props", "$.k").alias("content")).alias("message"), F.lit(False).alias("done")))
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", http.line_text(line).alias("k"))
     return pack.gathered_text(rows, ["user_id"], "event_id", "k", ",").withColumnRenamed("context", "collected")
 
 
@@ -385,29 +396,96 @@ def preview_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.preview("text", 300).alias("preview"))
 
 
-_MD = "# Title\n\nbody\n\n## Sub head  \nmore\n#hash\n### Third"
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'Title'), (1, 1, 'Sub head'), (1, 2, 'Third')) AS t(id, pos, heading)")
+# ---- definitions: one source text a part and language; {k} and {s} stand for its key and size
+
+_CODE = {
+    "java": "package p;\n// class No { }\npublic class C{k} {\n    int f = {s};\n    C{k}() { f = 1; }\n    public void put{s}(int a) { if (a > 0) { f = a; } }\n    interface Inner { void run(); }\n}\n",
+    "kotlin": "class C{k}(val a: Int) {\n    fun put{s}(b: Int): Int {\n        return a + b\n    }\n}\nfun top{s}(): Int = {s}\n",
+    "groovy": "class C{k} {\n    def put{s}(a) { return [a] }\n}\ndef top{s}(x) { x }\n",
+    "javascript": "class C{k} {\n  put{s}(a) { return `{${a}}`; }\n}\nfunction top{s}(b) { return '}'; }\n",
+    "typescript": "export class C{k} {\n  private put{s}(a: number): number { return a; }\n}\nasync function top{s}(b: string): Promise<void> { await b; }\n",
+    "tsx": "function App{k}(p: P) { return <b>{p.x}</b>; }\n",
+    "python": "import os\n\nclass C{k}:\n    def put{s}(self, a):\n        return {\"a\": a}\n\n    x = {s}\n\ndef top{s}():\n    # def no(): pass\n    return 1\n\nx = 2\n",
+    "xml": "<mapper namespace=\"com.P{k}\"><select id=\"find{s}\">a <where>b</where></select><sql id=\"cols\">c</sql></mapper>",
+    "yaml": "a: {k}\nb:\n  - {s}\n---\nc: 1\n",
+    "markdown": "# Title {k}\n\nbody\n\n```\n# no\n```\n\nPart {s}\n------\n\n## Last\n",
+}
+_FOUND = {
+    "java": [
+        ("C{k}", "public class C{k} {\n    int f = {s};\n    C{k}() { f = 1; }\n    public void put{s}(int a) { if (a > 0) { f = a; } }\n    interface Inner { void run(); }\n}"),
+        ("C{k}.C{k}", "C{k}() { f = 1; }"), ("C{k}.put{s}", "public void put{s}(int a) { if (a > 0) { f = a; } }"), ("Inner", "interface Inner { void run(); }"), ("Inner.run", "void run();"),
+    ],
+    "kotlin": [("C{k}", "class C{k}(val a: Int) {\n    fun put{s}(b: Int): Int {\n        return a + b\n    }\n}"), ("C{k}.put{s}", "fun put{s}(b: Int): Int {\n        return a + b\n    }"), ("top{s}", "fun top{s}(): Int = {s}")],
+    "groovy": [("C{k}", "class C{k} {\n    def put{s}(a) { return [a] }\n}"), ("C{k}.put{s}", "def put{s}(a) { return [a] }"), ("top{s}", "def top{s}(x) { x }")],
+    "javascript": [("C{k}", "class C{k} {\n  put{s}(a) { return `{${a}}`; }\n}"), ("C{k}.put{s}", "put{s}(a) { return `{${a}}`; }"), ("top{s}", "function top{s}(b) { return '}'; }")],
+    "typescript": [("C{k}", "class C{k} {\n  private put{s}(a: number): number { return a; }\n}"), ("C{k}.put{s}", "private put{s}(a: number): number { return a; }"), ("top{s}", "async function top{s}(b: string): Promise<void> { await b; }")],
+    "tsx": [("App{k}", "function App{k}(p: P) { return <b>{p.x}</b>; }")],
+    "python": [("C{k}", "class C{k}:\n    def put{s}(self, a):\n        return {\"a\": a}\n\n    x = {s}"), ("C{k}.put{s}", "def put{s}(self, a):\n        return {\"a\": a}"), ("top{s}", "def top{s}():\n    # def no(): pass\n    return 1")],
+    "xml": [
+        ("com.P{k}.mapper", "<mapper namespace=\"com.P{k}\"><select id=\"find{s}\">a <where>b</where></select><sql id=\"cols\">c</sql></mapper>"), ("com.P{k}.mapper.select#find{s}", "<select id=\"find{s}\">a <where>b</where></select>"),
+        ("com.P{k}.mapper.where", "<where>b</where>"), ("com.P{k}.mapper.sql#cols", "<sql id=\"cols\">c</sql>"),
+    ],
+    "yaml": [("", "a: {k}\nb:\n  - {s}\n"), ("", "---\nc: 1\n")],
+    "markdown": [("Title {k}", "# Title {k}"), ("Part {s}", "Part {s}\n------"), ("Last", "## Last")],
+}
+_text = lambda s: "'" + s.replace("'", "''") + "'"
+_FOUND_ROWS = ", ".join(f"({_text(lang)}, {i}, {_text(symbol)}, {_text(code)})" for lang, found in _FOUND.items() for i, (symbol, code) in enumerate(found))
+_FILLED = "replace(replace({x}, '{{k}}', CAST(p_partkey AS VARCHAR)), '{{s}}', CAST(p_size AS VARCHAR))"
+
+
+@query(f"""SELECT p_partkey, lang || ':' || p_partkey AS id, lang, CAST(i AS INTEGER) AS chunk_idx, {_FILLED.format(x="symbol")} AS symbol, {_FILLED.format(x="code")} AS content
+FROM part, (VALUES {_FOUND_ROWS}) AS t(lang, i, symbol, code)""")
+def definition_chunks(spark, sf_dir):
+    """Every language's scanner, on a source text for every part."""
+    code = F.explode(F.create_map(*[F.lit(x) for pair in _CODE.items() for x in pair])).alias("lang", "code")
+    files = _t(spark, sf_dir, "part").select("p_partkey", "p_size", code).withColumn("code", F.replace(F.replace("code", F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string")))
+    files = files.withColumn("id", F.concat("lang", F.lit(":"), F.col("p_partkey").cast("string")))
+    return definitions.chunked(files, "id", "lang", "code", 2400, 200, keep=("p_partkey", "lang"))
+
+
+@query("""SELECT p_partkey, CAST(i AS INTEGER) AS pos, l[i + 1] AS heading
+FROM (SELECT p_partkey, ['Title ' || p_name, 'Sub ' || p_type, p_brand] AS l FROM part), unnest(range(len(l))) AS r(i)""")
 def markdown_headings(spark, sf_dir):
-    return spark.createDataFrame([(1, _MD), (2, "no heading")], "id int, md string").select("id", F.posexplode(text.heading_lines("md")).alias("pos", "heading"))
+    md = F.concat(F.lit("# Title "), "p_name", F.lit("\n\nbody\n\n## Sub "), "p_type", F.lit("  \nmore\n#hash\n### "), "p_brand", F.lit("\n####### no"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.posexplode(text.heading_lines(md)).alias("pos", "heading"))
 
 
-@query("SELECT * FROM (VALUES ('public void foo(int a)', 'foo'), ('Bar (x)', 'Bar'), ('no call', 'unknown'), ('a.b.c(d(e))', 'c')) AS t(signature, symbol)")
+@query("""SELECT s_suppkey, CASE CAST(s_suppkey % 4 AS INTEGER) WHEN 0 THEN 'f' || s_nationkey WHEN 1 THEN 'Bar' WHEN 2 THEN 'unknown' ELSE 'c' || s_nationkey END AS symbol FROM supplier""")
 def java_signature_symbol(spark, sf_dir):
-    rows = spark.createDataFrame([(s,) for s in ("public void foo(int a)", "Bar (x)", "no call", "a.b.c(d(e))")], "signature string")
-    return rows.select("signature", text.signature_symbol("signature").alias("symbol"))
+    n = F.col("s_nationkey").cast("string")
+    signature = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("public void f"), n, F.lit("(int a)"))).when(F.col("s_suppkey") % 4 == 1, F.lit("Bar (x)")).when(F.col("s_suppkey") % 4 == 2, F.lit("no call")).otherwise(F.concat(F.lit("a.b.c"), n, F.lit("(d(e))")))
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", text.signature_symbol(signature).alias("symbol"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'com.foo.M.mapper'), (1, 1, 'com.foo.M.mapper.select#findById'), (1, 2, 'com.foo.M.mapper.where'), (1, 3, 'com.foo.M.mapper.sql#cols'), (2, 0, 'mapper'), (2, 1, 'mapper.update#u')) AS t(id, chunk_idx, symbol)")
+@query("""SELECT n_nationkey, CAST(i AS INTEGER) AS chunk_idx, l[i + 1] AS symbol FROM (
+SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN ['mapper', 'mapper.update#u' || n_nationkey]
+       ELSE ['com.' || n_name || '.mapper', 'com.' || n_name || '.mapper.select#find' || n_nationkey, 'com.' || n_name || '.mapper.where', 'com.' || n_name || '.mapper.sql#cols'] END AS l FROM nation), unnest(range(len(l))) AS r(i)""")
 def xml_mapper_symbols(spark, sf_dir):
-    docs = [(1, "xml", '<mapper namespace="com.foo.M"><select id="findById">a <where>b</where></select><sql id="cols">c</sql></mapper>'), (2, "xml", "<mapper><update id='u'>x</update></mapper>")]
-    return definitions.chunked(spark.createDataFrame(docs, "id int, lang string, content string"), "id", "lang", "content", 2400, 0).select("id", "chunk_idx", "symbol")
+    n = F.col("n_nationkey").cast("string")
+    named = F.concat(F.lit('<mapper namespace="com.'), "n_name", F.lit('"><select id="find'), n, F.lit('">a <where>b</where></select><sql id="cols">c</sql></mapper>'))
+    xml = F.when(F.col("n_regionkey") == 0, F.concat(F.lit("<mapper><update id='u"), n, F.lit("'>x</update></mapper>"))).otherwise(named)
+    docs = _t(spark, sf_dir, "nation").select("n_nationkey", F.lit("xml").alias("lang"), xml.alias("content"))
+    return definitions.chunked(docs, "n_nationkey", "lang", "content", 2400, 0).select("n_nationkey", "chunk_idx", "symbol")
+
 
+# ---- ingest: documents are the files; no paragraph is parted, so each has one chunk at most
 
-@query("""SELECT count(*) AS files_seen, count(CASE WHEN length(text) > 0 THEN 1 END) AS files_indexed, count(DISTINCT sha256(text)) AS chunks_embedded,
-count(*) - count(DISTINCT sha256(text)) AS cache_hits, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents""")
+_WHOLE = 1_000_000_000
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n[{_WS}]*\\n'), lambda p: regexp_replace(p, '^[{_WS}]+|[{_WS}]+$', '', 'g')), lambda p: p <> '') AS l FROM documents),
+c AS (SELECT doc_id, array_to_string(l, chr(10) || chr(10)) AS content FROM p WHERE len(l) > 0)
+SELECT (SELECT count(*) FROM documents) AS files_seen, count(DISTINCT doc_id) AS files_indexed, count(*) AS chunks_written,
+       count(DISTINCT content) AS chunks_embedded, count(*) - count(DISTINCT content) AS cache_hits FROM c""")
 def ingest_summary(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("text", text.content_sha("text").alias("sha"))
-    per = docs.groupBy("sha").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("size"))
-    return per.agg(F.sum("n").alias("files_seen"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("files_indexed"), F.count("*").alias("chunks_embedded"), (F.sum("n") - F.count("*")).alias("cache_hits"), F.sum(F.col("n") * F.col("size")).alias("chars"))
+    docs = _t(spark, sf_dir, "documents")
+    name = F.col("doc_id").cast("string")
+    files = docs.select(name.alias("relpath"), name.alias("path"), name.alias("realpath"), F.lit(False).alias("is_symlink"), F.lit("text").alias("lang"), text.content_sha("text").alias("sha256"), F.lit(0.0).alias("mtime"), F.col("text").alias("content"))
+    rows = ingest.chunk_rows(files, _WHOLE, 0)
+    none = spark.createDataFrame([], schema.VEC_CACHE)
+    misses = store.cache_misses(rows.select(F.col("content_sha").alias("chunk_sha"), "content"), none, MODEL).agg(F.count("*").alias("chunks_embedded"))
+    parts = [ingest.totals(rows), misses, files.agg(F.count("*").alias("files_seen"))]
+    one = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    one = one.agg(*[F.max(c).alias(c) for c in ("files_seen", "files_indexed", "chunks_written", "chunks_embedded")])
+    return one.withColumn("cache_hits", F.col("chunks_written") - F.col("chunks_embedded"))

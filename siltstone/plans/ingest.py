@@ -5,28 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..config import load_config
 from ..functions import text, vectors
-from ..logs import line, stage
+from ..logs import Counter, line, stage
 from ..models.protocol import Embedder, HashEmbedder
 from ..operators import definitions, store
+from ..operators.scratch import drop_scratch, materialize
+from ..shipping import ship
 from ..sources.repo import read_repo
 
+#: Counters log progress after so many items.
+EVERY = {"files": 50, "chunks": 200, "embeds": 100, "writes": 500}
+
 
 def chunk_rows(files: DataFrame, limit: int, least: int) -> DataFrame:
     """Files to chunk rows without vectors: id, symbol, piece hash and the file's own columns."""
-    pieces = definitions.chunked(files, "relpath", "lang", "content", limit, least)
-    own = files.select("relpath", "path", "realpath", "is_symlink", text.lang_or_text(F.col("lang")).alias("lang"), "sha256", F.coalesce("mtime", F.lit(0.0)).alias("mtime"))
-    return pieces.join(own, "relpath").withColumn("id", text.chunk_id("relpath", "chunk_idx")).withColumn("content_sha", text.content_sha("content"))
+    pieces = definitions.chunked(files, "relpath", "lang", "content", limit, least, keep=("path", "realpath", "is_symlink", "lang", "sha256", "mtime"))
+    return pieces.withColumns({"lang": text.lang_or_text(F.col("lang")), "mtime": F.coalesce("mtime", F.lit(0.0)), "id": text.chunk_id("relpath", "chunk_idx"), "content_sha": text.content_sha("content")})
 
 
 def embedded(misses: DataFrame, model: str, make: Callable[[], Embedder], batch: int = 64) -> DataFrame:
     """(chunk_sha, content) to (chunk_sha, model, vector); each worker makes one client."""
 
+    ship(misses.sparkSession)
+
     def run(batches):
         client = make()
         for b in batches:
@@ -38,6 +44,11 @@ def embedded(misses: DataFrame, model: str, make: Callable[[], Embedder], batch:
     return misses.select("chunk_sha", "content").mapInArrow(run, schema.VEC_CACHE)
 
 
+def totals(rows: DataFrame) -> DataFrame:
+    """What chunk rows (relpath) come to."""
+    return rows.agg(F.count_distinct("relpath").alias("files_indexed"), F.count("*").alias("chunks_written"))
+
+
 def run_ingest(spark: SparkSession, repo_root: str | None = None, db_dir: str | None = None, table_name: str | None = None, config_path: str | None = None, force_reembed: bool = False, make_embedder: Callable[[], Embedder] | None = None, changed_only: bool = False) -> dict[str, int]:
     """Index a tree. Contents the cache holds are not embedded again, equal contents once; returns the summary."""
     cfg, _ = load_config(config_path)
@@ -45,23 +56,33 @@ def run_ingest(spark: SparkSession, repo_root: str | None = None, db_dir: str |
     dim, model = cfg["embedding"]["dim"], cfg["embedding"]["model"]
     make = make_embedder or (lambda: HashEmbedder(dim))
     chunks, cache = store.Table(spark, db, name).ensure(schema.CHUNKS), store.Table(spark, db, "vec_cache").ensure(schema.VEC_CACHE)
+    counters = {n: Counter(n, every) for n, every in EVERY.items()}
     with stage("ingest"):
         files = read_repo(spark, root, cfg["indexing"])
         if changed_only:
             files = store.changed_only(files, chunks.read())
-        rows = chunk_rows(files, cfg["indexing"]["max_chunk_chars"], cfg["indexing"]["min_chunk_chars"]).persist()
+        # Files are read once: what is made of them is written, and they are counted on the way.
+        seen = Observation("files")
+        rows = chunk_rows(files.observe(seen, F.count("*").alias("n")), cfg["indexing"]["max_chunk_chars"], cfg["indexing"]["min_chunk_chars"])
+        rows = materialize(rows, "chunk-rows")
+        counters["files"].update(seen.get["n"])
         pieces = rows.select(F.col("content_sha").alias("chunk_sha"), "content")
         known = cache.read().limit(0) if force_reembed else cache.read()
         misses = store.cache_misses(pieces, known, model)
         # Vectors go to the cache table before anything reads them, so a retried task embeds but nothing embeds twice for good.
         n_new = misses.count()
+        counters["embeds"].update(n_new)
         if n_new:
             cache.upsert(vectors.validated(embedded(misses, model, make), "vector", dim).withColumn("vector", F.col("vector").cast("array<float>")), ["chunk_sha", "model"])
         with_vectors = store.cache_lookup(rows.withColumn("chunk_sha", F.col("content_sha")), cache.read(), model).select(*schema.CHUNKS.names)
-        n_chunks = rows.count()
-        if n_chunks:
+        summary = {"files_seen": seen.get["n"], **totals(rows).first().asDict(), "chunks_embedded": n_new}
+        summary["cache_hits"] = summary["chunks_written"] - n_new
+        counters["chunks"].update(summary["chunks_written"])
+        if summary["chunks_written"]:
             chunks.upsert(with_vectors, ["id"])
-        summary = {"files_seen": files.count(), "files_indexed": rows.select("relpath").distinct().count(), "chunks_written": n_chunks, "chunks_embedded": n_new, "cache_hits": pieces.select("chunk_sha").count() - n_new}
-        rows.unpersist()
+            counters["writes"].update(summary["chunks_written"])
+        drop_scratch(rows)
+    for c in counters.values():
+        c.close()
     line("ingest_summary", **summary)
     return summary

@@ -12,7 +12,7 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -20,11 +20,22 @@ from pyspark.sql.types import StructType
 from ..functions.decode import ENCODINGS, decode_bytes
 from ..functions.globs import PathFilter
 from ..functions.text import lang_from_path
+from ..shipping import ship
 
 LISTED = "path string, relpath string, realpath string, is_symlink boolean, size_bytes long, mtime double"
 READ = LISTED + ", sha256 string, content_sha string, content string, error string"
 
 
+def most_bytes(max_file_mb: float | None) -> int | None:
+    return int(max_file_mb * 1024 * 1024) if max_file_mb else None
+
+
+def within(size_bytes: Column, max_file_mb: float | None) -> Column:
+    """The walker's size gate as a column."""
+    most = most_bytes(max_file_mb)
+    return F.lit(True) if most is None else size_bytes <= most
+
+
 def iter_files(root: str, include: list[str], exclude: list[str], max_file_mb: float | None = None, follow_symlinks: bool = False, include_hidden: bool = True) -> Iterator[str]:
     """Absolute paths under root that pass, in order of relative path; nothing if root is no folder.
 
@@ -32,7 +43,7 @@ def iter_files(root: str, include: list[str], exclude: list[str], max_file_mb: f
     """
     root = os.path.abspath(root)
     chosen = PathFilter(include, exclude, include_hidden)
-    most = int(max_file_mb * 1024 * 1024) if max_file_mb else None
+    most = most_bytes(max_file_mb)
     seen: set[tuple[int, int]] = set()
     for folder, names, files in os.walk(root, followlinks=follow_symlinks):
         here = os.stat(folder)
@@ -65,7 +76,7 @@ def index_file(path: str, root: str, max_file_mb: float | None = None, encodings
     """One file as a record of the read columns; None if it is gone or its real size is over the limit."""
     try:
         row = file_row(path, root)
-        if max_file_mb and row[4] > int(max_file_mb * 1024 * 1024):
+        if max_file_mb and row[4] > most_bytes(max_file_mb):
             return None
         with open(path, "rb") as f:
             data = f.read()
@@ -124,6 +135,7 @@ class RepoDataSource(DataSource):
 
 def read_repo(spark: SparkSession, root: str, indexing: dict, keep_errors: bool = False, **over) -> DataFrame:
     """Files of a tree with language; indexing is that section of the configuration, keywords override it."""
+    ship(spark)
     spark.dataSource.register(RepoDataSource)
     cfg = {**indexing, **{k: v for k, v in over.items() if v is not None}}
     reader = spark.read.format("repo")

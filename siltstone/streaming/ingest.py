@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.store import Table, last_by_key
+from ..operators.store import Table
 
 
 def upsert_stream(stream: DataFrame, table: Table, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
@@ -15,7 +15,7 @@ def upsert_stream(stream: DataFrame, table: Table, keys: list[str], order: str,
 
     def apply(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            table.upsert(last_by_key(batch, keys, order), keys)
+            table.upsert(batch, keys, order)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

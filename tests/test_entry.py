@@ -38,8 +38,7 @@ def test_entry(spark, duck):
 
 
 def test_inverted_file_recall(spark, duck):
-    got = catalogue.knn_ivf_recall(spark, SF).toPandas()
-    assert got.recall.mean() >= 0.9
+    assert catalogue.knn_ivf_recall(spark, SF).first()["reaches"]
 
 
 def test_plain_chunks_keep_every_word(spark, duck):

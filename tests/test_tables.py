@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from siltstone import schema
 from siltstone.functions import globs, text, vectors
 from siltstone.functions.decode import decode_bytes, decoded
-from siltstone.operators import knn, memory, pack, store
+from siltstone.operators import chunk_size, knn, memory, pack, store
 
 
 def test_upsert_replaces_by_key_and_keeps_others(spark, tmp_path):
@@ -19,7 +19,7 @@ def test_upsert_replaces_by_key_and_keeps_others(spark, tmp_path):
     assert rows(t.delete_where("v > 5").read()) == [("b", 2)]
     assert rows(t.delete_where("").read()) == [("b", 2)]
     t.add_missing_columns(T.StructType([T.StructField("path", T.StringType())]))
-    assert rows(t.vacuum(1).read()) == [("b", 2, None)]
+    assert rows(t.vacuum().read()) == [("b", 2, None)]
 
 
 def test_schemas():
@@ -45,7 +45,7 @@ def test_knn_ties_zero_vectors_and_query_blocks(spark):
     asked = spark.createDataFrame([(7, [2.0, 0.0]), (8, [0.0, 1.0])], "query_id int, qvec array<double>")
     few = rows(knn.nearest(df, asked, 4).select("query_id", "rank", "vec_id"), "query_id", "rank")
     assert [r[2] for r in few[:4]] == [1, 2, 4, 3]
-    assert rows(knn.nearest(df, asked, 4, query_rows=1).select("query_id", "rank", "vec_id"), "query_id", "rank") == few
+    assert rows(knn.nearest(df, asked, 4, query_values=2, shard=2).select("query_id", "rank", "vec_id"), "query_id", "rank") == few
 
 
 def test_globs(spark):
@@ -70,8 +70,90 @@ def test_bytes_times_and_empty_index(spark):
     one = spark.createDataFrame([("\u00e9\u00e9x", 1.5)], "t string, mtime double")
     assert one.select(text.byte_slice("t", 0, 3), text.byte_slice("t", 4, 9)).first()[:] == ("\u00e9\ufffd", "x")
     assert schema.with_times(one).first().modified.microsecond == 500_000
-    none = spark.createDataFrame([], "vec_id int, embedding array<double>")
-    assert knn.build_ivf(none, 4)[1] == [] and knn.build_ivf(none, 4)[0].count() == 0
+
+
+VECTORS = "vec_id int, embedding array<double>, tag string"
+
+
+def _exact(data, q, k):
+    def distance(v):
+        if not v or len(v) != len(q) or None in v or not any(v) or not any(q):
+            return None
+        return 1 - sum(a * b for a, b in zip(v, q)) / (sum(a * a for a in v) * sum(b * b for b in q)) ** 0.5
+
+    scored = sorted(((distance(v), i) for i, v, _ in data), key=lambda r: (r[0] is None, r[0] and round(r[0], 9), r[1]))
+    return [(i, d is None) for d, i in scored[:k]]
+
+
+def test_nearest_against_all_pairs(spark, tmp_path):
+    import random
+
+    rnd = random.Random(4)
+    data = [(i, [rnd.gauss(0, 1) for _ in range(6)], f"t{i}") for i in range(300)]
+    data += [(1000 + i, data[5][1], "same") for i in range(30)] + [(2000, None, "a"), (2001, [0.0] * 6, "b"), (2002, [1.0], "c"), (2003, [None] * 6, "d"), (2004, [], "e")]
+    df = spark.createDataFrame(data, VECTORS).repartition(3)
+    asked = [(i, data[i][1]) for i in range(20)] + [(77, [0.0] * 6), (78, None)]
+    queries = spark.createDataFrame(asked, "query_id int, qvec array<double>")
+    for how in ({}, {"query_values": 24, "shard": 64}):
+        got = {}
+        for r in knn.nearest(df, queries, 12, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r._distance is None))
+            assert r.tag == {d[0]: d[2] for d in data}[r.vec_id]
+        assert got == {i: _exact(data, q or [0.0], 12) for i, q in asked}
+    # Every row is in the file, with all cells probed nothing is missed, and few cells read few folders.
+    centers = knn.build_ivf(df, f"{tmp_path}/ivf", 8)
+    indexed = spark.read.parquet(f"{tmp_path}/ivf")
+    assert indexed.count() == len(data) and indexed.filter("cell = -1").count() == 5
+    all_ = knn.probe_ivf(indexed, centers, queries, 12, probes=8)
+    assert {(r.query_id, r.vec_id) for r in all_.filter("query_id < 77").collect()} == {(i, v) for i, q in asked[:20] for v, _ in _exact(data, q, 12)}
+    near = knn.probe_ivf(indexed, centers, queries.filter("query_id < 77"), 12).groupBy("query_id").count().collect()
+    assert len(near) == 20
+    none = spark.createDataFrame([], VECTORS)
+    assert knn.build_ivf(none, f"{tmp_path}/none", 4) == [] and knn.nearest(none, queries, 3).count() == 0 and knn.nearest(df, queries.limit(0), 3).count() == 0
+
+
+def test_the_last_row_of_a_key_wins_null_is_a_key(spark, tmp_path):
+    kv = "id string, v int, t int"
+    there = spark.createDataFrame([("a", 1, 0), (None, 2, 0), ("c", 3, 0)], kv)
+    new = spark.createDataFrame([("a", 10, 1), ("a", 11, 3), ("a", 12, 2), (None, 20, 1)], kv)
+    assert rows(store.upserted(there, new, ["id"], "t").select("id", "v").filter("id IS NOT NULL"), "id") == [("a", 11), ("c", 3)]
+    assert [r.v for r in store.upserted(there, new, ["id"], "t").filter("id IS NULL").collect()] == [20]
+    assert [r.v for r in store.last_by_key(new.coalesce(1), ["id"]).filter("id = 'a'").collect()] == [12]
+    cache = spark.createDataFrame([("X", "m", [0.5]), ("X", "m", [0.75])], schema.VEC_CACHE).coalesce(1)
+    assert [tuple(r) for r in store.cache_lookup(spark.createDataFrame([("X",)], "chunk_sha string"), cache, "m").collect()] == [("X", [0.75])]
+    t = store.Table(spark, str(tmp_path), "kv").ensure(there.schema)
+    t.add(there)
+    t.upsert(new, ["id"], "t").upsert(new, ["id"], "t")
+    assert sorted((str(r.id), r.v) for r in t.read().collect()) == [("None", 20), ("a", 11), ("c", 3)]
+
+
+def test_a_table_rewrites_only_what_it_touches_and_sees_other_writers(spark, tmp_path):
+    t = store.Table(spark, str(tmp_path), "kv").ensure(T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.IntegerType())]), parts=8)
+    t.add(spark.range(100).selectExpr("id", "0 AS v"))
+    files = lambda: {p for p in (tmp_path / "kv").rglob("*.parquet")}
+    before = files()
+    t.upsert(spark.createDataFrame([(5, 1)], "id long, v int"), ["id"])
+    assert 0 < len(before - files()) < len(before) and t.counts() == {"rows": 100}
+    assert [r.v for r in t.read().filter("id = 5").collect()] == [1]
+    t.delete_where("id >= 0")
+    assert t.counts() == {"rows": 0} and not files()
+    with t._writing(), pytest.raises(store.TableBusy):
+        t.add(spark.createDataFrame([(1, 1)], "id long, v int"))
+    assert t.add(spark.createDataFrame([(1, 1)], "id long, v int")).counts() == {"rows": 1}
+
+
+def test_size_pieces_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("word and more " * (n // 14) + "x" * 1000,)], "t string")
+        began = time.perf_counter()
+        df.select(F.size(chunk_size.size_pieces("t", 200))).collect()
+        return time.perf_counter() - began
+
+    seconds(100_000)
+    one, two = min(seconds(1_000_000) for _ in range(3)), min(seconds(2_000_000) for _ in range(3))
+    assert two < 3.5 * one + 0.5
 
 
 def test_decoding(spark):
