@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shipping
 from ..operators.scratch import drop_scratch, materialize, scratch_path, scratch_root
 
 #: A side of a join is broadcast only when it was counted and has at most so many rows.
@@ -21,27 +18,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tasks that a bounded sample of training rows is dealt to.
 SAMPLE_PARTS = 8
 
-_shipped: set[str] = set()
-
-
 #: Rows of an Arrow batch, unless the session names another number than Spark's own: a worker holds few whole texts at once.
 BATCH_ROWS = "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Send the package to the executors, and keep Arrow batches small where the session has Spark's own size."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="siltstone-")) / "siltstone_pkg.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
+    shipping.ship(spark)
 
 
 def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -9,7 +9,8 @@ A shard (one row of the Parquet files written, any store that Spark writes to wi
   magic b"S8B1", then little-endian: u32 documents, u64 ids, u32 blocks, u64 words,
   u32 * documents: ids of each document, u64 * (blocks + 1): offset of each block's first word, u64 * words.
 The rows also carry doc_ids, in ascending order, and `before`, the ids of earlier shards of the part; shards are in
-ascending order of (part, shard). A part is one range of (doc_id, text), so an id that many rows share is spread.
+ascending order of (part, shard). A part is one range of (doc_id, hash of the text, place in the input), so an id that
+many rows share is spread.
 
 Edge cases: a null or empty text is the end id alone; a null doc_id comes first; rows that share a doc_id stand in text
 order; an empty table writes no shard and reads back empty; other columns are not stored.
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.ranges import few_samples
 from .common import BROADCAST_ROWS, scratch_path, ship, small_join
 from .tokens import encoder, vocabulary_path
 
@@ -189,11 +189,11 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end_id
             yield row()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cols = documents.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("tie", F.monotonically_increasing_id())
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text"), F.col("tie")]
+    # Bounds of ranges are drawn from ids, hashes and places, never from texts.
+    cols = documents.select("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("tie"), F.col("text").cast("binary").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("tie")]
     rows = cols.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
-    with few_samples(spark):
-        rows.mapInArrow(run, FILES).write.parquet(path)
+    rows.mapInArrow(run, FILES).write.parquet(path)
     return path
 
 
