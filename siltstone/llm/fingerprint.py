@@ -9,8 +9,9 @@ All work is per row, in arrays of longs: a k-mer is a hash's upper 40 bits with
 sort numbers occurrences and another selects. A text of more than 2**24 words is numbered in places modulo 2**24.
 
 Edge cases: a null text is empty; texts without words have an empty fingerprint, and two empty fingerprints have
-likeness 1; with fewer than K words the whole is one k-mer; equal texts have equal fingerprints; rows that repeat a
-doc_id are neighbours in text order; a null doc_id comes first; an empty table gives an empty result.
+likeness 1; with fewer than K words the whole is one k-mer, which is also all that a text without white space has; equal
+texts have equal fingerprints; rows that repeat a doc_id are neighbours, in the order of a hash; a null doc_id comes
+first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ TUPLE = 2
 #: A power of two; BIN_BITS of it.
 BINS, BIN_BITS = 64, 6
 PLACE = (1 << 24) - 1
+#: Rows of a range, about, and quantiles that the driver gets at most.
+RANGE_ROWS = 32_768
+TOPS = 256
 WORD = r"[^\s]+"
 
 
@@ -65,41 +69,62 @@ def _pick(bounds: list, lo: int, hi: int, id_: str) -> Column:
     return F.when(F.col(id_) >= bounds[mid], _pick(bounds, mid + 1, hi, id_)).otherwise(_pick(bounds, lo, mid, id_))
 
 
+def _ranges(documents: DataFrame, id_: str, order: Column, buckets: int | None) -> tuple[Column, int]:
+    """The number of each row's range, ascending with (id, order), and how many ranges there are about.
+
+    Bounds are quantiles of the ids, with ranges of equal width between them. An id that more rows share than a quantile
+    holds (null is an id too) has ranges of its own, by `order`, which is spread evenly over all longs.
+    """
+    spark = documents.sparkSession
+    rows = documents.count()
+    wanted = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+    tops = min(wanted, TOPS)
+    cuts = documents.approxQuantile(id_, [i / tops for i in range(1, tops)], 0.25 / tops) if tops > 1 else []
+    # At most TOPS ids can have so many rows.
+    least = max(rows // TOPS, 2 * rows // wanted, 1)
+    hot = {r[id_]: r["count"] for r in documents.groupBy(id_).count().filter(F.col("count") > least).collect()}
+    bounds = sorted(b for b in {int(c) for c in cuts} | {b for h in hot if h is not None for b in (h, h + 1)} if -(1 << 63) <= b < 1 << 63)
+    fine = -(-wanted // tops)
+    own = {h: max(1, min(wanted, -(-n * wanted // rows))) for h, n in hot.items()}
+    most = max([fine, *own.values()])
+    number = _pick(bounds, 0, len(bounds), id_)
+    inside = F.lit(0)
+    if fine > 1 and bounds:
+        low = F.element_at(F.array(*[F.lit(x) for x in [bounds[0], *bounds]]), (number + 1).cast("int"))
+        high = F.element_at(F.array(*[F.lit(x) for x in [*bounds, bounds[-1]]]), (number + 1).cast("int"))
+        inside = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((F.col(id_).cast("double") - low.cast("double")) * fine / F.greatest(F.lit(1.0), high.cast("double") - low.cast("double")))))
+    share = lambda n: F.floor(F.shiftrightunsigned(F.shiftright(order, 1) + F.lit(1 << 62), 32) * n / float(1 << 31))
+    for h, n in own.items():
+        inside = F.when(F.col(id_).eqNullSafe(F.lit(h)), F.least(F.lit(n - 1), share(n))).otherwise(inside)
+    return F.when(F.isnull(id_), -1).otherwise(number) * most + F.coalesce(inside.cast("long"), F.lit(0)), wanted
+
+
 def with_next(documents: DataFrame, columns: list[str], id_: str = "doc_id", text: str = "text", buckets: int | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """documents plus next_<column> from the row that follows in ascending (id, text); the last row's is the first's.
+    """documents plus next_<column> from the row that follows in ascending id; the last row's is the first's. Rows that share
+    an id follow each other in the order of a hash of their text and place.
 
     prepare adds columns that are to be sent along; it runs once on each row.
 
     Ranges of ids are dealt out once. The first row of each range is also sent to the range before it, so nothing but
-    range bounds and one id per range goes through the driver.
+    range bounds and one row number per range goes through the driver.
     """
     spark = documents.sparkSession
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tops = min(buckets, 256)
-    cuts = documents.approxQuantile(id_, [i / tops for i in range(1, tops)], 0.25 / tops) if tops > 1 else []
-    bounds = sorted({int(c) for c in cuts})
-    number = F.coalesce(_pick(bounds, 0, len(bounds), id_), F.lit(0))
-    fine = -(-buckets // tops)
-    if fine > 1:  # equal widths inside the quantiles
-        edges = [b for b in bounds]
-        low = F.coalesce(F.element_at(F.array(*[F.lit(x) for x in [edges[0], *edges]]), (number + 1).cast("int")), F.lit(0))
-        high = F.coalesce(F.element_at(F.array(*[F.lit(x) for x in [*edges, edges[-1]]]), (number + 1).cast("int")), F.lit(0))
-        inside = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((F.col(id_) - low) * fine / F.greatest(F.lit(1), high - low))))
-        number = number * fine + F.coalesce(inside, F.lit(0))
-    keyed = documents.withColumn("_bucket", number.cast("long")).withColumn("_ghost", F.lit(0))
-    order = [F.col("_ghost"), F.col(id_).asc_nulls_first(), F.col(text)]
-    firsts = sorted((r["_bucket"], (r["lo"], r["nulls"])) for r in keyed.groupBy("_bucket").agg(F.min(id_).alias("lo"), F.max(F.col(id_).isNull()).alias("nulls")).collect())
+    # Equal rows differ by the input partition they stand in, so that a group of them is spread as well.
+    placed = documents.withColumn("_order", F.xxhash64(F.col(text), F.spark_partition_id())).withColumn("_row", F.monotonically_increasing_id())
+    number, parts = _ranges(documents, id_, F.col("_order"), buckets)
+    keyed = placed.withColumn("_bucket", number.cast("long")).withColumn("_ghost", F.lit(0))
+    key = [F.isnotnull(id_).alias("some"), F.col(id_).alias("id"), F.col("_order").alias("order"), F.col("_row").alias("row")]
+    firsts = sorted((r["_bucket"], r["row"]) for r in keyed.groupBy("_bucket").agg(F.min(F.struct(*key)).alias("head")).select("_bucket", "head.row").collect())
     if not firsts:
         return prepare(documents).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    heads = [(None if nulls else lo, firsts[i - 1][0], i) for i, (_, (lo, nulls)) in enumerate(firsts)]
-    sent = spark.createDataFrame([(h, b) for h, b, _ in heads], f"_head long, _to long")
-    # One id per range: the broadcast has as many rows as there are ranges. Of rows that repeat an id the first by text is the head.
-    ghosts = keyed.join(F.broadcast(sent), F.col(id_).eqNullSafe(F.col("_head"))).withColumn("_bucket", F.col("_to")).withColumn("_ghost", F.lit(1)).drop("_head", "_to")
-    w = W.partitionBy("_bucket").orderBy(*order)
-    out = prepare(keyed.unionByName(ghosts))
+    sent = spark.createDataFrame([(row, firsts[i - 1][0]) for i, (_, row) in enumerate(firsts)], "_row long, _to long")
+    # One row per range: the broadcast has as many as there are ranges.
+    ghosts = keyed.join(F.broadcast(sent), "_row").withColumn("_bucket", F.col("_to")).withColumn("_ghost", F.lit(1)).drop("_to")
+    w = W.partitionBy("_bucket").orderBy("_ghost", F.col(id_).asc_nulls_first(), "_order", "_row")
+    out = prepare(keyed.unionByName(ghosts)).repartition(parts, "_bucket")
     for c in columns:
         out = out.withColumn(f"next_{c}", F.lead(c).over(w))
-    return out.filter("_ghost = 0").drop("_bucket", "_ghost")
+    return out.filter("_ghost = 0").drop("_bucket", "_ghost", "_order", "_row")
 
 
 def fingerprints(documents: DataFrame, k: int = K, size: int = TUPLE) -> DataFrame:

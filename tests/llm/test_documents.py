@@ -310,6 +310,20 @@ def test_next_rows_over_many_ranges(spark):
     assert fingerprint.digest_rows(df.limit(0)).count() == 0
 
 
+def test_ids_that_many_rows_share_are_spread_and_have_neighbours(spark):
+    rows = [(None, f"n{i}") for i in range(300)] + [(50, f"h{i % 40}") for i in range(400)] + [(i, f"t{i}") for i in range(100)] + [((1 << 63) - 1, "top")] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprint.with_next(df, ["text", "doc_id"], buckets=40).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, rows))
+    # One cycle: every row is the next of one row, and ids go up but for the last row.
+    assert sorted((str(r.next_doc_id), r.next_text) for r in got) == sorted((str(i), t) for i, t in rows)
+    up = lambda a, b: (a is not None, a or 0) <= (b is not None, b or 0)
+    assert sum(not up(r.doc_id, r.next_doc_id) for r in got) == 1
+    number, _ = fingerprint._ranges(df, "doc_id", F.xxhash64("text", F.spark_partition_id()), 40)
+    sizes = df.groupBy("doc_id", number.alias("b")).count().groupBy("doc_id").agg(F.count("*").alias("n"), F.max("count").alias("most")).collect()
+    assert all(r.n > 5 and r.most < 150 for r in sizes if r.doc_id in (None, 50))
+
+
 def test_fingerprints_stay_native(spark):
     plan = fingerprint.digest_rows(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
