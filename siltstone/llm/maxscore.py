@@ -6,8 +6,10 @@ bounds: the weakest terms, which even together can't lift a vector above the k-t
 non-essential. Essential postings are traversed for the whole shard; then the others are probed only for vectors whose
 score so far plus the bounds of what is left is still competitive. Shards' best rows merge by window.
 
-Shards and query blocks have fixed sizes, so a task holds one shard's columns and one block's queries, and the queries
-are never broadcast as a whole.
+Every query starts with the k-th best score among a bounded sample of all rows, so a shard returns only what can still be
+among the best, and a shard whose bounds stay below is left at once. Shards and query blocks have fixed sizes, so a task
+holds one shard's columns and one block's queries, and the queries are never broadcast as a whole. Weights travel as the
+smallest whole-number type that holds them all.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; a
 shorter vector lacks the terms beyond its end (weight 0); rows that repeat an id are candidates one by one, and of a
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +29,9 @@ from .common import ship
 
 SCALE = 64
 SHARD = 16_384
-BLOCK = 1_024
-SEED_ROWS = 512
+BLOCK = 4_096
+#: Rows of the sample that every query's first threshold comes from, about.
+SEED_ROWS = 4_096
 PROBE = 4
 
 
@@ -68,6 +72,8 @@ class Shard:
         order = np.argsort(-width, kind="stable")
         spare = np.append(np.cumsum(width[order][::-1])[::-1], 0)  # what terms from here on can add to their floors
         floor = int(lo.sum())
+        if known is not None and int(hi.sum()) < known:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         # Floors are part of every score, so only what terms add above them counts against the threshold.
         need = -(1 << 62) if known is None else known - floor
         essential = int(np.searchsorted(-spare, -need, side="right")) if need > 0 else len(q)
@@ -98,29 +104,49 @@ class Shard:
         best = np.lexsort((self.ids[alive], -score))[:k]
         return self.ids[alive][best], score[best]
 
-    def thresholds(self, own: np.ndarray, q: np.ndarray, k: int) -> list[int | None]:
-        """For each query the k-th best score among a few rows of the shard, if there are k."""
-        n = min(len(self.ids), SEED_ROWS)
-        pick = np.linspace(0, len(self.ids) - 1, n).astype(np.int64)
-        if self.most * int(np.abs(q).max(initial=0)) * q.shape[1] < 1 << 24:  # exact in 32-bit floats
-            scores = (q.astype(np.float32) @ self.rows[pick].T.astype(np.float32)).astype(np.int64)
-        else:
-            scores = q @ self.rows[pick].T
-        scores[own[:, None] == self.ids[pick][None, :]] = np.iinfo(np.int64).min
-        if n <= k:
-            return [None] * len(q)
-        kth = np.partition(scores, n - k, axis=1)[:, n - k]
-        return [None if x == np.iinfo(np.int64).min else int(x) for x in kth.tolist()]
+
+def thresholds(own: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[int | None]:
+    """For each query the k-th best score among the rows of other ids, if there are k."""
+    if len(ids) <= k:
+        return [None] * len(q)
+    if int(np.abs(rows).max(initial=0)) * int(np.abs(q).max(initial=0)) * q.shape[1] < 1 << 24:  # exact in 32-bit floats
+        scores = (q.astype(np.float32) @ rows.T.astype(np.float32)).astype(np.int64)
+    else:
+        scores = q @ rows.T
+    none = np.iinfo(np.int64).min
+    scores[own[:, None] == ids[None, :]] = none
+    kth = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+    return [None if x == none else int(x) for x in kth.tolist()]
+
+
+def _width(*columns: pa.ChunkedArray | pa.Array) -> int:
+    return max(1, *(int(pc.max(pc.list_value_length(c)).as_py() or 0) for c in columns))
+
+
+def _seeded(shared, k: int):
+    """(id, w) of queries plus known, a score that k rows reach."""
+
+    def run(batches):
+        sample = shared.value
+        ids = sample["id"].to_numpy()
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                width = _width(batch.column(1), sample["w"])
+                known = thresholds(batch.column(0).to_numpy(), _matrix(batch.column(1), width), ids, _matrix(sample["w"], width), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.int64())], names=["id", "w", "known"])
+
+    return run
 
 
 def _search(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple = ([], [], [])
         if left.num_rows and right.num_rows:
-            width = max(1, *(int(c.combine_chunks().value_lengths().to_numpy().max()) for c in (left["w"], right["w"])))
+            width = _width(left["w"], right["w"])
             shard = Shard(left["id"].to_numpy(), _matrix(left["w"], width))
             own, q = right["id"].to_numpy(), _matrix(right["w"], width)
-            for i, known in enumerate(shard.thresholds(own, q, k)):
+            for i, known in enumerate(right["known"].to_pylist()):
                 ids, scores = shard.search(int(own[i]), q[i], k, known)
                 out[0].append(np.full(len(ids), own[i], np.int64))
                 out[1].append(ids)
@@ -134,12 +160,21 @@ def _search(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", vector: str = "embedding", scale: int = SCALE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best rows."""
     ship(vectors.sparkSession)
+    spark = vectors.sparkSession
     rows = weights(vectors, id_, vector, scale)
-    ask = weights(vectors.filter(is_query), id_, vector, scale).groupBy("id").agg(F.min("w").alias("w"))
-    n, m = rows.count(), ask.count()
+    size = rows.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("w", F.abs))).alias("most")).first()
+    n, most = size["n"], size["most"] or 0
+    kind = f"array<{'tinyint' if most < 1 << 7 else 'smallint' if most < 1 << 15 else 'int' if most < 1 << 31 else 'long'}>"
+    rows = rows.withColumn("w", F.col("w").cast(kind))
+    ask = weights(vectors.filter(is_query), id_, vector, scale).groupBy("id").agg(F.min("w").cast(kind).alias("w"))
+    m = ask.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
+    # The sample is bounded by its parameter, whatever the number of rows.
+    some = int(min(1.0, SEED_ROWS / max(1, n)) * (1 << 30))
+    shared = spark.sparkContext.broadcast(rows.filter(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < some).toArrow().combine_chunks())
+    asked = ask.mapInArrow(_seeded(shared, k), f"id long, w {kind}, known long")
     left = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = ask.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = asked.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
