@@ -132,14 +132,11 @@ def _merge(chunks: list[Chunk], least: int) -> None:
             continue
         donor = chunks.pop(i + 1)
         gap = bool(chunks[i].parts)
-        while donor.head() is not None:
-            part = donor.parts[0]
-            rest = donor.parts
-            chunks[i].put(part.text, part.cuttable, gap)
-            rest.popleft()
-            for p in rest:
+        if donor.head() is not None:
+            first = donor.parts.popleft()
+            chunks[i].put(first.text, first.cuttable, gap)
+            for p in donor.parts:
                 chunks[i].put(p.text, p.cuttable, p.gap)
-            break
 
 
 def chunk_plain(text: str, limit: int, least: int) -> list[str]:

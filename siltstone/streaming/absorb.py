@@ -21,20 +21,22 @@ def joined_lines(digest: str, lines: str) -> str:
 def absorb_stream(turns: DataFrame, trigger: int = 6, keep: int = 6, cap: int = 12_000, merge: Callable[[str, str], str] = joined_lines) -> DataFrame:
     """turns (conv_id, turn, role, text) to one row per conversation and batch: its digest, live and absorbed turns.
 
-    The state of a conversation holds its digest (at most `cap` characters) and the turns not yet absorbed.
+    The state of a conversation holds its digest (at most `cap` characters) and the turns not yet absorbed. A null turn
+    number comes first; a null role or text is an empty one; turns without a conv_id are one conversation.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         digest, held, done = state.get if state.exists else ("", "[]", 0)
         live = json.loads(held)
         for pdf in batches:
-            live += pdf[["turn", "role", "text"]].to_numpy(dtype=object).tolist()
-        live.sort(key=lambda t: t[0])
+            rows = zip(*(pdf[c].tolist() for c in ("turn", "role", "text")))
+            live += [[None if pd.isna(n) else int(n), None if pd.isna(r) else r, None if pd.isna(t) else t] for n, r, t in rows]
+        live.sort(key=lambda t: (t[0] is not None, t[0] or 0))
         old = live[: max(0, len(live) - keep)] if len(live) >= trigger else []
         if len(old) >= 2:
-            digest = merge(digest, "\n".join(f"{r.capitalize()}: {t}" for _, r, t in old))[-cap:]
+            digest = merge(digest, "\n".join(f"{(r or '').capitalize()}: {t or ''}" for _, r, t in old))[-cap:]
             live, done = live[len(old) :], done + len(old)
         state.update((digest, json.dumps(live), done))
-        yield pd.DataFrame({"conv_id": [key[0]], "digest": [digest], "live": [len(live)], "absorbed": [done]})
+        yield pd.DataFrame({"conv_id": pd.array([key[0]], "Int64"), "digest": [digest], "live": [len(live)], "absorbed": [done]})
 
     return turns.groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)

@@ -19,9 +19,9 @@ def test_upsert_stream(spark, tmp_path):
 def test_absorb_stream(spark, tmp_path):
     turns = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
     src = str(tmp_path / "turns")
-    spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(8)] + [(2, 0, "user", "x")], turns).coalesce(1).write.parquet(src)
+    spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(8)] + [(2, 0, "user", "x")] + [(3, None if i == 3 else i, None if i == 0 else "user", None if i == 1 else f"t{i}") for i in range(8)] + [(None, 0, "user", "y")], turns).coalesce(1).write.parquet(src)
     stream = spark.readStream.schema(turns).parquet(src)
     q = absorb_stream(stream).writeStream.outputMode("update").format("memory").queryName("absorbed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     got = {r.conv_id: (r.digest, r.live, r.absorbed) for r in spark.sql("SELECT * FROM absorbed").collect()}
-    assert got == {1: ("User: t0\nAssistant: t1", 6, 2), 2: ("", 1, 0)}
+    assert got == {1: ("User: t0\nAssistant: t1", 6, 2), 2: ("", 1, 0), 3: ("User: t3\n: t0", 6, 2), None: ("", 1, 0)}
