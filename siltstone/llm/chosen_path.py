@@ -136,11 +136,12 @@ def in_pairs_of_blocks(planned: DataFrame) -> DataFrame:
     return each.select(F.xxhash64("node", "pair.x", "pair.y").alias("node"), "rep", "comp", "done", "side")
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def _merge(label: np.ndarray, x: int, y: np.ndarray) -> None:
+    """Give the groups of x and all y one label."""
+    other = np.unique(label[y])
+    if len(other) > 1 or other[0] != label[x]:
+        every = np.append(other, label[x])
+        label[np.isin(label, every)] = every.min()
 
 
 def agreements(low: np.ndarray, least: int, first: int | None = None):
@@ -199,20 +200,16 @@ def _candidates(least: int, percent: int, most: int):
             raw = [x for r in rows for x in r.column(6).to_pylist()]
             low = np.frombuffer(b"".join([raw[i] for i in order.tolist()]), np.uint8).reshape(-1, TOKENS)
             del raw
-            parent, seen = list(range(len(rep))), set()
+            label, seen = np.arange(len(rep)), np.zeros(len(rep), bool)
             for x, y in agreements(low, least, int((side == 0).sum())):
                 y = y[(comp[y] != comp[x]) & ((done[y] != done[x]) | (done[x] == NOT_DONE)) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-                for z in y.tolist():
-                    p, q = _find(parent, x), _find(parent, z)
-                    parent[max(p, q)] = min(p, q)
                 if len(y):
-                    seen.add(x)
-                    seen.update(y.tolist())
-            if not seen:
-                continue
+                    seen[x] = True
+                    seen[y] = True
+                    _merge(label, x, y)
             groups: dict[int, list[int]] = {}
-            for x in sorted(seen):
-                groups.setdefault(_find(parent, x), []).append(x)
+            for x in np.flatnonzero(seen).tolist():
+                groups.setdefault(int(label[x]), []).append(x)
             for members in groups.values():
                 for part in _parts(sorted(members, key=lambda i: rep[i]), size, most):
                     ids = rep[part]
@@ -242,15 +239,14 @@ def _confirm(size: int, percent: int, least: int):
             if len(full) < len(sets):
                 rep, comp, sets = ([v[i] for i in full] for v in (rep, comp, sets))
             first: dict[int, int] = {}
-            parent = [first.setdefault(c, i) for i, c in enumerate(comp)]
+            label = np.array([first.setdefault(c, i) for i, c in enumerate(comp)], np.int64)
             sizes = np.array([len(x) for x in sets])
             begin = np.cumsum(sizes) - sizes
             names, flat = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
             mark = np.zeros(len(names), np.uint8)
             low = np.array([minwise(x, TOKENS) for x in sets], np.uint32).astype("<u4").view(np.uint8).reshape(len(sets), -1)[:, ::4]
             for x, near in agreements(np.ascontiguousarray(low), least):
-                p = _find(parent, x)
-                near = [y for y in near.tolist() if _find(parent, y) != p]
+                near = near[label[near] != label[x]].tolist()
                 if len(near) * 20 > len(sets):  # many at once: one pass over the whole group's shingles
                     mine = flat[begin[x] : begin[x] + sizes[x]]
                     mark[mine] = 1
@@ -261,9 +257,8 @@ def _confirm(size: int, percent: int, least: int):
                 else:
                     near = [y for y in near if similar(sets[x], sets[y], percent)]
                 for y in near:
-                    p, q = _find(parent, x), _find(parent, y)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
+                    if label[x] != label[y]:
+                        _merge(label, x, np.array([y]))
                         links.append((rep[x], rep[y]))
             if len(links) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
