@@ -270,14 +270,16 @@ def chunk_java(text: str, limit: int) -> list[tuple[str, str | None]]:
     return out or [(p, None) for p in split_by_size(text, limit)]
 
 
-def chunked(files: DataFrame, key: str, lang: str, text: str, limit: int, least: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, chunk_idx, symbol, content) and the columns to keep; symbol `` where there is none."""
+def chunked(files: DataFrame, key: str, lang: str, text: str, limit: int, least: int, keep: tuple[str, ...] = (), make_scanners: Callable[[], dict] | None = None) -> DataFrame:
+    """(key, chunk_idx, symbol, content) and the columns to keep; symbol `` where there is none. make_scanners is called once
+    in each task for another table of scanners, as grammars.scanners."""
     ship(files.sparkSession)
     own = [key, *keep]
 
     def run(batches):
+        table = make_scanners() if make_scanners else None
         for batch in batches:
-            rows = [(at, i, symbol or "", piece) for at, (g, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) for i, (symbol, piece) in enumerate(chunk_text(g, t or "", limit, least))]
+            rows = [(at, i, symbol or "", piece) for at, (g, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) for i, (symbol, piece) in enumerate(chunk_text(g, t or "", limit, least, table))]
             at, idx, symbols, pieces = zip(*rows) if rows else ((), (), (), ())
             given = [batch.column(2 + k).take(pa.array(at, pa.int32())) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays([given[0], pa.array(idx, pa.int32()), pa.array(symbols, pa.string()), pa.array(pieces, pa.string()), *given[1:]], names=[key, "chunk_idx", "symbol", "content", *keep])

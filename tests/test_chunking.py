@@ -3,7 +3,7 @@ from helpers import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siltstone.operators import chunk_plain, chunk_size, definitions
+from siltstone.operators import chunk_plain, chunk_size, definitions, grammars
 
 
 @pytest.mark.parametrize(
@@ -24,6 +24,40 @@ def test_plain_golden(text, limit, least, sizes):
     assert [len(c) for c in chunk_plain.chunk_plain(text, limit, least)] == sizes
 
 
+class _Node:
+    def __init__(self, type_, start, end, name=None, children=()):
+        self.type, self.start_byte, self.end_byte, self.children, self._name = type_, start, end, [*([name] if name else []), *children], name
+
+    def child_by_field_name(self, field):
+        return self._name
+
+
+class _Parser:
+    """Stands for a parser library: knows one text."""
+
+    def parse(self, raw):
+        ident = lambda s: _Node("identifier", raw.index(s), raw.index(s) + len(s))
+        method = _Node("method_declaration", raw.index(b"int f"), raw.index(b"}") + 1, _Node("identifier", raw.index(b"f("), raw.index(b"f(") + 1))
+        body = _Node("class_body", raw.index(b"{"), len(raw), children=[method])
+        top = _Node("class_declaration", raw.index("é".encode()), len(raw), ident(b"Box"), [body])
+        return type("Tree", (), {"root_node": _Node("program", 0, len(raw), children=[top])})()
+
+
+def test_grammars_replace_scanners_where_they_are_installed(spark, monkeypatch, tmp_path):
+    text = "// é\nclass Box { int f() { return 1; } }"
+    scan = grammars.scanner(_Parser())
+    assert [(text[s.start : s.end], s.symbol) for s in scan(text)] == [(text[3:], "Box"), ("int f() { return 1; }", "Box.f")]
+    assert definitions.extract_defs("java", text, {"java": scan})[1] == ("Box.f", "int f() { return 1; }")
+    assert grammars.scanners() == definitions.SCANNERS == grammars.scanners("no_such_module")
+    module = type("M", (), {"get_parser": staticmethod(lambda x: _Parser() if x == "java" else {}[x])})
+    monkeypatch.setitem(__import__("sys").modules, "some_grammars", module)
+    monkeypatch.setenv(grammars.ENV, "some_grammars")
+    got = grammars.scanners()
+    assert got["python"] is definitions.SCANNERS["python"] and got["java"] is not definitions.SCANNERS["java"]
+    df = spark.createDataFrame([(1, "java", "class A { void m() { } }")], "id int, lang string, t string")
+    assert [r.symbol for r in definitions.chunked(df, "id", "lang", "t", 100, 0, make_scanners=lambda: {"java": lambda s: iter([definitions.Span(0, 5, "own")])}).collect()] == ["own"]
+
+
 def test_size_split_keeps_a_leading_empty_piece():
     assert [len(p) for p in chunk_size.split_by_size("x" * 2500, 1000)] == [0, 1000, 1000, 500]
 
