@@ -166,7 +166,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 12, id_: str = "vec
 REST = -1
 
 
-def build_ivf(vectors: DataFrame, path: str, cells: int = 64, id_: str = "vec_id", vector: str = "embedding", sample: int = 100_000, seed: int = 7) -> list[list[float]]:
+def build_ivf(vectors: DataFrame, path: str, cells: int = 32, id_: str = "vec_id", vector: str = "embedding", sample: int = 100_000, seed: int = 7) -> list[list[float]]:
     """Write every row under its cell's folder in `path` and return the centroids, which are fitted on a bounded sample by hash."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -181,8 +181,9 @@ def build_ivf(vectors: DataFrame, path: str, cells: int = 64, id_: str = "vec_id
         rest.write.partitionBy("cell").parquet(path)
         return []
     share = int(min(1.0, sample / n) * (1 << 20))
-    model = KMeans(k=min(cells, n), seed=seed, featuresCol="_v", predictionCol="cell", distanceMeasure="cosine", maxIter=10).fit(unit.filter(F.pmod(F.xxhash64(id_), F.lit(1 << 20)) < share))
-    model.transform(unit).drop("_unit", "_v").unionByName(rest).write.partitionBy("cell").parquet(path)
+    model = KMeans(k=min(cells, n), seed=seed, featuresCol="_v", predictionCol="cell", distanceMeasure="cosine", maxIter=5).fit(unit.filter(F.pmod(F.xxhash64(id_), F.lit(1 << 20)) < share))
+    # Few files for each cell; a cell with a large share of the rows is split.
+    model.transform(unit).drop("_unit", "_v").unionByName(rest).hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
     return [c.tolist() for c in model.clusterCenters()]
 
 
