@@ -155,15 +155,17 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
     table[[b["bucket"] for b in best]] = np.arange(len(best))
     got = rows.mapInArrow(_bitmaps(table, features), "bits binary, y int").toArrow()
     drop_scratch(rows)
-    y = np.array(got["y"].to_pylist(), float)
+    # In an order of their own, so that sums do not depend on the order in which tasks end.
+    rows_ = sorted(zip(got["bits"].to_pylist(), got["y"].to_pylist()))
+    y = np.array([k for _, k in rows_], float)
     at, col = [], []
-    for i, b in enumerate(got["bits"]):
-        on = np.flatnonzero(np.unpackbits(np.frombuffer(b.as_py(), np.uint8)))
+    for i, (b, _) in enumerate(rows_):
+        on = np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8)))
         at.append(np.full(len(on), i, np.int32))
         col.append(on.astype(np.int32))
     at, col = np.concatenate(at), np.concatenate(col)
     val = r[col].astype(np.float32)
-    del got
+    del got, rows_
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both labels weigh the same
 
     def loss(w):

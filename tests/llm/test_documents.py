@@ -91,9 +91,9 @@ def test_families_that_are_alike_but_not_linked_end_within_few_rounds(spark, mon
     monkeypatch.setattr(chosen_path, "materialize", counted)
     rows = _kin(200, base, own)
     pairs = [(1000 + i, t.replace(f"t{i}x0", "other")) for i, t in rows[:40]]
-    got = chosen_path.near_duplicates(spark.createDataFrame(rows + pairs, "doc_id long, text string"), 3, 85).collect()
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows + pairs, "doc_id long, text string"), 3, 85, trees=4).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i % 1000 for i, _ in rows + pairs}
-    assert len(rounds) <= 8 and max(rounds) <= 20 * 240
+    assert len(rounds) <= 8 and max(rounds) <= 2 * 8 * 240
 
 
 def test_recall_at_the_threshold(spark, monkeypatch):
