@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chosen_path, fingerprint, langid, maxscore, mixing, packing, quality, simple8b, toxicity
+from . import alignment, chat, chosen_path, fingerprint, langid, maxscore, mixing, packing, quality, simple8b, slack, toxicity
 from .common import crc_bucket, read
 
 
@@ -56,7 +56,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op2_order_minhash, op3_best_fit, op4_mix, op5_near_duplicates, op6_simple8b, op7_quality, op8_language_id, op9_chat, op10_toxicity)}
+def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack.pack_documents(read(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_order_minhash, op3_best_fit, op4_mix, op5_near_duplicates, op6_simple8b, op7_quality, op8_language_id, op9_chat, op10_toxicity, op11_bin_slack, op12_alignment)}
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore": """
         WITH v AS (

@@ -3,7 +3,7 @@
 A vocabulary that drops white space and never joins characters across it gives a text the ids of its words in a row.
 Most words of a corpus repeat: each worker keeps the ids of frequent words, and the library encodes only the others.
 A very long text is encoded in slices that end at white space, so memory stays bounded. Whether a vocabulary is of this
-kind is read from its file; any other is given whole texts.
+kind is read from its file; byte-level ones have a cache of their own (bytelevel.py), any other is given whole texts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .bytelevel import ByteLevelIds, by_chunks
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words of one generation of the cache; at most two generations are held.
 CACHE_WORDS = 300_000
@@ -119,11 +121,12 @@ def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
         at = end
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[str, WordIds | ByteLevelIds] = {}
 
 
-def encoder(path: str) -> WordIds:
-    """One per worker process and vocabulary."""
+def encoder(path: str) -> WordIds | ByteLevelIds:
+    """One per worker process and vocabulary: by words, by chunks of the byte level, or by whole texts."""
     if path not in _encoders:
-        _encoders[path] = WordIds(path)
+        with open(path, encoding="utf-8") as f:
+            _encoders[path] = ByteLevelIds(path) if by_chunks(json.load(f)) else WordIds(path)
     return _encoders[path]
