@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, chosen_path, fingerprint, langid, maxscore, mixing, packing, quality, simple8b, slack, toxicity
+from . import alignment, chat, chosen_path, collocations, fingerprint, langid, maxscore, mixing, packing, quality, simple8b, slack, toxicity
 from .common import crc_bucket, read
 
 
@@ -64,7 +64,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op2_order_minhash, op3_best_fit, op4_mix, op5_near_duplicates, op6_simple8b, op7_quality, op8_language_id, op9_chat, op10_toxicity, op11_bin_slack, op12_alignment)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_order_minhash, op3_best_fit, op4_mix, op5_near_duplicates, op6_simple8b, op7_quality, op8_language_id, op9_chat, op10_toxicity, op11_bin_slack, op12_alignment, op13_collocations)}
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore": """
         WITH v AS (
@@ -119,4 +123,27 @@ ORACLE_SQL: dict[str, str] = {
                string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
         FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id
         GROUP BY t.conv_id, turns, pos // 512""",
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))))) AS phrase FROM w),
+        f AS (SELECT lang, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, phrase HAVING count(*) >= 30),
+        x AS (SELECT lang, phrase, f AS a, w, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1),
+        y AS (
+            SELECT x.lang, x.phrase, a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score
+            FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:k], ' ')
+                   JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[k + 1:], ' ')),
+        z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (
+            SELECT lang, f, unnest(flatten(list_transform(range(2, len(w)), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))))) AS phrase
+            FROM f WHERE len(w) > 2),
+        m AS (SELECT lang, phrase, max(f) AS most FROM i GROUP BY lang, phrase),
+        o AS (
+            SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, z.phrase) AS rank
+            FROM z LEFT JOIN m USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
 }
