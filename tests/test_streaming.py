@@ -16,6 +16,28 @@ def test_upsert_stream(spark, tmp_path):
     assert [tuple(r) for r in table.read().orderBy("id").collect()] == [(1, "a2", 2), (2, "b2", 3)]
 
 
+def test_a_replayed_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    src, table = str(tmp_path / "in"), Table(spark, str(tmp_path), "t").ensure(SCHEMA, parts=4)
+    spark.createDataFrame([(i, "a", 1) for i in range(20)], SCHEMA).coalesce(1).write.parquet(src)
+    run = lambda: upsert_stream(document_stream(spark, src, SCHEMA), table, ["id"], "seq", str(tmp_path / "cp"))
+    real = Table.upsert
+
+    def dies(self, *a, **k):
+        real(self, *a, **k)
+        raise RuntimeError("after the write, before the batch is committed")
+
+    monkeypatch.setattr(Table, "upsert", dies)
+    q = run()
+    try:
+        q.awaitTermination()
+    except Exception as e:
+        assert "before the batch" in str(e)
+    monkeypatch.undo()
+    assert table.counts() == {"rows": 20}
+    run().awaitTermination()
+    assert table.counts() == {"rows": 20}
+
+
 def test_absorb_stream(spark, tmp_path):
     turns = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
     src = str(tmp_path / "turns")
