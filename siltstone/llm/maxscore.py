@@ -8,12 +8,14 @@ score so far plus the bounds of what is left is still competitive. Shards' best
 
 Every query starts with the k-th best score among a bounded sample of all rows, so a shard returns only what can still be
 among the best, and a shard whose bounds stay below is left at once. Shards and query blocks have fixed sizes, so a task
-holds one shard's columns and one block's queries, and the queries are never broadcast as a whole. Weights travel as the
-smallest whole-number type that holds them all.
+holds one shard's columns and one block's queries (widened SLICE at a time), and the queries are never broadcast as a whole;
+a vector is copied once for BLOCK queries. Weights travel as the smallest whole-number type that holds them all.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; a
 shorter vector lacks the terms beyond its end (weight 0); rows that repeat an id are candidates one by one, and of a
-repeated query id one row asks; a query without any candidate returns no row; other columns are not read.
+repeated query id one row asks; a query without any candidate returns no row, so does an empty table; other columns are
+not read. A weight beyond 64 bits counts as the greatest or the least 64-bit number. Sums are exact; where they may pass
+64 bits, a shard is scored in whole numbers of any size, and a score beyond counts as the greatest or the least one, too.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import ship
 
 SCALE = 64
 SHARD = 16_384
-BLOCK = 4_096
+BLOCK, SLICE = 100_000, 4_096
 #: Rows of the sample that every query's first threshold comes from, about.
 SEED_ROWS = 4_096
 PROBE = 4
@@ -55,18 +57,24 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _most(w: np.ndarray) -> int:
+    """The greatest absolute weight, without the least number's overflow."""
+    return max(int(w.max(initial=0)), -int(w.min(initial=0)))
+
+
 class Shard:
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
         self.rows = np.ascontiguousarray(rows[order])
         self.low, self.high = self.rows.min(0), self.rows.max(0)
-        most = int(np.abs(self.rows).max(initial=0))
-        self.most = most
+        self.most = most = _most(self.rows)
         self.columns = np.ascontiguousarray(self.rows.T.astype(np.int32 if most < 1 << 15 else np.int64))
 
     def search(self, own: int, q: np.ndarray, k: int, known: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k (ties to smaller ids), without rows of id `own`. known: a k-th score of some rows."""
+        if self.most * _most(q) * max(1, len(q)) >= 1 << 62:
+            return self._search_wide(own, q, k)
         lo, hi = np.minimum(q * self.low, q * self.high), np.maximum(q * self.low, q * self.high)
         width = hi - lo
         order = np.argsort(-width, kind="stable")
@@ -105,11 +113,23 @@ class Shard:
         return self.ids[alive][best], score[best]
 
 
+    def _search_wide(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same where sums may pass 64 bits."""
+        alive = np.flatnonzero(self.ids != own)
+        total = np.zeros(len(alive), object)
+        for d in np.flatnonzero(q).tolist():
+            total += self.columns[d][alive].astype(object) * int(q[d])
+        score = np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in total.tolist()], np.int64)
+        best = np.lexsort((self.ids[alive], ~score))[:k]  # ~ turns the order without overflow
+        return self.ids[alive][best], score[best]
+
+
 def thresholds(own: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[int | None]:
     """For each query the k-th best score among the rows of other ids, if there are k."""
-    if len(ids) <= k:
+    reach = _most(rows) * _most(q) * q.shape[1]
+    if len(ids) <= k or reach >= 1 << 62:
         return [None] * len(q)
-    if int(np.abs(rows).max(initial=0)) * int(np.abs(q).max(initial=0)) * q.shape[1] < 1 << 24:  # exact in 32-bit floats
+    if reach < 1 << 24:  # exact in 32-bit floats
         scores = (q.astype(np.float32) @ rows.T.astype(np.float32)).astype(np.int64)
     else:
         scores = q @ rows.T
@@ -145,12 +165,14 @@ def _search(k: int):
         if left.num_rows and right.num_rows:
             width = _width(left["w"], right["w"])
             shard = Shard(left["id"].to_numpy(), _matrix(left["w"], width))
-            own, q = right["id"].to_numpy(), _matrix(right["w"], width)
-            for i, known in enumerate(right["known"].to_pylist()):
-                ids, scores = shard.search(int(own[i]), q[i], k, known)
-                out[0].append(np.full(len(ids), own[i], np.int64))
-                out[1].append(ids)
-                out[2].append(scores)
+            for a in range(0, right.num_rows, SLICE):
+                part = right.slice(a, SLICE)
+                own, q = part["id"].to_numpy(), _matrix(part["w"], width)
+                for i, known in enumerate(part["known"].to_pylist()):
+                    ids, scores = shard.search(int(own[i]), q[i], k, known)
+                    out[0].append(np.full(len(ids), own[i], np.int64))
+                    out[1].append(ids)
+                    out[2].append(scores)
         cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
         return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2].astype(np.int64)})
 
@@ -162,7 +184,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id"
     ship(vectors.sparkSession)
     spark = vectors.sparkSession
     rows = weights(vectors, id_, vector, scale)
-    size = rows.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("w", F.abs))).alias("most")).first()
+    size = rows.agg(F.count("*").alias("n"), F.max(F.greatest(F.array_max("w"), -1 - F.array_min("w"))).alias("most")).first()
     n, most = size["n"], size["most"] or 0
     kind = f"array<{'tinyint' if most < 1 << 7 else 'smallint' if most < 1 << 15 else 'int' if most < 1 << 31 else 'long'}>"
     rows = rows.withColumn("w", F.col("w").cast(kind))

@@ -361,6 +361,20 @@ def test_search_of_few_rows(spark):
     assert maxscore.top_k(df.limit(1), F.lit(True)).count() == 0
 
 
+def test_maxscore_of_huge_components(spark):
+    most, least = (1 << 63) - 1, -(1 << 63)
+    clamp = lambda x: max(least, min(most, x))
+    vectors = [(0, [1e300, 0.0]), (1, [-1e300, 1.0]), (2, [1e17, -1e17]), (3, [0.5, 0.25]), (4, [1e17, 1e17]), (5, [0.0, 0.0]), (6, [1e6, -1e6]), (7, [1.7e308, -1.7e308])]
+    weight = {i: [clamp(int(x * 64)) if abs(x) < 1e300 else (most if x > 0 else least) for x in v] for i, v in vectors}
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in maxscore.top_k(df, F.lit(True), 20, shard=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in weight:
+        want = sorted(((i, clamp(sum(a * b for a, b in zip(weight[q], w)))) for i, w in weight.items() if i != q), key=lambda r: (-r[1], r[0]))
+        assert got[q] == want
+
+
 # ---- chats
 
 TURNS = "conv_id long, turn long, role string, text string"
