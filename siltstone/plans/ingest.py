@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,12 +15,17 @@ from .. import schema
 from ..config import load_config
 from ..functions import text, vectors
 from ..logs import Counter, line, stage
+from ..models.http import ModelError
 from ..models.protocol import Embedder, HashEmbedder
 from ..operators import definitions, store
+from ..operators.cache import VectorCache
 from ..operators.scratch import drop_scratch, materialize
+from ..operators.vector_index import VectorIndex
 from ..shipping import ship
 from ..sources.repo import read_repo
 
+#: What the index keeps of a chunk beside its vector.
+KEPT = ("relpath", "chunk_idx", "content")
 #: Counters log progress after so many items.
 EVERY = {"files": 50, "chunks": 200, "embeds": 100, "writes": 500}
 
@@ -28,20 +36,37 @@ def chunk_rows(files: DataFrame, limit: int, least: int) -> DataFrame:
     return pieces.withColumns({"lang": text.lang_or_text(F.col("lang")), "mtime": F.coalesce("mtime", F.lit(0.0)), "id": text.chunk_id("relpath", "chunk_idx"), "content_sha": text.content_sha("content")})
 
 
-def embedded(misses: DataFrame, model: str, make: Callable[[], Embedder], batch: int = 64) -> DataFrame:
-    """(chunk_sha, content) to (chunk_sha, model, vector); each worker makes one client."""
+def embedded(misses: DataFrame, model: str, make: Callable[[], Embedder], batch: int = 64, window: int = 8) -> DataFrame:
+    """(chunk_sha, content) to (chunk_sha, model, vector, error, status); each worker makes one client.
 
+    Up to `batch` texts go to the client at once. If it fails for good on these, each is asked for by itself, `window` at a
+    time, and one that fails has its error and status instead of a vector.
+    """
     ship(misses.sparkSession)
 
+    def one(client, text):
+        try:
+            found = client.embed(model, [text])[0]
+            return (found, None, None) if found else (None, "no vector", None)
+        except ModelError as e:
+            return None, str(e), e.status
+
     def run(batches):
         client = make()
-        for b in batches:
-            for a in range(0, b.num_rows, batch):
-                part = b.slice(a, batch)
-                vs = client.embed(model, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model] * part.num_rows), pa.array(vs, pa.list_(pa.float32()))], names=["chunk_sha", "model", "vector"])
-
-    return misses.select("chunk_sha", "content").mapInArrow(run, schema.VEC_CACHE)
+        with ThreadPoolExecutor(window) as pool:
+            for b in batches:
+                for a in range(0, b.num_rows, batch):
+                    part = b.slice(a, batch)
+                    texts = part.column(1).to_pylist()
+                    try:
+                        found = [(v, None, None) if v else (None, "no vector", None) for v in client.embed(model, texts)]
+                    except ModelError:
+                        found = list(pool.map(lambda t: one(client, t), texts))
+                    vs, errors, states = zip(*found)
+                    columns = [part.column(0), pa.array([model] * part.num_rows), pa.array(vs, pa.list_(pa.float32())), pa.array(errors, pa.string()), pa.array(states, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["chunk_sha", "model", "vector", "error", "status"])
+
+    return misses.select("chunk_sha", "content").mapInArrow(run, "chunk_sha string, model string, vector array<float>, error string, status int")
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -49,15 +74,35 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("relpath").alias("files_indexed"), F.count("*").alias("chunks_written"))
 
 
-def run_ingest(spark: SparkSession, repo_root: str | None = None, db_dir: str | None = None, table_name: str | None = None, config_path: str | None = None, force_reembed: bool = False, make_embedder: Callable[[], Embedder] | None = None, changed_only: bool = False) -> dict[str, int]:
-    """Index a tree. Contents the cache holds are not embedded again, equal contents once; returns the summary."""
+def run_ingest(
+    spark: SparkSession,
+    repo_root: str | None = None,
+    db_dir: str | None = None,
+    table_name: str | None = None,
+    config_path: str | None = None,
+    force_reembed: bool = False,
+    make_embedder: Callable[[], Embedder] | None = None,
+    changed_only: bool = False,
+    model: str | None = None,
+    batch_size: int = 64,
+    create_vec_index: bool = True,
+    vacuum_after: bool = False,
+    log_progress: bool = True,
+) -> dict[str, int | float]:
+    """Index a tree. Contents the cache holds are not embedded again, equal contents once; returns the summary.
+
+    Texts that the model server refuses for good are rows of the table `embed_errors` and have a null vector; they are asked
+    for again by the next run. The vector index follows the table unless create_vec_index is false.
+    """
+    began = time.perf_counter()
     cfg, _ = load_config(config_path)
     root, db, name = repo_root or cfg["repo_root"], db_dir or cfg["db_dir"], table_name or cfg["table"]
-    dim, model = cfg["embedding"]["dim"], cfg["embedding"]["model"]
+    dim, model = cfg["embedding"]["dim"], model or cfg["embedding"]["model"]
     make = make_embedder or (lambda: HashEmbedder(dim))
-    chunks, cache = store.Table(spark, db, name).ensure(schema.CHUNKS), store.Table(spark, db, "vec_cache").ensure(schema.VEC_CACHE)
-    counters = {n: Counter(n, every) for n, every in EVERY.items()}
-    with stage("ingest"):
+    chunks, cache = store.Table(spark, db, name).ensure(schema.CHUNKS), VectorCache(spark, db)
+    counters = {n: Counter(n, every) for n, every in EVERY.items()} if log_progress else {}
+    count = lambda name, n: counters[name].update(n) if name in counters else None
+    with stage("ingest") if log_progress else nullcontext():
         files = read_repo(spark, root, cfg["indexing"])
         if changed_only:
             files = store.changed_only(files, chunks.read())
@@ -65,24 +110,36 @@ def run_ingest(spark: SparkSession, repo_root: str | None = None, db_dir: str |
         seen = Observation("files")
         rows = chunk_rows(files.observe(seen, F.count("*").alias("n")), cfg["indexing"]["max_chunk_chars"], cfg["indexing"]["min_chunk_chars"])
         rows = materialize(rows, "chunk-rows")
-        counters["files"].update(seen.get["n"])
+        count("files", seen.get["n"])
         pieces = rows.select(F.col("content_sha").alias("chunk_sha"), "content")
-        known = cache.read().limit(0) if force_reembed else cache.read()
-        misses = store.cache_misses(pieces, known, model)
+        misses = pieces.dropDuplicates(["chunk_sha"]) if force_reembed else cache.misses(pieces, model)
         # Vectors go to the cache table before anything reads them, so a retried task embeds but nothing embeds twice for good.
-        n_new = misses.count()
-        counters["embeds"].update(n_new)
+        asked = materialize(embedded(misses, model, make, batch_size), "embedded")
+        n_new = asked.filter("error IS NULL").count()
+        count("embeds", n_new)
         if n_new:
-            cache.upsert(vectors.validated(embedded(misses, model, make), "vector", dim).withColumn("vector", F.col("vector").cast("array<float>")), ["chunk_sha", "model"])
-        with_vectors = store.cache_lookup(rows.withColumn("chunk_sha", F.col("content_sha")), cache.read(), model).select(*schema.CHUNKS.names)
+            good = vectors.validated(asked.filter("error IS NULL").drop("error"), "vector", dim)
+            cache.put(good.withColumn("vector", F.col("vector").cast("array<float>")), model, replace=force_reembed)
+        failed = asked.filter("error IS NOT NULL").select("chunk_sha", "model", "error", "status")
+        n_failed = failed.count()
+        if n_failed:
+            store.Table(spark, db, "embed_errors").ensure(schema.EMBED_ERRORS).upsert(failed, ["chunk_sha", "model"])
+        with_vectors = cache.lookup(rows.withColumn("chunk_sha", F.col("content_sha")), model).select(*schema.CHUNKS.names)
         summary = {"files_seen": seen.get["n"], **totals(rows).first().asDict(), "chunks_embedded": n_new}
-        summary["cache_hits"] = summary["chunks_written"] - n_new
-        counters["chunks"].update(summary["chunks_written"])
+        summary["cache_hits"] = summary["chunks_written"] - n_new - n_failed
+        if n_failed:
+            summary["embed_errors"] = n_failed
+        count("chunks", summary["chunks_written"])
         if summary["chunks_written"]:
             chunks.upsert(with_vectors, ["id"])
-            counters["writes"].update(summary["chunks_written"])
-        drop_scratch(rows)
+            count("writes", summary["chunks_written"])
+        drop_scratch(rows, asked)
+        if create_vec_index:
+            VectorIndex(spark, db, name).refresh(chunks.read(), KEPT)
+        if vacuum_after:
+            chunks.vacuum()
     for c in counters.values():
         c.close()
+    summary["duration_s"] = round(time.perf_counter() - began, 3)
     line("ingest_summary", **summary)
     return summary

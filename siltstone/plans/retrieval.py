@@ -10,19 +10,27 @@ from .. import schema
 from ..config import load_config
 from ..models.protocol import ChatModel, Embedder, HashEmbedder
 from ..operators import knn, pack, store
+from ..operators.vector_index import VectorIndex
 
 NO_CONTEXT = "(none)"
 SYSTEM = "You are a coding assistant. Use only the context you are given; say so if the answer is not in it."
 
 
-def query_repo(spark: SparkSession, question: str, db_dir: str | None = None, table_name: str | None = None, config_path: str | None = None, top_k: int | None = None, embedder: Embedder | None = None) -> DataFrame:
-    """The chunks nearest to a question, nearest first: id, relpath, chunk_idx, content, _distance."""
+def query_repo(spark: SparkSession, question: str, db_dir: str | None = None, table_name: str | None = None, config_path: str | None = None, top_k: int | None = None, embedder: Embedder | None = None, use_index: bool = True) -> DataFrame:
+    """The chunks nearest to a question, nearest first: id, relpath, chunk_idx, content, _distance.
+
+    use_index: search the table's vector index, which an ingest keeps up (if there is one, by default), instead of all vectors.
+    """
     cfg, _ = load_config(config_path)
     embedder = embedder or HashEmbedder(cfg["embedding"]["dim"])
     vector = embedder.embed(cfg["embedding"]["model"], [question])[0]
-    chunks = store.Table(spark, db_dir or cfg["db_dir"], table_name or cfg["table"]).read().filter("vector IS NOT NULL")
+    db, name, k = db_dir or cfg["db_dir"], table_name or cfg["table"], top_k or cfg["retrieval"]["top_k"]
     asked = spark.createDataFrame([(0, vector)], "query_id int, qvec array<double>")
-    best = knn.nearest(chunks, asked, top_k or cfg["retrieval"]["top_k"], "id", "vector")
+    index = VectorIndex(spark, db, name)
+    if use_index and index.model():
+        best = index.search(asked, k).filter("vector IS NOT NULL")
+    else:
+        best = knn.nearest(store.Table(spark, db, name).read().filter("vector IS NOT NULL"), asked, k, "id", "vector")
     return best.select(*schema.HITS.names).orderBy(F.col("_distance").asc_nulls_last(), "id")
 
 

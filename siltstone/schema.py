@@ -17,6 +17,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 FILES = _struct(path=_S, relpath=_S, realpath=_S, is_symlink=_B, size_bytes=_L, mtime=_D, sha256=_S, content_sha=_S, lang=_S, content=_S)
 CHUNKS = _struct(id=_S, path=_S, realpath=_S, is_symlink=_B, relpath=_S, lang=_S, symbol=_S, chunk_idx=_I, content=_S, sha256=_S, content_sha=_S, mtime=_D, vector=VECTOR)
 VEC_CACHE = _struct(chunk_sha=_S, model=_S, vector=VECTOR)
+EMBED_ERRORS = _struct(chunk_sha=_S, model=_S, error=_S, status=_I)
 TURNS = _struct(conv_id=_L, turn=_L, role=_S, text=_S, ts=_TS, summary=_S, embedding=VECTOR)
 HITS = _struct(id=_S, relpath=_S, chunk_idx=_I, content=_S, _distance=_D)
 
