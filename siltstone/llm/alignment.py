@@ -18,6 +18,7 @@ result, and other columns are not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytelevel import ByteLevelIds, Cache, byte_table, chunks, plain_words
+from .bytelevel import ByteLevelIds, Cache, by_chunks, byte_table, chunks, plain_words
 from .common import materialize, scratch_path, ship
 from .tokens import vocabulary_path
 
@@ -67,12 +68,16 @@ class Pair:
         self._whole = any("▁" in p or "\n" in p for p in texts) or b.encode("\n") != [self._space, b.piece_to_id("<0x0A>")]
         self._by_runs = not any(map(_MIXED.search, texts))
         self._b_ids = Cache(self._encode).__getitem__
+        self._raw = [i.to_bytes(4, "little") for i in range(len(pieces))]
+        # A byte-level vocabulary with a token for every byte keeps every text.
+        self._exact = {bytes([i]) for i in range(256)} <= set(self.a_bytes) and by_chunks(json.loads(a.to_str()))
 
-    def _encode(self, part: bytes) -> bytes:
-        """B adds a space: a part that starts with one goes without it, any other behind a line break, whose ids go."""
+    def _encode(self, part: bytes) -> tuple[bytes, bool]:
+        """B adds a space: a part that starts with one goes without it, any other behind a line break, whose ids go. Also:
+        are the ids' bytes the part's?"""
         s = part.decode("utf-8", "replace")
         ids = [self._space] if s == " " else self._b(s[1:]) if s[:1] == " " else self._b("\n" + s)[2:]
-        return np.array(ids, "<u4").tobytes()
+        return b"".join([self._raw[i] for i in ids]), b"".join([self.b_bytes[i] for i in ids]) == part
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of space + text on both sides; none if their bytes are not these."""
@@ -80,8 +85,10 @@ class Pair:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         spaced = b" " + text
         parts = [spaced] if self._whole else _RUNS.findall(spaced) if self._by_runs and plain_words(spaced) else chunks(spaced)
-        a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in (self._a_ids(spaced), b"".join(map(self._b_ids, parts))))
-        same = all(b"".join(map(t.__getitem__, ids.tolist())) == spaced for t, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        found, kept = zip(*map(self._b_ids, parts))
+        a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in (self._a_ids(spaced), b"".join(found)))
+        sides = ((self.a_bytes, a, self._exact), (self.b_bytes, b, all(kept)))
+        same = all(ok or b"".join(map(t.__getitem__, ids.tolist())) == spaced for t, ids, ok in sides)
         return (a, b) if same else (a[:0], b[:0])
 
 
@@ -107,14 +114,24 @@ def products(last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.nda
     return (last_a - n_a + 1)[group] + i // n_b[group], (last_b - n_b + 1)[group] + i % n_b[group]
 
 
-def spelled(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, names: list[str]) -> str:
+def digits(count: int) -> np.ndarray:
+    """Decimal ids as rows of ASCII, padded with zero bytes."""
+    width = len(str(max(count - 1, 0)))
+    return np.array([str(i).encode() for i in range(count)], f"S{width}").view(np.uint8).reshape(count, width)
+
+
+def spelled(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, names: np.ndarray) -> bytes:
     """Groups as text: a1,a2|b1;a3|b2,b3"""
-    group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
-    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    follow = np.zeros(len(order), np.int64)
-    follow[last_a], follow[len(a) + last_b] = 1, 2
-    text = "".join([names[i] + ",|;"[k] for i, k in zip(np.concatenate([a, b])[order].tolist(), follow[order].tolist())])
-    return text[:-1]
+    if not len(a):
+        return b""
+    n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    at_a = np.arange(len(a)) + np.repeat(np.cumsum(n_b) - n_b, n_a)  # behind the B tokens of all groups before
+    at_b = np.arange(len(b)) + np.repeat(np.cumsum(n_a), n_b)  # and the A tokens of these and the own group
+    out = np.full((len(a) + len(b), names.shape[1] + 1), ord(","), np.uint8)
+    out[at_a, :-1], out[at_b, :-1] = names[a], names[b]
+    out[at_a[last_a], -1], out[at_b[last_b], -1] = ord("|"), ord(";")
+    flat = out.ravel()
+    return flat[flat > 0][:-1].tobytes()
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -165,14 +182,14 @@ def linked(documents: DataFrame, a_path: str | None = None, b_path: str | None =
 
     def run(batches):
         p, task = pair(*paths), TaskContext.get().partitionId() << 40
-        names = [str(i) for i in range(max(len(p.a_bytes), len(p.b_bytes)))]
+        names = digits(max(len(p.a_bytes), len(p.b_bytes)))
         for batch in batches:
             stats, found, times, n = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 a, b = p.encode(text.as_py() or b"")
                 last_a, last_b = groups(np.cumsum(p.a_sizes[a]), np.cumsum(p.b_sizes[b]))
                 pairs, counts = np.unique(a[last_a] << 32 | b[last_b], return_counts=True)
-                sha = hashlib.sha256(spelled(a, b, last_a, last_b, names).encode()).hexdigest() if len(a) else ""
+                sha = hashlib.sha256(spelled(a, b, last_a, last_b, names)).hexdigest() if len(a) else ""
                 stats.append((task, doc_id, len(a), len(b), len(last_a), len(last_a), sha))
                 found.append(pairs)
                 times.append(counts)

@@ -76,7 +76,7 @@ def test_intervals():
     last_a, last_b = alignment.groups(a, b)
     assert last_a.tolist() == [1, 3] and last_b.tolist() == [0, 3]
     assert list(zip(*(x.tolist() for x in alignment.products(last_a, last_b)))) == [(0, 0), (1, 0), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (3, 3)]
-    assert alignment.spelled(np.array([5, 6, 7, 8]), np.array([1, 2, 3, 4]), last_a, last_b, [str(i) for i in range(9)]) == "5,6|1;7,8|2,3,4"
+    assert alignment.spelled(np.array([5, 6, 7, 8]), np.array([1, 2, 3, 4]), last_a, last_b, alignment.digits(12)) == b"5,6|1;7,8|2,3,4"
 
 
 def test_spans_rebuild_the_text(spark):
