@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.text import WS, strip
 from ..shipping import ship
 from .chunk_size import split_by_size
-from .ranges import ranged, running
+from .pack import context_text
+from .ranges import earlier, fit_tasks, ranged, running
 
 BLANK = "\n\n"
 _GAP = re.compile(r"\n\s*\n")
@@ -163,9 +164,8 @@ def paragraph_array(text: Column | str) -> Column:
 def split_rows(df: DataFrame, group: str, order: str, text: str) -> DataFrame:
     """(group, pos, paragraph) of the group's texts joined by blank lines. A blank line parts paragraphs anyway, so each
     text is split by itself and its paragraphs are numbered from the counts before it; no text holds a group."""
-    rows = ranged(df.select(group, order, text), [group], [order, text])
     split = paragraph_array(text)
-    counted = running(rows, [group], F.coalesce(F.size(F.when(F.col(text).isNotNull(), split)), F.lit(0)))
+    counted = earlier(df.select(group, order, text), [group], [order, text], [text], _before=F.coalesce(F.size(F.when(F.col(text).isNotNull(), split)), F.lit(0)))
     return counted.select(group, "_before", F.posexplode(split).alias("i", "paragraph")).select(group, (F.col("_before") + F.col("i")).cast("int").alias("pos"), "paragraph")
 
 
@@ -178,6 +178,9 @@ def packed_rows(df: DataFrame, group: str, order: str, text: str, limit: int) ->
     open chunk leads to, in one small row a range, and the driver follows these. Texts meet a chunk at a time.
     """
     spark = df.sparkSession
+    if fit_tasks(df, [group], [text]):
+        whole = context_text(df, [group], order, text, BLANK).select(group, F.posexplode(packed_paragraphs("context", limit)).alias("chunk_idx", "content"))
+        return whole.select(group, "chunk_idx", "content")
     rows = ranged(df.select(group, order, text), [group], [order, text])
     sizes = rows.select(group, "_range", "_k", F.when(F.col(text).isNotNull(), F.transform(paragraph_array(text), F.length)).alias("sizes"))
     ones = running(sizes, [group]).select("_range", "_k", "_low", "_before", "_total", F.coalesce("sizes", F.array().cast("array<int>")).alias("sizes"))

@@ -1,7 +1,7 @@
 """Conversation memory over a turns table (conv_id, turn, role, text).
 
-Turns are placed by ranges (ranges.py) and worked on in blocks of BLOCK positions, so that no window, join or text holds
-a whole conversation; what is kept of one is bounded by the pairs, the kept tail and the cap. Turns that share a number
+Turns are placed by ranges (ranges.py), unless all conversations fit a task, and worked on in blocks of BLOCK positions, so
+that no window, join or text holds a whole conversation of any size; turns with a null conv_id are one. What is kept of one is bounded by the pairs, the kept tail and the cap. Turns that share a number
 stand in order of role and text, a null number first.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import speaker, tail
-from .ranges import ranged, running, same
+from .ranges import earlier, same
 from .scratch import materialize
 
 PAIRS, SUMMARIES, ABSORB_LEAST, DIGEST_CAP = 2, 2, 2, 12_000
@@ -21,8 +21,8 @@ BLOCK = 512
 
 def placed(turns: DataFrame) -> DataFrame:
     """The turns with their position pos (from 1) in the conversation and its number of turns n."""
-    rows = running(ranged(turns, ["conv_id"], ["turn", "role", "text"]), ["conv_id"])
-    return rows.withColumns({"pos": F.col("_before") + 1, "n": F.col("_total")}).drop("_range", "_k", "_low", "_before", "_total")
+    rows = earlier(turns, ["conv_id"], ["turn", "role", "text"], ["role", "text"], _before=F.lit(1))
+    return rows.withColumns({"pos": F.col("_before") + 1, "n": F.col("_before_all")}).drop("_before", "_before_all")
 
 
 def _block(pos):
@@ -49,8 +49,7 @@ def pairs(turns: DataFrame, k: int = PAIRS) -> DataFrame:
 
 def _recent(at: DataFrame, k: int, limit: int, boundary: str) -> DataFrame:
     edge = _pairs(at, k).groupBy("conv_id").agg((F.max("pos") if boundary == "newest" else F.min("pos")).alias("_p"))
-    # A null conv_id has no pairs of its own: joins on it do not match.
-    ends = at.groupBy("conv_id").agg(F.max("n").alias("n")).join(edge, "conv_id", "left").withColumn("_end", F.coalesce(F.col("_p") - 2, F.col("n")))
+    ends = same(at.groupBy("conv_id").agg(F.max("n").alias("n")), edge, ["conv_id"], "left").withColumn("_end", F.coalesce(F.col("_p") - 2, F.col("n")))
     wanted = ends.filter("_end > 0").select("conv_id", F.explode(F.sequence(F.col("_end") - limit + 1, F.col("_end"))).alias("pos")) if limit > 0 else ends.select("conv_id", F.lit(0).cast("long").alias("pos"))
     return same(at.select("conv_id", "turn", "role", "text", "pos"), wanted, ["conv_id", "pos"]).select("conv_id", "turn", "role", "text")
 
@@ -114,11 +113,13 @@ def digest(gone: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
 
 def text_block(turns: DataFrame, pinned: list[str] | None = None, k: int = PAIRS, limit: int = SUMMARIES, boundary: str = "newest", keep: int = 2 * PAIRS + SUMMARIES, cap: int = DIGEST_CAP) -> DataFrame:
     """One row per conversation: pinned lines, pairs, summaries (here the turns themselves) and digest, blank lines between."""
-    at = placed(turns)
+    at = materialize(placed(turns), "placed-turns")
     gone = _absorbed(at, keep, ABSORB_LEAST)
     live = materialize(_live(at, keep), "live-turns")
     two = _lines(_pairs(live, k), "pair", F.concat(F.lit("User: "), "user", F.lit("\nAssistant: "), "assistant"), "\n\n", "pairs")
     few = _lines(_recent(live, k, limit, boundary), "turn", _line(), "\n", "summaries")
-    all_ = turns.select("conv_id").distinct().join(two, "conv_id", "left").join(few, "conv_id", "left").join(digest(gone, cap), "conv_id", "left")
+    all_ = turns.select("conv_id").distinct()
+    for part in (two, few, digest(gone, cap)):
+        all_ = same(all_, part, ["conv_id"], "left")
     head = F.lit("Pinned:\n" + "\n".join(pinned)) if pinned else F.lit(None).cast("string")
     return all_.select("conv_id", F.concat_ws("\n\n", head, "pairs", F.concat(F.lit("Recent summaries:\n"), "summaries"), F.concat(F.lit("Digest:\n"), "digest")).alias("block"))

@@ -1,13 +1,12 @@
 """Packing ranked pieces into a budget of characters. Both rules keep a prefix of the ranking: the first piece that
-does not fit ends it."""
+does not fit ends it. Groups that are too large for a task, null ones too, are summed over ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import ranged
+from .ranges import earlier, fit_tasks, ranged, same
 
 #: Rows whose texts are joined at once.
 PART = 4096
@@ -15,17 +14,16 @@ PART = 4096
 
 def joined_within(df: DataFrame, group: list[str], rank: str, text: str, budget: int) -> DataFrame:
     """Keep rows whose text, joined to those before it by blank lines (two characters, charged to the first piece as
-    well), stays within the budget."""
-    w = W.partitionBy(*group).orderBy(rank)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
+    well), stays within the budget. Totals never fall along the ranking, so what is kept is a prefix."""
     size = F.length(F.coalesce(F.col(text), F.lit("")))
-    # Empty leading pieces add no separator, so separators count from the first piece that has text.
-    started = F.coalesce(F.max(F.when(size > 0, 1).otherwise(0)).over(before), F.lit(0))
-    cost = df.withColumn("_sep", F.when(started > 0, 2).otherwise(0))
-    total = F.sum(size + F.col("_sep")).over(upto) + F.when(F.col("_sep") > 0, 0).otherwise(2)
-    cost = cost.withColumn("_over", (total > budget).cast("int"))
-    return cost.withColumn("_stop", F.max("_over").over(upto)).filter("_stop = 0").drop("_sep", "_over", "_stop")
+    sums = earlier(df, group, [rank], [text], _chars=size, _rows=F.lit(1))
+    # Empty leading pieces add no separator: those count from the first piece that has text.
+    started = F.col("_chars") > 0
+    lead = sums.filter(~started).groupBy(*group).agg(F.count("*").alias("_lead"))
+    sums = same(sums, lead, group, "left")
+    separators = F.when(started, F.col("_rows") + 1 - F.col("_lead")).otherwise(1)
+    kept = sums.filter(F.col("_chars") + size + 2 * separators <= budget)
+    return kept.select(*df.columns)
 
 
 def snippet(relpath: Column, idx: Column, content: Column) -> Column:
@@ -34,8 +32,8 @@ def snippet(relpath: Column, idx: Column, content: Column) -> Column:
 
 def snippets_within(df: DataFrame, group: list[str], rank: str, piece: str, budget: int) -> DataFrame:
     """Keep rows while the pieces' lengths add up to at most the budget; separators are not charged."""
-    upto = W.partitionBy(*group).orderBy(rank).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("_total", F.sum(F.length(piece)).over(upto)).filter(F.col("_total") <= budget).drop("_total")
+    sums = earlier(df, group, [rank], [piece], _chars=F.coalesce(F.length(piece), F.lit(0)))
+    return sums.filter(F.col("_chars") + F.coalesce(F.length(piece), F.lit(0)) <= budget).select(*df.columns)
 
 
 def context_text(df: DataFrame, group: list[str], rank: str, text: str, sep: str = "\n\n") -> DataFrame:
@@ -46,6 +44,8 @@ def context_text(df: DataFrame, group: list[str], rank: str, text: str, sep: str
 def gathered_text(df: DataFrame, group: list[str], rank: str, text: str, sep: str = "\n\n") -> DataFrame:
     """context_text for groups of any number of rows: joined in parts of at most PART rows, which are spread over ranges;
     only a group's parts, joined already, come together. The text itself is one value."""
+    if fit_tasks(df, group, [text]):
+        return context_text(df, group, rank, text, sep)
     rows = ranged(df.select(*group, rank, text), group, [rank, text]).withColumn("_part", F.floor(F.col("_k") / PART))
     joined = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, F.col("t")))), lambda x: x["t"])
     # A part without any text is null, so that it adds no separator.

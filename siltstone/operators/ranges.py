@@ -15,6 +15,18 @@ from .scratch import materialize
 SAMPLE, DRAWN = "spark.sql.execution.rangeExchange.sampleSizePerPartition", "20"
 
 
+#: Groups of at most so many rows and bytes of text are left to one task's window.
+GROUP_ROWS, GROUP_BYTES = 100_000, 32 << 20
+
+
+def fit_tasks(df: DataFrame, group: list[str], texts: list[str]) -> bool:
+    """Is every group small enough for one task? Counted, by an aggregate that is combined before its shuffle. Both ways
+    give the same rows; ranges cost a write and a sort of all of them."""
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(t).cast("string")), F.lit(0)) for t in texts], F.lit(0).cast("long"))
+    most = df.groupBy(*group).agg(F.count("*").alias("n"), F.sum(size).alias("b")).agg(F.max("n").alias("n"), F.max("b").alias("b")).first()
+    return (most["n"] or 0) <= GROUP_ROWS and (most["b"] or 0) <= GROUP_BYTES
+
+
 @contextmanager
 def few_samples(spark: SparkSession):
     """Bounds of ranges are drawn from few rows while this lasts, so that whole texts among them keep the driver small."""
@@ -56,3 +68,17 @@ def running(rows: DataFrame, group: list[str], amount: Column | None = None) ->
     inside = W.partitionBy(*group, "_range").orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
     summed = rows.withColumn("_in", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
     return same(summed, base, [*group, "_range"]).withColumn("_before", F.col("_base") + F.col("_in")).drop("_amount", "_in", "_base")
+
+
+def earlier(df: DataFrame, group: list[str], order: list[str], texts: list[str], **amounts: Column) -> DataFrame:
+    """df with, for each amount, the sum over the group's earlier rows by `order` (nulls first) under its name, and the
+    group's whole sum under that name with `_all`. In one window where all groups fit a task, else over ranges."""
+    if fit_tasks(df, group, texts):
+        whole = W.partitionBy(*group)
+        before = whole.orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
+        sums = {name: F.coalesce(F.sum(a.cast("long")).over(before), F.lit(0)) for name, a in amounts.items()}
+        return df.withColumns(sums | {f"{name}_all": F.sum(a.cast("long")).over(whole) for name, a in amounts.items()})
+    rows = ranged(df, group, order)
+    for name, amount in amounts.items():
+        rows = running(rows, group, amount).withColumnsRenamed({"_before": name, "_total": f"{name}_all"}).drop("_low")
+    return rows.drop("_range", "_k")

@@ -14,6 +14,7 @@ from ..functions import globs, text, vectors
 from ..models import http
 from ..operators import chunk_plain, chunk_size, definitions, knn, memory, pack, store
 from ..operators.scratch import scratch_path
+from ..operators.vector_index import VectorIndex
 from ..sources import repo
 from . import ingest
 
@@ -92,6 +93,43 @@ def knn_ivf_recall(spark, sf_dir):
     return per.agg(F.count("*").alias("queries"), (F.avg("recall") >= RECALL).alias("reaches"))
 
 
+def _index_of(spark: SparkSession, name: str) -> VectorIndex:
+    return VectorIndex(spark, scratch_path(spark, name), "t", "vec_id", "embedding")
+
+
+@query("SELECT count(*) AS queries, true AS reaches, true AS within FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Does the index of codes find nine tenths of what the exact search finds, over every 50th vector? And do the codes that
+    it reads before the exact distances have at most a tenth of the vectors' bytes? Every vector is indexed."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    index = _index_of(spark, "index")
+    index.refresh(e)
+    found = index.search(asked, 12).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    exact = knn.nearest(e, asked, 12).select("query_id", "vec_id")
+    per = exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    size = index.rows(index.model()).agg(F.sum(F.length("code")).alias("codes"), F.sum(4 * F.size("embedding")).alias("bytes"))
+    recall = per.agg(F.count("*").alias("queries"), (F.avg("recall") >= RECALL).alias("reaches"))
+    both = recall.unionByName(size.select((10 * F.col("codes") <= F.col("bytes")).alias("within")), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("queries", "reaches", "within")])
+
+
+@query("""
+SELECT vec_id, round(CAST(CASE WHEN vec_id % 11 = 0 THEN embedding[2] ELSE embedding[1] END AS DOUBLE), 6) AS first, CASE WHEN label IS NULL THEN -1 ELSE label END AS label
+FROM embeddings WHERE vec_id % 7 <> 0""")
+def vector_index_upkeep(spark, sf_dir):
+    """What an index holds that was built on the even rows, then followed a table with the odd ones, without every seventh
+    row and with every eleventh vector turned by one place; a third call, which has nothing to do, changes nothing."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.coalesce("label", F.lit(-1)).alias("label"))
+    index = _index_of(spark, "upkeep")
+    index.refresh(e.filter("vec_id % 2 = 0"), ("label",))
+    turned = F.when(F.col("vec_id") % 11 == 0, F.concat(F.slice("embedding", 2, F.size("embedding") - 1), F.slice("embedding", 1, 1))).otherwise(F.col("embedding"))
+    now = e.filter("vec_id % 7 <> 0").withColumn("embedding", turned)
+    for _ in range(2):
+        index.refresh(now, ("label",))
+    return index.rows(index.model()).select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), "label")
+
+
 @query("""
 SELECT vec_id, CAST(i AS INTEGER) AS pos, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS value
 FROM embeddings, unnest(range(len(embedding))) AS r(i)""")

@@ -287,7 +287,16 @@ def _in_order(data, by):
     return out
 
 
-def test_hot_groups_are_spread_and_whole(spark):
+@pytest.fixture(params=[0, 100_000])
+def group_rows(request, monkeypatch):
+    """Groups beyond so many rows go over ranges: all, or none here."""
+    from siltstone.operators import ranges
+
+    monkeypatch.setattr(ranges, "GROUP_ROWS", request.param)
+    return request.param
+
+
+def test_hot_groups_are_spread_and_whole(spark, group_rows):
     from siltstone.operators import chunk_plain, ranges
 
     data, df = _hot(spark)
@@ -309,7 +318,7 @@ def test_hot_groups_are_spread_and_whole(spark):
         assert chunks == {c: [x.text() for x in chunk_plain.packed([(p, False) for p in l], limit)] for c, l in got.items()}
 
 
-def test_memory_of_hot_conversations(spark):
+def test_memory_of_hot_conversations(spark, group_rows):
     data, df = _hot(spark)
     lists = _in_order(data, lambda r: r[1:])
     n = {c: len(l) for c, l in lists.items()}
@@ -324,3 +333,35 @@ def test_memory_of_hot_conversations(spark):
         for r in memory.pairs(df, k).orderBy("pair").collect():
             got.setdefault(r.conv_id, []).append((r.user, r.assistant))
         assert got == {c: l[-k:] for c, l in found.items() if l}
+
+
+def test_packing_of_hot_groups(spark, group_rows):
+    data, df = _hot(spark)
+    # Turn numbers repeat under null: the text makes the order one.
+    rows_ = [(c, i, "" if t and t.startswith(" ") else t) for c, l in _in_order(data, lambda r: (r[1], r[3])).items() for i, (_, _, _, t) in enumerate(l)]
+    one = spark.createDataFrame(rows_, "g long, i int, t string").repartition(5)
+    for budget in (0, 40, 3000, 10**6):
+        want_a, want_b = set(), set()
+        for c in {r[0] for r in rows_}:
+            joined, added, stop = "", 0, False
+            for _, i, t in sorted(r for r in rows_ if r[0] == c and not stop):
+                t = t or ""
+                sep = 2 if joined else 0
+                if len(joined) + sep + len(t) + (0 if joined else 2) > budget:
+                    break
+                joined += ("\n\n" if joined else "") + t
+                want_a.add((c, i))
+            for _, i, t in sorted((r[0] or 0, r[1], r[2]) for r in rows_ if r[0] == c):
+                added += len(t or "")
+                if added > budget:
+                    break
+                want_b.add((c, i))
+        assert {(r.g, r.i) for r in pack.joined_within(one, ["g"], "i", "t", budget).collect()} == want_a
+        assert {(r.g, r.i) for r in pack.snippets_within(one, ["g"], "i", "t", budget).collect()} == want_b
+
+
+def test_a_null_conversation_has_a_text_block(spark, group_rows):
+    turns = [(c, i, ["user", "assistant"][i % 2], f"{c}-{i}") for c in (None, 4) for i in range(12)]
+    got = {r.conv_id: r.block for r in memory.text_block(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), ["be brief"], keep=4, cap=400).collect()}
+    assert set(got) == {None, 4} and got[None] == got[4].replace("4-", "None-")
+    assert got[4].startswith("Pinned:\nbe brief\n\nUser: 4-8\nAssistant: 4-9\n\nUser: 4-10\nAssistant: 4-11") and "Recent summaries:" in got[4] and "Digest:\nUser: 4-0" in got[4]
