@@ -8,7 +8,7 @@ Viterbi runs over all texts of a batch in lockstep. Neighbouring words that favo
 which changes no best path: inside such a run no other language can gain by starting late or ending early.
 
 Bounds (parameters): at most about `sample` training texts per language, chosen by hash of the id; 2**BITS buckets by
-the learned languages in the model.
+the learned languages in the model, and fewer buckets where these would be more than TABLE numbers (beyond 64 languages).
 
 Edge cases: a null text or one without letters is `und` with score 0 and no spans; ties go to the language that comes
 first by name; null languages are not learned; repeated rows get the same answer; with nothing to learn from every text
@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SAMPLE_PARTS, add_columns, drop_scratch, materialize, plain, ship
+from .common import SAMPLE_PARTS, add_columns, drop_scratch, materialize, plain, ship, small_join
 from .ngrams import Counts, code_points, groups, hashed
 
 SIZES = range(2, 5)
 BITS = 18
+#: Numbers of a model: buckets times languages, at most (4 bytes each).
+TABLE = 1 << 24
 SAMPLE = 4_000
 #: What a switch of language costs, in nats; n-grams of a word overlap, so their scores are scaled down.
 SWITCH = 9.0
@@ -48,8 +50,12 @@ def _scripts(cp: np.ndarray) -> np.ndarray:
     return SCRIPT_ID[np.searchsorted(SCRIPT_FROM, cp, side="right") - 1]
 
 
-def _counts(languages: list[str]):
-    """(text, lang) to (bucket, lang, n); buckets from 2**BITS on count the scripts of letters."""
+def bits_for(languages: int) -> int:
+    return max(8, min(BITS, (TABLE // max(1, languages)).bit_length() - 1))
+
+
+def _counts(languages: list[str], bits: int):
+    """(text, lang) to (bucket, lang, n); buckets from 2**bits on count the scripts of letters."""
     number = {x: i for i, x in enumerate(languages)}
 
     def row(got):
@@ -63,10 +69,10 @@ def _counts(languages: list[str]):
             for index, parts in groups(texts):
                 cp, part = code_points(parts)
                 lang = langs[np.array(index)][part]
-                for at, bucket in hashed(cp, SIZES, BITS):
+                for at, bucket in hashed(cp, SIZES, bits):
                     counts.add(bucket.astype(np.int64) * n + lang[at + 1])
                 at = np.flatnonzero(cp)
-                counts.add(((1 << BITS) + _scripts(cp[at])) * n + lang[at])
+                counts.add(((1 << bits) + _scripts(cp[at])) * n + lang[at])
                 if got := counts.full():
                     yield row(got)
         if got := counts.rest():
@@ -83,17 +89,16 @@ def fit(documents: DataFrame, train: Column, sample: int = SAMPLE, seed: int = 2
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((0, 0), np.float32), np.zeros((SCRIPTS, 0), bool)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    share = F.lit(0)
-    for x, n in counts.items():
-        share = F.when(F.col("lang") == x, int(min(1.0, sample / n) * (1 << 30))).otherwise(share)
+    bits, draw = bits_for(len(languages)), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+    shares = documents.sparkSession.createDataFrame([(x, int(min(1.0, sample / n) * (1 << 30))) for x, n in counts.items()], "lang string, _share long")
     # The scan is as wide as the corpus; only the bounded sample is dealt to few tasks, and read from there.
-    rows = materialize(known.filter(draw < share).select("text", "lang").repartition(SAMPLE_PARTS), "language-sample")
-    got = rows.mapInArrow(_counts(languages), "bucket int, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toArrow()
+    drawn = small_join(known.select("doc_id", "text", "lang"), shares, ["lang"], "inner").filter(draw < F.col("_share"))
+    rows = materialize(drawn.select("text", "lang").repartition(SAMPLE_PARTS), "language-sample")
+    got = rows.mapInArrow(_counts(languages, bits), "bucket int, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toArrow()
     drop_scratch(rows)
-    table = np.zeros(((1 << BITS) + SCRIPTS, len(languages)))
+    table = np.zeros(((1 << bits) + SCRIPTS, len(languages)))
     table[got["bucket"].to_numpy(), got["lang"].to_numpy()] = got["n"].to_numpy()
-    grams, scripts = table[: 1 << BITS], table[1 << BITS :]
+    grams, scripts = table[: 1 << bits], table[1 << bits :]
     allowed = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1)
     allowed[~allowed.any(1)] = True
     odds = np.log(grams + 0.5) - np.log(grams.sum(0) + 0.5 * max(1, (grams.sum(1) > 0).sum()))
@@ -141,6 +146,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float = SWITCH) -> n
 def word_scores(texts: list[str | None], odds: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, score by language) of every word, in order; languages that the word's script rules out are far below."""
     width, of, scores = odds.shape[1], [], []
+    bits = len(odds).bit_length() - 1
     for index, parts in groups(texts):
         cp, part = code_points(parts)
         start = np.flatnonzero((cp[1:] != 0) & (cp[:-1] == 0)) + 1
@@ -148,7 +154,7 @@ def word_scores(texts: list[str | None], odds: np.ndarray, allowed: np.ndarray)
             continue
         word = np.cumsum(np.bincount(start, minlength=len(cp))) - 1
         total = np.zeros((len(start), width), np.float32)
-        for at, bucket in hashed(cp, SIZES, BITS):
+        for at, bucket in hashed(cp, SIZES, bits):
             mine = word[at + (cp[at] == 0)]
             if len(at):
                 cut = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
@@ -182,7 +188,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarra
     gone = {r.lower() for r in results}
     spark, documents = documents.sparkSession, documents.select(*plain([c for c in documents.columns if c.lower() not in gone]))
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # 2**BITS floats per language
+    shared = spark.sparkContext.broadcast(model)  # at most TABLE floats
     where = documents.columns.index("text")
 
     def run(batches):

@@ -13,9 +13,9 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def letters() -> np.ndarray:
-    """By code point: is it a letter? Built once per worker; the planes above hold no alphabets in use."""
+    """By code point of all planes: is it a letter? Built once per worker."""
     if "alpha" not in _tables:
-        _tables["alpha"] = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+        _tables["alpha"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return _tables["alpha"]
 
 
@@ -52,7 +52,7 @@ def code_points(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes[0] += 1
     part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     alpha = letters()
-    return np.where(alpha[np.minimum(raw, len(alpha) - 1)], raw, 0).astype(np.uint32), part
+    return np.where(alpha[raw], raw, 0).astype(np.uint32), part
 
 
 def hashed(cp: np.ndarray, sizes: range, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

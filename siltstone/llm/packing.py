@@ -3,11 +3,11 @@
 Documents longer than a sequence are cut into whole sequences and one rest; every piece shorter than a sequence goes to
 an open bin. A fixed number of bins is open. A bitset keyed by free space finds the open bin that a piece fits best; when
 none fits and no bin may be opened, the fullest closes. What is still open at the end of a task's stream is packed once
-more, longest pieces first.
+more with the same number of open bins, longest pieces first.
 
 Only piece lengths are dealt out: by hash of the piece, so every task sees a random order (which best fit likes) and no
-source or group of copies meets in one task; of equal rows (same id and text) at most the first of each Arrow batch share
-a hash. A task takes `tokens_per_task` tokens whatever the input's size, so the few
+source or group of copies meets in one task; equal rows (same id and text) have hashes of their own, by the task and batch
+that read them. A task takes `tokens_per_task` tokens whatever the input's size, so the few
 half-full bins at its end are a constant small share.
 
 Edge cases: a null or empty text is the single end id; repeated rows are packed as often as they occur; an empty table
@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,23 +83,24 @@ def pack_stream(pieces, length: int = LENGTH, most: int = OPEN_BINS) -> Iterator
         open_.add(size, item, closed)
         yield from closed
         closed.clear()
-    again = OpenBins(length, 1 << 60)
+    again = OpenBins(length, most)
     for size, item in sorted((p for b in open_.rest() for p in b), key=lambda p: -p[0]):
         again.add(size, item, closed)
-    yield from closed
+        yield from closed
+        closed.clear()
     yield from again.rest()
 
 
 def cut(documents: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, copy and, if asked for, ids (little-endian 32-bit).
 
-    copy tells equal rows of a batch apart: 0 for the first.
+    copy tells equal rows apart: by the task and batch that read them, and their number there.
     """
     ship(documents.sparkSession)
     path, tail = vocabulary or vocabulary_path(), end_id.to_bytes(4, "little")
 
     def run(batches):
-        enc = encoder(path)
+        enc, task = encoder(path), TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
             out: tuple = ([], [], [], [], [], [], [])
             seen: dict = {}
@@ -110,7 +112,7 @@ def cut(documents: DataFrame, vocabulary: str | None = None, length: int = LENGT
                     crc = zlib.crc32(part)
                     if not n:
                         again = seen[doc_id, crc] = seen.get((doc_id, crc), -1) + 1
-                        copy = again and again << 32 | number
+                        copy = (task << 20 | number) << 20 | again
                     for col, v in zip(out, (doc_id, n, at // 4, len(part) // 4, crc, copy, part)):
                         if col is not out[6] or keep_ids:
                             col.append(v)

@@ -13,7 +13,9 @@ joined with it by shuffle. Both ways give the same perplexities.
 Edge cases: null and empty texts have no grams, a null perplexity, and are kept (there is nothing against them);
 a null lang is a language of its own; a language with too few trusted texts in fold 0 for the quantile to differ from
 their maximum takes the quantile over its other trusted texts too, one without any the quantile over all languages;
-with no trusted text at all everything is kept; characters beyond U+FFFE count as one; an id that is trusted twice counts once;
+with no trusted text at all everything is kept; characters beyond U+FFFE stand for one of
+6,400 private ones each, by their remainder, so that two of them seldom meet; texts of any length are read in groups of
+characters; other columns are not read, whatever their names; an id that is trusted twice counts once;
 repeated rows are scored alike; an empty table gives an empty result.
 """
 
@@ -28,6 +30,8 @@ from .common import crc_bucket, materialize, ship, small_join
 from .ngrams import Counts, groups
 
 ORDER = 4
+#: First private character and their number (fixed values).
+PRIVATE, PRIVATE_SIZE = 0xE000, 6400
 QUANTILE = 0.995
 TABLE_GRAMS = 4_000_000
 #: Trusted ids (8 bytes) are broadcast up to this count, else joined by shuffle.
@@ -37,7 +41,8 @@ BROADCAST_IDS = 1_000_000
 def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The parts' grams as numbers, one per character, and the part of each. Every part starts after ORDER - 1 blanks."""
     pad = "\x00" * (ORDER - 1)
-    raw = np.minimum(np.frombuffer((pad + pad.join(parts)).encode("utf-32-le", "replace"), np.uint32), 0xFFFF).astype(np.uint64)
+    raw = np.frombuffer((pad + pad.join(parts)).encode("utf-32-le", "replace"), np.uint32)
+    raw = np.where(raw < 0xFFFF, raw, PRIVATE + raw % PRIVATE_SIZE).astype(np.uint64)
     sizes = np.array([len(p) for p in parts])
     start = np.cumsum(sizes + ORDER - 1) - sizes
     part = np.repeat(np.arange(len(parts)), sizes)

@@ -329,6 +329,12 @@ def test_fingerprints_stay_native(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_chats_stay_native(spark):
+    plan = chat.format_chats(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string"))._jdf.queryExecution().toString()
+    assert not re.search("Python|ArrowEval|Pandas", plan)
+    assert not re.search(r"udf|pandas|pyarrow|mapIn|applyIn|\.rdd", open(chat.__file__).read(), re.I)
+
+
 # ---- search
 
 def _exact(rows, asked, k):

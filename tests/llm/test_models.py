@@ -264,3 +264,29 @@ def test_thresholds_are_quantiles_of_texts_the_model_has_not_seen(spark):
         limit = unseen[math.ceil(0.9 * len(unseen)) - 1]
         assert mine.threshold.nunique() == 1 and math.isclose(mine.threshold.iloc[0], limit, rel_tol=1e-6)
         assert (mine.kept == (mine.perplexity <= limit)).all()
+
+
+def test_letters_of_all_planes():
+    assert ngrams.letters()[ord("\U00030000")] and ngrams.letters()[ord("\U00020000")] and not ngrams.letters()[ord("\U0001F600")]
+
+
+def test_texts_of_rare_letters_have_a_language(spark):
+    rows = [(i, "\U00030000\U00030001 \U00030002" if i % 2 else "some plain words", "rare" if i % 2 else "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.fit(docs, F.lit(True)))
+    assert {r.lang_pred for r in got.collect() if r.lang == "rare"} == {"rare"}
+
+
+def test_many_languages_stay_in_a_bounded_table(spark):
+    assert langid.bits_for(4) == langid.BITS and all(n << langid.bits_for(n) <= langid.TABLE for n in (1, 64, 65, 1000, 20_000))
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 3, f"l{i % 150:03d}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, odds, _ = langid.fit(docs, F.lit(True))
+    assert len(languages) == 150 and odds.size <= langid.TABLE
+    assert langid.identify(docs, langid.fit(docs, F.lit(True))).filter("lang_pred = 'und'").count() == 0
+
+
+def test_grams_tell_characters_beyond_the_first_plane_apart():
+    a, _ = quality.grams(["a\U0001F600b"])
+    b, _ = quality.grams(["a\U0001F601b"])
+    assert a[0] == b[0] and (a[1:] != b[1:]).all()

@@ -179,3 +179,23 @@ def test_many_shard_starts_are_not_broadcast(spark, tmp_path):
     assert [r.start for r in few.orderBy("doc_id").collect()][:3] == [0, *np.cumsum([r.n_tokens for r in few.orderBy("doc_id").collect()])[:2]]
     hints = [str(df._jdf.queryExecution().optimizedPlan()).count("strategy=merge") for df in (few, many)]
     assert hints == [0, 1]
+
+
+def test_equal_rows_have_hashes_of_their_own(spark):
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "'same words' AS text").repartition(6)
+    pieces = packing.cut(docs)
+    assert pieces.select("copy").distinct().count() == 3000
+
+
+def test_the_last_pass_keeps_the_bound(monkeypatch):
+    most = []
+    real = packing.OpenBins.add
+
+    def add(self, *args):
+        real(self, *args)
+        most.append(self.count)
+
+    monkeypatch.setattr(packing.OpenBins, "add", add)
+    sizes = [5, 6, 7, 8, 9] * 40
+    bins = list(packing.pack_stream(list(zip(sizes, range(200))), length=10, most=4))
+    assert max(most) <= 4 and sorted(i for b in bins for _, i in b) == list(range(200))
