@@ -1,14 +1,17 @@
 """Definition-aware chunks from light scanners: no grammar is needed.
 
 Each language has a function from source to spans (start, end, kind, name); symbols qualify a callable by its innermost
-container. Comments and strings are blanked first, so braces in them don't count. Known limits, stated so that nobody
-takes this for a parser: members of anonymous classes and arrow functions are not found, and a header that a macro or
-an annotation argument with parentheses splits may lose its modifiers.
+named container, in anonymous classes and object literals too. Comments and strings are blanked first, so braces in them
+don't count; code inside interpolated strings stays. Braces are matched once, with a stack, and each block's own text is
+looked at once, so time grows with the text. Known limits, stated so that nobody takes this for a parser: bodies of enum
+constants and functions that only a variable names have no symbol, and a header that a macro or an annotation argument with
+parentheses splits may lose its modifiers.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,15 +33,85 @@ class Span:
     symbol: str
 
 
-_BLANK = {
-    "c": re.compile(r'//[^\n]*|/\*.*?\*/|"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`', re.S),
-    "python": re.compile(r'#[^\n]*|"""(?:\\.|[^\\])*?"""|\'\'\'(?:\\.|[^\\])*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S),
-}
+#: What opens a comment or a string; strings that hold code between ${ and }, by language.
+_TOKENS = {"c": re.compile(r'//|/\*|"""|["\'`{}]'), "python": re.compile(r'#|"""|\'\'\'|["\']')}
+_INTERPOLATED = {"javascript": ("`",), "kotlin": ('"', '"""'), "groovy": ('"', '"""')}
+_SHORT = {q: re.compile(rf"{q}(?:\\.|[^{q}\\\n])*{q}", re.S) for q in "\"'"}
+_NOT_LINE_END = re.compile(r"[^\n]")
 
 
 def blanked(text: str, family: str) -> str:
-    """Comments and strings as spaces; line ends stay, so every offset stays."""
-    return _BLANK[family].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    """Comments and strings as spaces; line ends stay, so every offset stays. Code inside an interpolated string stays code.
+
+    One pass with a stack: of open strings, and of the braces that are open in the code inside them.
+    """
+    rules, held = _TOKENS["python" if family == "python" else "c"], _INTERPOLATED.get(family, ())
+    out: list[str] = []
+    unclosed: set[str] = set()  # marks that are known to have no end further on
+    stack: list[list] = []  # [closing mark, open braces of the code in it]
+    at = 0
+
+    def put(to: int, code: bool) -> None:
+        nonlocal at
+        out.append(text[at:to] if code else _NOT_LINE_END.sub(" ", text[at:to]))
+        at = to
+
+    def string(mark: str, start: int) -> bool:
+        """Inside a string that may hold code: blank up to its end, or to the code. False if a one-line string has none."""
+        look = re.compile(r"\\.|\$\{|" + mark + (r"|\n" if mark == '"' else ""), re.S)
+        for m in look.finditer(text, start):
+            if m[0] == "${":
+                put(m.end(), False)
+                stack.append([mark, 0])
+                return True
+            if m[0] == mark:
+                put(m.end(), False)
+                return True
+            if m[0] == "\n":
+                break
+        unclosed.add(mark) if mark != '"' else None
+        return False
+
+    while m := rules.search(text, at):
+        mark, start = m[0], m.start()
+        put(start, True)
+        if mark in "{}":
+            if stack and mark == "}" and not stack[-1][1]:
+                closing_mark = stack.pop()[0]
+                put(start + 1, False)
+                string(closing_mark, at)
+                continue
+            if stack:
+                stack[-1][1] += 1 if mark == "{" else -1
+            put(start + 1, True)
+        elif mark in ("//", "#"):
+            end = text.find("\n", start)
+            put(len(text) if end < 0 else end, False)
+        elif mark in held:
+            if mark in unclosed or not string(mark, start + len(mark)):
+                put(start + len(mark), True)
+        elif mark in _SHORT:
+            whole = _SHORT[mark].match(text, start)
+            put(whole.end() if whole else start + 1, not whole)
+        else:
+            close = "*/" if mark == "/*" else mark
+            end = -1 if close in unclosed else _end_of(text, close, start + len(mark))
+            if end < 0:
+                unclosed.add(close)
+            put(start + len(mark) if end < 0 else end, end < 0)
+    put(len(text), True)
+    return "".join(out)
+
+
+def _end_of(text: str, close: str, at: int) -> int:
+    """Offset after the closing mark; a backslash hides what follows it in strings."""
+    if close == "*/":
+        end = text.find(close, at)
+        return end + 2 if end >= 0 else -1
+    for m in re.compile(r"\\.|" + close, re.S).finditer(text, at):
+        if m[0] == close:
+            return m.end()
+    return -1
 
 
 def closing(code: str, at: int) -> int:
@@ -51,6 +124,55 @@ def closing(code: str, at: int) -> int:
     return len(code)
 
 
+class Scopes:
+    """All braces and parentheses of blanked code, matched in one pass: close[open] is the offset after the closing one."""
+
+    def __init__(self, code: str) -> None:
+        self.code, self.close, self.inner = code, {}, {-1: []}
+        open_: dict[str, list[int]] = {"{": [], "(": []}
+        self.braces: list[int] = []
+        for m in re.compile(r"[{}()]").finditer(code):
+            c, at = m[0], m.start()
+            if c in "{(":
+                if c == "{":
+                    self.inner[open_["{"][-1] if open_["{"] else -1].append(at)
+                    self.inner[at] = []
+                    self.braces.append(at)
+                open_[c].append(at)
+            elif open_[was := "{" if c == "}" else "("]:
+                self.close[open_[was].pop()] = at + 1
+        for left in open_.values():
+            self.close.update(dict.fromkeys(left, len(code)))
+
+    def direct(self, brace: int) -> tuple[str, Callable[[int], int]]:
+        """A block's own text, inner blocks as {}, and where an offset in it lies in the code. -1: the whole text."""
+        at, end = (0, len(self.code)) if brace < 0 else (brace + 1, self.close[brace] - (self.code[self.close[brace] - 1] == "}"))
+        pieces, flat, real, total = [], [], [], 0
+        for inner in [*self.inner[brace], None]:
+            stop = end if inner is None else inner + 1
+            pieces.append(self.code[at:stop])
+            flat.append(total)
+            real.append(at)
+            total += len(pieces[-1])
+            at = end if inner is None else self.close[inner] - (self.code[self.close[inner] - 1] == "}")
+        return "".join(pieces), lambda i: real[k := bisect_right(flat, i) - 1] + i - flat[k]
+
+
+def _within(places: list[int], bodies: list[tuple[int, int, str]]) -> list[str]:
+    """The name of the innermost body around each place (in ascending order); empty for none."""
+    out, open_, todo = [], [], sorted(bodies, reverse=True)
+    for at in places:
+        while todo and todo[-1][0] <= at:
+            body = todo.pop()
+            while open_ and open_[-1][1] <= body[0]:
+                open_.pop()
+            open_.append(body)
+        while open_ and open_[-1][1] <= at:
+            open_.pop()
+        out.append(open_[-1][2] if open_ else "")
+    return out
+
+
 _MODS = r"(?:(?:@[\w.]+(?:\([^()]*\))?|public|protected|private|internal|abstract|final|static|sealed|open|data|inner|override|suspend|inline|default|synchronized|native|strictfp|export|declare|async|companion|operator|def)\s+)*"
 _TYPE = r"(?:<[^{};()]*?>\s*)?[\w.$]+(?:\s*<[^{};()]*>)?(?:\s*\[\s*\])*"
 _NOT_NAMES = r"(?!(?:if|for|while|switch|catch|return|new|else|do|try|throw|synchronized|super|this|function|when|assert|await|yield|case)\b)"
@@ -64,103 +186,188 @@ _CALLABLE = {
     "java": re.compile(rf"{_MODS}(?:{_TYPE}\s+)?{_NOT_NAMES}(?P<name>\w+)\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?:throws\s+[\w.,\s]+)?(?P<open>[{{;])"),
     "groovy": re.compile(rf"{_MODS}(?:{_TYPE}\s+)?{_NOT_NAMES}(?P<name>\w+)\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?:throws\s+[\w.,\s]+)?(?P<open>{{)"),
     "kotlin": re.compile(rf"{_MODS}\b(?:fun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?(?P<name>\w+)|constructor)\s*\([^()]*(?:\([^()]*\)[^()]*)*\)[^{{=\n;]*(?P<open>[{{=\n;]|\Z)"),
-    "javascript": re.compile(rf"(?:(?:public|protected|private|static|readonly|async|get|set|override)\s+)*\*?\s*{_NOT_NAMES}(?P<name>[\w$#]+)\s*(?:<[^{{}}()]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{;]+)?(?P<open>{{)"),
+    "javascript": re.compile(rf"(?:(?:public|protected|private|static|readonly|async|get|set|override)\s+)*\*?\s*(?<![\w$#.]){_NOT_NAMES}(?P<name>[\w$#]+)\s*(?:<[^{{}}()]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{;]+)?(?P<open>{{)"),
 }
 _FUNCTION = re.compile(r"(?:async\s+)?\bfunction\b\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^{}()]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{;]+)?\{")
 
 
-def _flat(code: str, start: int, end: int) -> str:
-    """A body with everything inside its inner braces blanked."""
-    out, at = list(code[start:end]), start
-    while (at := code.find("{", at, end)) >= 0:
-        stop = closing(code, at)
-        for i in range(at + 1 - start, min(stop, end) - 1 - start):
-            if out[i] != "\n":
-                out[i] = " "
-        at = stop
-    return "".join(out)
+#: An anonymous class up to its arguments, and what stands before an object literal.
+_ANONYMOUS = re.compile(r"\bnew\s+[\w.$]+(?:\s*<[^{};()]*>)?\s*(?=\()")
+_LITERAL = re.compile(r"(?:[=(,:\[?]|\breturn|\bdefault)\s*\Z")
+_HEAD = re.compile(r"[\n({;]")
+
+
+def _kotlin_body(code: str, scopes: Scopes, at: int) -> tuple[int, int]:
+    """(brace of the body or -1, end of the header) of a class or object whose name ends at `at`. A header goes on in the next
+    line after a colon or comma, or before one."""
+    while m := _HEAD.search(code, at):
+        if m[0] == "(":
+            at = scopes.close[m.start()]
+        elif m[0] == "{":
+            return m.start(), m.start()
+        elif m[0] == ";":
+            return -1, m.start()
+        else:
+            before, after = code[max(0, m.start() - 80) : m.start()].rstrip()[-1:], re.compile(r"\s*(.?)").match(code, m.end())
+            if before not in (":", ",") and after[1] not in (":", ",", "{", "("):
+                return -1, m.start()
+            at = after.end() - len(after[1])
+    return -1, len(code)
 
 
 def _braces(family: str) -> Callable[[str], Iterator[Span]]:
+    """One pass blanks, one matches braces; every block's own text is looked at once, so time is linear in the text."""
+
     def scan(text: str) -> Iterator[Span]:
-        code = blanked(text, "c")
-        bodies: list[tuple[int, int, str]] = []
+        code = blanked(text, family)
+        scopes = Scopes(code)
+        bodies: list[tuple[int, int, str]] = []  # of named classes
+        regions: list[int] = []  # braces of the blocks whose own text may hold callables
+        heads: list[tuple[int, int]] = []
+        marks = [m.start() for m in re.compile(r"[{;]").finditer(code)]
         for m in _CLASS[family].finditer(code):
-            stop = re.compile(r"[{;]").search(code, m.end())
-            body = bool(stop) and stop[0] == "{"
-            if family == "kotlin" and (not body or "\n" in code[m.end() : stop.start()].split(")")[-1].strip(" \t\r")):
-                line = code.find("\n", m.end())
-                body, stop = (body and code[m.end() : stop.start()].count("(") > 0), stop
-                if not body:
-                    yield Span(m.start(), len(code) if line < 0 else line, m["name"])
+            if family == "kotlin":
+                brace, header = _kotlin_body(code, scopes, m.end())
+                heads.append((m.start(), header))
+                if brace < 0:
+                    yield Span(m.start(), header, m["name"])
                     continue
-            if not body:
-                continue
-            end = closing(code, stop.start())
-            bodies.append((stop.start() + 1, end - 1, m["name"]))
+            else:
+                k = bisect_left(marks, m.end())
+                brace = marks[k] if k < len(marks) and code[marks[k]] == "{" else -1
+                if brace < 0:
+                    continue
+            end = scopes.close[brace]
+            bodies.append((brace + 1, end - 1 if code[end - 1] == "}" else end, m["name"]))
+            regions.append(brace)
             yield Span(m.start(), end, m["name"])
-        regions = [*bodies]
-        if family in ("kotlin", "groovy"):
-            regions.append((0, len(code), ""))
-        for start, end, name in regions:
-            flat = _flat(code, start, end)
-            for m in _CALLABLE[family].finditer(flat):
-                own = m["name"] or ""
-                if family == "java" and not flat[m.start() : m.start("name")].strip() and (own != name or m["open"] == ";"):
-                    continue  # a call or an enum constant, not a constructor
-                if not name and family == "groovy" and not flat[m.start() : m.start("name")].strip():
+        if family == "java":
+            for m in _ANONYMOUS.finditer(code):
+                after = re.compile(r"\s*\{").match(code, scopes.close[m.end()])
+                if after:
+                    regions.append(after.end() - 1)
+        elif family == "javascript":
+            known = set(regions)
+            regions += [b for b in scopes.braces if b not in known and _LITERAL.search(code[max(0, b - 40) : b])]
+        elif family == "groovy":
+            regions.append(-1)
+        elif family == "kotlin":
+            # A function is told by its keyword wherever it stands; what looks like one in a class header is its constructor.
+            found = [m for m in _CALLABLE[family].finditer(code)]
+            starts = [h[0] for h in heads]
+            for m, name in zip(found, _within([m.start() for m in found], bodies)):
+                k = bisect_right(starts, m.start("open") - 1) - 1
+                if m["name"] is None and (not name or k >= 0 and heads[k][0] <= m.start() < heads[k][1]):
                     continue
-                at, opens = start + m.start("open"), m["open"]
-                stop = closing(code, at) if opens == "{" else at + 1 if opens == ";" else len(code) if (line := code.find("\n", at)) < 0 else line
-                yield Span(start + m.start() + len(m[0]) - len(m[0].lstrip()), stop, f"{name}.{own}" if name and own else own or name)
+                yield _callable(code, scopes, m, name, lambda i: i)
+        if family != "kotlin":
+            regions = sorted(set(regions))
+            for brace, name in zip(regions, _within([b + 1 for b in regions], bodies)):
+                own_text, real = scopes.direct(brace)
+                for m in _CALLABLE[family].finditer(own_text):
+                    before = own_text[m.start() : m.start("name")].split()
+                    bare = not before
+                    if own_text[max(0, m.start() - 12) : m.start("name")].split()[-1:] in (["new"], ["function"], ["function*"]) or "new" in before:
+                        continue  # a call of a constructor, or a function that is found by its keyword
+                    if family == "java" and bare and (m["name"] != name or m["open"] == ";"):
+                        continue  # a call or an enum constant, not a constructor
+                    if family == "groovy" and not name and bare:
+                        continue
+                    yield _callable(code, scopes, m, name, real)
         if family == "javascript":
-            for m in _FUNCTION.finditer(code):
-                inside = [b for b in bodies if b[0] <= m.start() < b[1]]
-                holder = max(inside)[2] if inside else ""
-                yield Span(m.start(), closing(code, m.end() - 1), f"{holder}.{m['name']}" if holder else m["name"])
+            found = list(_FUNCTION.finditer(code))
+            for m, name in zip(found, _within([m.start() for m in found], bodies)):
+                yield Span(m.start(), scopes.close[m.end() - 1], f"{name}.{m['name']}" if name else m["name"])
 
     return scan
 
 
+def _callable(code: str, scopes: Scopes, m: re.Match, name: str, real: Callable[[int], int]) -> Span:
+    """The span of a callable that was matched in a block's own text."""
+    own, opens = m["name"] or "", m["open"]
+    at = real(m.start("open")) if opens else len(code)
+    stop = scopes.close[at] if opens == "{" else at + 1 if opens == ";" else len(code) if (line := code.find("\n", at)) < 0 else line
+    start = real(m.start() + len(m[0]) - len(m[0].lstrip()))
+    return Span(start, stop, f"{name}.{own}" if name and own else own or name)
+
+
 _PY = re.compile(r"^(?P<indent>[ \t]*)(?P<kind>class|(?:async[ \t]+)?def)[ \t]+(?P<name>\w+)", re.M)
+_PY_LINE = re.compile(r"^(?P<i>[ \t]*)(?P<c>\S)?[^\n]*(?:\n|\Z)", re.M)
+_PY_HEAD = re.compile(r"[\n(\[{:]")
 
 
 def _python(text: str) -> Iterator[Span]:
+    """One pass over the lines with a stack of open definitions, by indentation."""
     code = blanked(text, "python")
-    holders: list[tuple[int, int, str]] = []
+    close: dict[int, int] = {}
+    pending: list[int] = []
+    for m in re.compile(r"[()\[\]{}]").finditer(code):
+        if m[0] in "([{":
+            pending.append(m.start())
+        elif pending:
+            close[pending.pop()] = m.end()
+    heads: dict[int, tuple[re.Match, int]] = {}  # by the start of the line: the header, and the end of its last line
     for m in _PY.finditer(code):
-        indent = len(m["indent"].expandtabs(8))
-        head = re.compile(r":[ \t]*(?:\n|\Z)|:").search(code, m.end())
-        depth, at = 0, m.end()
-        while at < len(code) and not (code[at] == ":" and not depth):
-            depth += (code[at] in "([{") - (code[at] in ")]}")
-            at += 1
-        end = code.find("\n", at) if head else -1
-        end = len(code) if end < 0 else end
-        for line in re.compile(r"^(?P<i>[ \t]*)(?P<c>\S)?[^\n]*(?:\n|\Z)", re.M).finditer(code, end + 1):
-            if line.start() >= len(code):
-                break
-            if line["c"] and len(line["i"].expandtabs(8)) <= indent:
-                break
-            if line["c"]:
-                end = line.end() - line[0].endswith("\n")
-        holder = max((h for h in holders if h[0] < m.start() < h[1]), default=(0, 0, ""))[2]
-        if m["kind"] == "class":
-            holders.append((m.start(), end, m["name"]))
-        start = m.start() + len(m["indent"])
-        yield Span(start, end, f"{holder}.{m['name']}" if holder and m["kind"] != "class" else m["name"])
+        at = m.end()
+        while (x := _PY_HEAD.search(code, at)) and x[0] in "([{":
+            at = close.get(x.start(), len(code))
+        end = code.find("\n", x.start()) if x else -1
+        heads[m.start()] = m, len(code) if end < 0 else end
+    open_: list[list] = []  # [indent, start, kind, name, end so far, end of the header, holder]
+    done: list[Span] = []
+
+    def shut(indent: int) -> None:
+        while open_ and open_[-1][0] >= indent:
+            _, start, kind, name, end, _, holder = open_.pop()
+            done.append(Span(start, end, f"{holder}.{name}" if holder and kind != "class" else name))
+            if open_:
+                open_[-1][4] = max(open_[-1][4], end)
+
+    for line in _PY_LINE.finditer(code):
+        if line.start() >= len(code):
+            break
+        if not line["c"] or (open_ and line.start() < open_[-1][5]):  # blank, or a header's own further line
+            continue
+        indent = len(line["i"].expandtabs(8))
+        shut(indent)
+        if open_:
+            open_[-1][4] = max(open_[-1][4], line.end() - line[0].endswith("\n"))
+        if line.start() in heads:
+            m, end = heads[line.start()]
+            holder = next((o[3] if o[2] == "class" else o[6] for o in reversed(open_)), "")
+            open_.append([indent, m.start() + len(m["indent"]), m["kind"], m["name"], end, end, holder])
+    shut(-1)
+    yield from sorted(done, key=lambda s: s.start)
 
 
 #: Elements that are definitions, and the attributes that name one.
 _XML_DEFS = {"mapper", "select", "insert", "update", "delete", "resultMap", "sql", "include", "where", "set", "trim", "foreach", "choose", "when", "otherwise"}
 _XML_NAMES = ("id", "resultMap", "parameterMap")
-_XML_TAG = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[?!][^>]*>|<(?P<close>/)?(?P<tag>[\w:.-]+)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/)?>", re.S)
+_XML_TAG = re.compile(r"<[?!][^>]*>|<(?P<close>/)?(?P<tag>[\w:.-]+)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/)?>", re.S)
+_XML_OPEN = re.compile(r"<!--|<!\[CDATA\[|<")
 _XML_ATTR = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 
 
+def _xml_tags(text: str) -> Iterator[re.Match]:
+    """Tags in order, without what lies in comments and CDATA. An end that was once not found is not looked for again."""
+    at, ends = 0, {"<!--": "-->", "<![CDATA[": "]]>"}
+    last = text.rfind(">")
+    while (m := _XML_OPEN.search(text, at)) and m.start() <= last:
+        if m[0] in ends:
+            end = text.find(ends[m[0]], m.end())
+            if end >= 0:
+                at = end + 3
+                continue
+            del ends[m[0]]
+        tag = _XML_TAG.match(text, m.start())
+        at = tag.end() if tag else m.start() + 1
+        if tag:
+            yield tag
+
+
 def _xml(text: str) -> Iterator[Span]:
     stack: list[tuple[str, int, str, str]] = []  # tag, start, namespace, symbol ("" for none)
-    for m in _XML_TAG.finditer(text):
+    for m in _xml_tags(text):
         tag = m["tag"]
         if tag is None:
             continue

@@ -3,6 +3,7 @@
 A parser is any object whose parse(bytes) gives a tree with root_node; nodes have type, start_byte, end_byte, children and
 child_by_field_name. The module that hands parsers out by language (get_parser(name)) is named by the environment
 variable SILTSTONE_GRAMMARS or by a parameter; without one, or where it knows no such language, the light scanner stays.
+So do those of markup, whose symbols are headings, attributes and documents instead of named classes and callables.
 """
 
 from __future__ import annotations
@@ -11,9 +12,13 @@ import importlib
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
+
 from .definitions import SCANNERS, Span
 
 ENV = "SILTSTONE_GRAMMARS"
+#: Languages whose definitions are classes and callables.
+CODE = tuple(x for x in SCANNERS if x not in ("xml", "yaml", "markdown"))
 #: Words that the types of nodes for definitions end in (fixed values of the public grammars).
 HOLDERS = ("class_declaration", "class_definition", "interface_declaration", "enum_declaration", "object_declaration", "record_declaration")
 CALLABLES = ("method_declaration", "constructor_declaration", "function_declaration", "function_definition", "method_definition")
@@ -28,7 +33,9 @@ def scanner(parser) -> Callable[[str], Iterator[Span]]:
 
     def scan(text: str) -> Iterator[Span]:
         raw = text.encode("utf-8", "replace")
-        at = lambda byte: len(raw[:byte].decode("utf-8", "replace"))
+        # Characters that begin before each byte: every byte but UTF-8's continuing ones begins one.
+        before = np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+        at = lambda byte: int(before[byte])
         open_ = [(parser.parse(raw).root_node, "")]
         while open_:
             node, holder = open_.pop()
@@ -43,7 +50,7 @@ def scanner(parser) -> Callable[[str], Iterator[Span]]:
     return scan
 
 
-def scanners(module: str | None = None, languages: tuple[str, ...] = tuple(SCANNERS)) -> dict[str, Callable[[str], Iterator[Span]]]:
+def scanners(module: str | None = None, languages: tuple[str, ...] = CODE) -> dict[str, Callable[[str], Iterator[Span]]]:
     """SCANNERS with the module's grammars in the place of those that it has. Called once in each worker."""
     table, named = dict(SCANNERS), module or os.environ.get(ENV)
     if not named:

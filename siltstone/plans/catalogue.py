@@ -437,11 +437,11 @@ def preview_text(spark, sf_dir):
 # ---- definitions: one source text a part and language; {k} and {s} stand for its key and size
 
 _CODE = {
-    "java": "package p;\n// class No { }\npublic class C{k} {\n    int f = {s};\n    C{k}() { f = 1; }\n    public void put{s}(int a) { if (a > 0) { f = a; } }\n    interface Inner { void run(); }\n}\n",
-    "kotlin": "class C{k}(val a: Int) {\n    fun put{s}(b: Int): Int {\n        return a + b\n    }\n}\nfun top{s}(): Int = {s}\n",
-    "groovy": "class C{k} {\n    def put{s}(a) { return [a] }\n}\ndef top{s}(x) { x }\n",
-    "javascript": "class C{k} {\n  put{s}(a) { return `{${a}}`; }\n}\nfunction top{s}(b) { return '}'; }\n",
-    "typescript": "export class C{k} {\n  private put{s}(a: number): number { return a; }\n}\nasync function top{s}(b: string): Promise<void> { await b; }\n",
+    "java": "package p;\n// class No { }\npublic class C{k} {\n    int f = {s};\n    C{k}() { f = 1; }\n    public void put{s}(int a) { if (a > 0) { f = a; } {v} }\n    interface Inner { void run(); }\n}\n",
+    "kotlin": "class C{k}(val a: Int) {\n    fun put{s}(b: Int): Int {\n        {v}\n        return a + b\n    }\n}\nfun top{s}(): Int = {s}\n",
+    "groovy": "class C{k} {\n    def put{s}(a) { {v} return [a] }\n}\ndef top{s}(x) { x }\n",
+    "javascript": "class C{k} {\n  put{s}(a) { {v} return `{${a}}`; }\n}\nfunction top{s}(b) { return '}'; }\n",
+    "typescript": "export class C{k} {\n  private put{s}(a: number): number { {v} return a; }\n}\nasync function top{s}(b: string): Promise<void> { await b; }\n",
     "tsx": "function App{k}(p: P) { return <b>{p.x}</b>; }\n",
     "python": "import os\n\nclass C{k}:\n    def put{s}(self, a):\n        return {\"a\": a}\n\n    x = {s}\n\ndef top{s}():\n    # def no(): pass\n    return 1\n\nx = 2\n",
     "xml": "<mapper namespace=\"com.P{k}\"><select id=\"find{s}\">a <where>b</where></select><sql id=\"cols\">c</sql></mapper>",
@@ -450,13 +450,13 @@ _CODE = {
 }
 _FOUND = {
     "java": [
-        ("C{k}", "public class C{k} {\n    int f = {s};\n    C{k}() { f = 1; }\n    public void put{s}(int a) { if (a > 0) { f = a; } }\n    interface Inner { void run(); }\n}"),
-        ("C{k}.C{k}", "C{k}() { f = 1; }"), ("C{k}.put{s}", "public void put{s}(int a) { if (a > 0) { f = a; } }"), ("Inner", "interface Inner { void run(); }"), ("Inner.run", "void run();"),
+        ("C{k}", "public class C{k} {\n    int f = {s};\n    C{k}() { f = 1; }\n    public void put{s}(int a) { if (a > 0) { f = a; } {v} }\n    interface Inner { void run(); }\n}"),
+        ("C{k}.C{k}", "C{k}() { f = 1; }"), ("C{k}.put{s}", "public void put{s}(int a) { if (a > 0) { f = a; } {v} }"), ("Inner", "interface Inner { void run(); }"), ("Inner.run", "void run();"),
     ],
-    "kotlin": [("C{k}", "class C{k}(val a: Int) {\n    fun put{s}(b: Int): Int {\n        return a + b\n    }\n}"), ("C{k}.put{s}", "fun put{s}(b: Int): Int {\n        return a + b\n    }"), ("top{s}", "fun top{s}(): Int = {s}")],
-    "groovy": [("C{k}", "class C{k} {\n    def put{s}(a) { return [a] }\n}"), ("C{k}.put{s}", "def put{s}(a) { return [a] }"), ("top{s}", "def top{s}(x) { x }")],
-    "javascript": [("C{k}", "class C{k} {\n  put{s}(a) { return `{${a}}`; }\n}"), ("C{k}.put{s}", "put{s}(a) { return `{${a}}`; }"), ("top{s}", "function top{s}(b) { return '}'; }")],
-    "typescript": [("C{k}", "class C{k} {\n  private put{s}(a: number): number { return a; }\n}"), ("C{k}.put{s}", "private put{s}(a: number): number { return a; }"), ("top{s}", "async function top{s}(b: string): Promise<void> { await b; }")],
+    "kotlin": [("C{k}", "class C{k}(val a: Int) {\n    fun put{s}(b: Int): Int {\n        {v}\n        return a + b\n    }\n}"), ("C{k}.put{s}", "fun put{s}(b: Int): Int {\n        {v}\n        return a + b\n    }"), ("top{s}", "fun top{s}(): Int = {s}")],
+    "groovy": [("C{k}", "class C{k} {\n    def put{s}(a) { {v} return [a] }\n}"), ("C{k}.put{s}", "def put{s}(a) { {v} return [a] }"), ("top{s}", "def top{s}(x) { x }")],
+    "javascript": [("C{k}", "class C{k} {\n  put{s}(a) { {v} return `{${a}}`; }\n}"), ("C{k}.put{s}", "put{s}(a) { {v} return `{${a}}`; }"), ("top{s}", "function top{s}(b) { return '}'; }")],
+    "typescript": [("C{k}", "class C{k} {\n  private put{s}(a: number): number { {v} return a; }\n}"), ("C{k}.put{s}", "private put{s}(a: number): number { {v} return a; }"), ("top{s}", "async function top{s}(b: string): Promise<void> { await b; }")],
     "tsx": [("App{k}", "function App{k}(p: P) { return <b>{p.x}</b>; }")],
     "python": [("C{k}", "class C{k}:\n    def put{s}(self, a):\n        return {\"a\": a}\n\n    x = {s}"), ("C{k}.put{s}", "def put{s}(self, a):\n        return {\"a\": a}"), ("top{s}", "def top{s}():\n    # def no(): pass\n    return 1")],
     "xml": [
@@ -466,17 +466,22 @@ _FOUND = {
     "yaml": [("", "a: {k}\nb:\n  - {s}\n"), ("", "---\nc: 1\n")],
     "markdown": [("Title {k}", "# Title {k}"), ("Part {s}", "Part {s}\n------"), ("Last", "## Last")],
 }
+#: Statements that {v} stands for, by the size: braces and quotes in comments, strings and blocks, one to three deep.
+_VARIANTS = ['x = "}";', "/* { class No { } */", "if (b) { while (c) { d(); } }", 'y = "\\"{"; // { }\n ', "{ { { z(); } } }"]
 _text = lambda s: "'" + s.replace("'", "''") + "'"
 _FOUND_ROWS = ", ".join(f"({_text(lang)}, {i}, {_text(symbol)}, {_text(code)})" for lang, found in _FOUND.items() for i, (symbol, code) in enumerate(found))
-_FILLED = "replace(replace({x}, '{{k}}', CAST(p_partkey AS VARCHAR)), '{{s}}', CAST(p_size AS VARCHAR))"
+_VARIANT = "CASE p_size % {n} {cases} END".format(n=len(_VARIANTS), cases=" ".join(f"WHEN {i} THEN {_text(v)}" for i, v in enumerate(_VARIANTS)))
+_FILLED = "replace(replace(replace({x}, '{{v}}', " + _VARIANT.replace("{", "{{").replace("}", "}}") + "), '{{k}}', CAST(p_partkey AS VARCHAR)), '{{s}}', CAST(p_size AS VARCHAR))"
 
 
 @query(f"""SELECT p_partkey, lang || ':' || p_partkey AS id, lang, CAST(i AS INTEGER) AS chunk_idx, {_FILLED.format(x="symbol")} AS symbol, {_FILLED.format(x="code")} AS content
 FROM part, (VALUES {_FOUND_ROWS}) AS t(lang, i, symbol, code)""")
 def definition_chunks(spark, sf_dir):
-    """Every language's scanner, on a source text for every part."""
+    """Every language's scanner, on a source text for every part; bodies vary in blocks, comments and strings."""
     code = F.explode(F.create_map(*[F.lit(x) for pair in _CODE.items() for x in pair])).alias("lang", "code")
-    files = _t(spark, sf_dir, "part").select("p_partkey", "p_size", code).withColumn("code", F.replace(F.replace("code", F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string")))
+    variant = F.element_at(F.array(*map(F.lit, _VARIANTS)), F.col("p_size") % len(_VARIANTS) + 1)
+    files = _t(spark, sf_dir, "part").select("p_partkey", "p_size", code).withColumn("code", F.replace("code", F.lit("{v}"), variant))
+    files = files.withColumn("code", F.replace(F.replace("code", F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string")))
     files = files.withColumn("id", F.concat("lang", F.lit(":"), F.col("p_partkey").cast("string")))
     return definitions.chunked(files, "id", "lang", "code", 2400, 200, keep=("p_partkey", "lang"))
 

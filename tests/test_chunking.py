@@ -134,3 +134,75 @@ def test_sql_names(spark):
     got = spark.sql("SELECT lang, c.symbol FROM files, LATERAL chunk_text(lang, files.content, 100, 0) c ORDER BY lang, chunk_idx").collect()
     assert [tuple(r) for r in got] == [("java", "A"), ("java", "A.f"), ("text", "")]
     assert spark.sql("SELECT count(*) FROM split_by_size('aaaa bbbb', 4)").first()[0] == 3
+
+
+NESTED = {
+    "java": (
+        "class Outer {\n  Runnable r = new Runnable() {\n    public void run() { go(\"}\"); }\n  };\n  void f() {\n    list.forEach(x -> { g(x); });\n    new Thread(new Task(1)) { void inner(int a) { } };\n    class Local { int h() { return 1; } }\n  }\n  enum E { A, B; int k() { return 2; } }\n}\n",
+        ["Outer", "Outer.run", "Outer.f", "Outer.inner", "Local", "Local.h", "E", "E.k"],
+    ),
+    "kotlin": (
+        "class A(val x: Int)\nclass B(\n  val f: () -> Int = { 1 }\n) : Base(),\n  Other {\n  val o = object : I { override fun inObject() { } }\n  constructor(y: Int) : this({ y }) { }\n  fun s(): String { return \"a ${list.map { \"{\" }} b\" }\n  fun outer() { fun local() { } }\n}\nobject O { fun p() = 1 }\n",
+        ["A", "B", "B.inObject", "B", "B.s", "B.outer", "B.local", "O", "O.p"],
+    ),
+    "javascript": (
+        "const o = { a(x) { return `${x.map((y) => { return `}`; })}`; }, get b() { return 1; }, c: () => { function d() { } } };\nclass K { m() { if (x) { y(); } const q = { n() { } }; } }\nmodule.exports = { e: function named() { } };\n",
+        ["a", "b", "d", "K", "K.m", "K.n", "named"],
+    ),
+    "typescript": ("export default { data(): D { return { f(): void { } }; } };\nabstract class T { private async u(): Promise<void> { await v(); } }\n", ["data", "f", "T", "T.u"]),
+    "python": ("class A:\n    def f(self,\n          b={'x': 1}):\n        def g():\n            return '''\nclass No:\n'''\n        return g\n    class B:\n        async def h(self): pass\n    x = 1\n\ndef top(a: dict[str, int] = {}):\n    return a\n", ["A", "A.f", "A.g", "B", "B.h", "top"]),
+    "groovy": ('class G {\n  def m() { "a ${b.collect { it }} c" }\n}\ndef t(x) { x }\n', ["G", "G.m", "t"]),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(NESTED))
+def test_nested_definitions(lang):
+    source, symbols = NESTED[lang]
+    assert [s for s, _ in definitions.extract_defs(lang, source)] == symbols
+
+
+def test_spans_end_where_their_blocks_do():
+    got = dict(definitions.extract_defs("java", NESTED["java"][0]))
+    assert got["Outer.run"] == 'public void run() { go("}"); }' and got["Outer.inner"] == "void inner(int a) { }" and got["E"] == "enum E { A, B; int k() { return 2; } }"
+    got = dict(definitions.extract_defs("python", NESTED["python"][0]))
+    assert got["A"].endswith("x = 1") and got["top"].endswith("return a") and got["A.f"].endswith("return g")
+
+
+def test_blanked_text_keeps_offsets_and_code_in_strings():
+    for family, source in (("java", 'a /* { */ "\\"}" \'}\' // {\n"unclosed {\n/* open {'), ("javascript", "`a ${ {b: `c ${d}`} } }` x"), ("kotlin", '"${f("}")}" + "$x }"'), ("python", "'''{\n''' # {\n'it' \"}\"")):
+        out = definitions.blanked(source, family)
+        assert len(out) == len(source) and [i for i, c in enumerate(out) if c == "\n"] == [i for i, c in enumerate(source) if c == "\n"]
+        assert all(a in (b, " ") for a, b in zip(out, source))
+    assert definitions.blanked("`a ${ {b: `c ${d}`} } }` x", "javascript").split() == ["{b:", "d", "}", "x"]
+    assert definitions.blanked('"${f("}")}" + "$x }"', "kotlin").split() == ["f(", ")", "+"]
+
+
+PROBES = {
+    "comments": ("xml", lambda n: "<!--" * n + ">"), "cdata": ("xml", lambda n: "<a><![CDATA[" * n), "nested classes": ("java", lambda n: "class A { void f() { } " * n + "}" * n),
+    "functions": ("javascript", lambda n: "class C { m() { } }\nfunction f() { }\n" * n), "nested python": ("python", lambda n: "".join(" " * (i % 60) + f"def f{i}():\n" for i in range(n))),
+    "headers": ("kotlin", lambda n: "class A\n" * n), "open strings": ("kotlin", lambda n: '"""a ${ ' * n), "open parentheses": ("python", lambda n: "def a(\n" * n),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PROBES))
+def test_scanners_take_linear_time(name):
+    import time
+
+    lang, make = PROBES[name]
+
+    def seconds(n):
+        text, best = make(n), 99.0
+        for _ in range(3):
+            began = time.perf_counter()
+            list(definitions.SCANNERS[lang](text))
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(8000) < 0.05 + 14 * seconds(1000)
+
+
+def test_markup_keeps_its_own_scanners(monkeypatch):
+    module = type("M", (), {"get_parser": staticmethod(lambda x: _Parser())})
+    monkeypatch.setitem(__import__("sys").modules, "all_grammars", module)
+    got = grammars.scanners("all_grammars")
+    assert all(got[x] is definitions.SCANNERS[x] for x in ("xml", "yaml", "markdown")) and got["kotlin"] is not definitions.SCANNERS["kotlin"]
