@@ -35,7 +35,9 @@ UNKNOWN = "und"
 
 #: Words of a task that are sorted at once, bytes of text that a range stands for, sampled positions of an Arrow batch,
 #: and samples that the driver takes for each range.
-FLUSH, RANGE_BYTES, SAMPLED, SAMPLES_PER_RANGE = 1 << 20, 12 << 20, 16, 64
+FLUSH, RANGE_BYTES, SAMPLED, SAMPLES_PER_RANGE = 1 << 20, 6 << 20, 16, 64
+#: A language's candidates are ranked in so many parts before its first phrases meet in one task.
+RANKED_PARTS = 32
 
 #: Bytes of text that are split into words at once.
 SLICE = 4 << 20
@@ -315,7 +317,9 @@ def collocations(documents: DataFrame, first: int = FIRST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases by score, occurrences and phrase."""
     counts = phrase_counts(documents)
     left = uncovered(scored(counts), counts)
-    by = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= first)
+    best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    parts = left.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS)))
+    parts = parts.withColumn("_n", F.row_number().over(W.partitionBy("lang", "_part").orderBy(*best))).filter(F.col("_n") <= first)
+    ranked = parts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*best)).cast("long")).filter(F.col("rank") <= first)
     words = counts.filter("k = 0").select("lang", F.col("f").alias("n"))
     return small_join(ranked, words, ["lang"], "inner").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
