@@ -23,6 +23,8 @@ def main(argv: list[str] | None = None) -> None:
     ingest.add_argument("--root")
     ingest.add_argument("--changed-only", action="store_true")
     ingest.add_argument("--force", action="store_true")
+    ingest.add_argument("--no-index", action="store_true")
+    ingest.add_argument("--vacuum", action="store_true")
     query = sub.add_parser("query")
     query.add_argument("question")
     query.add_argument("--top-k", type=int)
@@ -35,7 +37,7 @@ def main(argv: list[str] | None = None) -> None:
     host = cfg["ollama"]["host"]
     client = None if args.offline else HttpClient(host)
     if args.command == "ingest":
-        print(run_ingest(spark, args.root, config_path=args.config, force_reembed=args.force, changed_only=args.changed_only, make_embedder=None if args.offline else lambda: HttpClient(host, backoff=0.2)))
+        print(run_ingest(spark, args.root, config_path=args.config, force_reembed=args.force, changed_only=args.changed_only, create_vec_index=not args.no_index, vacuum_after=args.vacuum, make_embedder=None if args.offline else lambda: HttpClient(host, backoff=0.2)))
     elif args.command == "query":
         hits = query_repo(spark, args.question, config_path=args.config, top_k=args.top_k, embedder=client)
         for h in hits.collect():  # top_k rows

@@ -10,6 +10,7 @@ from contextlib import nullcontext
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema
 from ..config import load_config
@@ -22,7 +23,7 @@ from ..operators.cache import VectorCache
 from ..operators.scratch import drop_scratch, materialize
 from ..operators.vector_index import VectorIndex
 from ..shipping import ship
-from ..sources.repo import read_repo
+from ..sources.repo import read_repo, stream_repo
 
 #: What the index keeps of a chunk beside its vector.
 KEPT = ("relpath", "chunk_idx", "content")
@@ -94,18 +95,49 @@ def run_ingest(
     Texts that the model server refuses for good are rows of the table `embed_errors` and have a null vector; they are asked
     for again by the next run. The vector index follows the table unless create_vec_index is false.
     """
-    began = time.perf_counter()
     cfg, _ = load_config(config_path)
-    root, db, name = repo_root or cfg["repo_root"], db_dir or cfg["db_dir"], table_name or cfg["table"]
+    files = read_repo(spark, repo_root or cfg["repo_root"], cfg["indexing"])
+    if changed_only:
+        files = store.changed_only(files, store.Table(spark, db_dir or cfg["db_dir"], table_name or cfg["table"]).ensure(schema.CHUNKS).read())
+    return ingest_files(files, db_dir, table_name, config_path, force_reembed, make_embedder, model, batch_size, create_vec_index, vacuum_after, log_progress)
+
+
+def ingest_stream(spark: SparkSession, checkpoint: str, repo_root: str | None = None, db_dir: str | None = None, config_path: str | None = None, settle: float = 1.0, **how) -> StreamingQuery:
+    """Ingest what is new or changed in a tree since the checkpoint; a batch that is replayed gives the same tables. how: as
+    for ingest_files."""
+    cfg, _ = load_config(config_path)
+    files = stream_repo(spark, repo_root or cfg["repo_root"], cfg["indexing"], settle)
+
+    def apply(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            ingest_files(batch, db_dir, config_path=config_path, **how)
+
+    return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_files(
+    files: DataFrame,
+    db_dir: str | None = None,
+    table_name: str | None = None,
+    config_path: str | None = None,
+    force_reembed: bool = False,
+    make_embedder: Callable[[], Embedder] | None = None,
+    model: str | None = None,
+    batch_size: int = 64,
+    create_vec_index: bool = True,
+    vacuum_after: bool = False,
+    log_progress: bool = True,
+) -> dict[str, int | float]:
+    """run_ingest for the rows of read_repo."""
+    began, spark = time.perf_counter(), files.sparkSession
+    cfg, _ = load_config(config_path)
+    db, name = db_dir or cfg["db_dir"], table_name or cfg["table"]
     dim, model = cfg["embedding"]["dim"], model or cfg["embedding"]["model"]
     make = make_embedder or (lambda: HashEmbedder(dim))
     chunks, cache = store.Table(spark, db, name).ensure(schema.CHUNKS), VectorCache(spark, db)
     counters = {n: Counter(n, every) for n, every in EVERY.items()} if log_progress else {}
     count = lambda name, n: counters[name].update(n) if name in counters else None
     with stage("ingest") if log_progress else nullcontext():
-        files = read_repo(spark, root, cfg["indexing"])
-        if changed_only:
-            files = store.changed_only(files, chunks.read())
         # Files are read once: what is made of them is written, and they are counted on the way.
         seen = Observation("files")
         rows = chunk_rows(files.observe(seen, F.count("*").alias("n")), cfg["indexing"]["max_chunk_chars"], cfg["indexing"]["min_chunk_chars"])

@@ -120,3 +120,38 @@ def test_ingest_with_errors_index_and_arguments(spark, server, tmp_path):
     run_ingest(spark, str(root), db, "chunks", str(cfg), make_embedder=make)
     found = query_repo(spark, "q", db, "chunks", str(cfg), top_k=10, embedder=HttpClient(host, backoff=0.01))
     assert "another text altogether" in " ".join(r.content for r in found.collect()) and found.filter(F.col("relpath") == "f1.xml").count() == 1
+
+
+def test_streamed_ingest_takes_files_once_and_survives_a_restart(spark, tmp_path, monkeypatch):
+    import os
+
+    from siltstone.operators.vector_index import VectorIndex
+    from siltstone.plans import ingest
+
+    root = tmp_path / "src"
+    root.mkdir()
+    put = lambda name, text, at: ((root / name).write_text(text), os.utime(root / name, (at, at)))
+    for i in range(4):
+        put(f"f{i}.xml", f"<doc>{'text ' * (i + 1)}</doc>", 1000 + i)
+    cfg = tmp_path / "c.json"
+    cfg.write_text(json.dumps({"embedding": {"model": "m", "dim": 4}, "indexing": {"include_globs": ["*.xml"]}}))
+    db, seen = str(tmp_path / "db"), []
+    real = ingest.ingest_files
+
+    def counted(files, *a, **k):
+        seen.extend(sorted(r.relpath for r in files.select("relpath").collect()))
+        return real(files, *a, **k)
+
+    monkeypatch.setattr(ingest, "ingest_files", counted)
+    run = lambda: ingest.ingest_stream(spark, str(tmp_path / "cp"), str(root), db, str(cfg), settle=0, log_progress=False).awaitTermination()
+    run()
+    run()
+    assert seen == ["f0.xml", "f1.xml", "f2.xml", "f3.xml"]
+    put("f1.xml", "<doc>changed</doc>", 2000)
+    put("g.xml", "<doc>new</doc>", 2001)
+    run()
+    assert seen[4:] == ["f1.xml", "g.xml"]
+    table = Table(spark, db, "chunks").read()
+    assert table.count() == 5 and table.filter("relpath = 'f1.xml'").first().content == "<doc>changed</doc>"
+    index = VectorIndex(spark, db, "chunks")
+    assert index.rows(index.model()).count() == 5
