@@ -21,7 +21,7 @@ from ..functions.text import WS, strip
 from ..shipping import ship
 from .chunk_size import split_by_size
 from .pack import context_text
-from .ranges import earlier, fit_tasks, ranged, running
+from .ranges import earlier, fit_tasks, ranged, ranges_for, running
 
 BLANK = "\n\n"
 _GAP = re.compile(r"\n\s*\n")
@@ -181,7 +181,7 @@ def packed_rows(df: DataFrame, group: str, order: str, text: str, limit: int) ->
     if fit_tasks(df, [group], [text]):
         whole = context_text(df, [group], order, text, BLANK).select(group, F.posexplode(packed_paragraphs("context", limit)).alias("chunk_idx", "content"))
         return whole.select(group, "chunk_idx", "content")
-    rows = ranged(df.select(group, order, text), [group], [order, text])
+    rows = ranged(df.select(group, order, text), [group], [order, text], ranges_for(df, [text]))
     sizes = rows.select(group, "_range", "_k", F.when(F.col(text).isNotNull(), F.transform(paragraph_array(text), F.length)).alias("sizes"))
     ones = running(sizes, [group]).select("_range", "_k", "_low", "_before", "_total", F.coalesce("sizes", F.array().cast("array<int>")).alias("sizes"))
     here = ones.groupBy("_range", "_low").agg(F.count("*").alias("_here"), F.min("_before").alias("_first"))

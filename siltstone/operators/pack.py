@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import earlier, fit_tasks, ranged, same
+from .ranges import earlier, fit_tasks, ranged, ranges_for, same
 
 #: Rows whose texts are joined at once.
 PART = 4096
@@ -46,7 +46,7 @@ def gathered_text(df: DataFrame, group: list[str], rank: str, text: str, sep: st
     only a group's parts, joined already, come together. The text itself is one value."""
     if fit_tasks(df, group, [text]):
         return context_text(df, group, rank, text, sep)
-    rows = ranged(df.select(*group, rank, text), group, [rank, text]).withColumn("_part", F.floor(F.col("_k") / PART))
+    rows = ranged(df.select(*group, rank, text), group, [rank, text], ranges_for(df, [text])).withColumn("_part", F.floor(F.col("_k") / PART))
     joined = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, F.col("t")))), lambda x: x["t"])
     # A part without any text is null, so that it adds no separator.
     parts = rows.filter(F.col(text).isNotNull()).withColumn("t", F.col(text)).groupBy(*group, "_range", "_part").agg(F.array_join(joined("_k"), sep).alias("t"))

@@ -8,12 +8,14 @@ import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names. A folder of our own only with a local master: on a cluster no folder but the
+    named one is known to be shared."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -21,7 +23,7 @@ def scratch_root(spark: SparkSession) -> str:
     if sc.master.startswith("local"):
         os.makedirs(_own(), exist_ok=True)
         return _own()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siltstone_scratch"
+    raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -44,7 +46,8 @@ def _own() -> str:
     return os.path.join(tempfile.gettempdir(), "siltstone-scratch")
 
 
-_scopes: list[list[str]] = []
+#: Open scopes of the running thread or task, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
@@ -54,11 +57,11 @@ def scratch_scope(spark: SparkSession):
     Only for work that is done then: whatever still has to be computed may need them.
     """
     made: list[str] = []
-    _scopes.append(made)
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.reset(token)
         for path in made:
             _remove(spark, path)
 
@@ -66,7 +69,7 @@ def scratch_scope(spark: SparkSession):
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark)}/siltstone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_cleanup, spark, path)
-    for made in _scopes[-1:]:
+    for made in _scopes.get()[-1:]:
         made.append(path)
     return path
 

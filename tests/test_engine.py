@@ -156,3 +156,71 @@ def test_live_memory():
     c = m.build_context()
     assert c["full_pairs"] == [("q2", "a2"), ("q3", "a3")] and len(c["summaries"]) == 2
     assert m.as_text_block().startswith("User: q2")
+
+
+def test_a_trigger_at_the_end_of_a_cycle_is_not_lost():
+    m = Memory(EchoChat(), "m", cfg=MemoryConfig(), background=False)
+    ran = []
+    real = m._busy
+
+    class Busy:
+        """Asks for one more cycle after the last look and before the release."""
+
+        def acquire(self, blocking=True):
+            return real.acquire(blocking=blocking)
+
+        def release(self):
+            if len(ran) == 1:
+                m._again = True
+            real.release()
+
+    m._busy = Busy()
+    m.absorb_once = lambda: ran.append(1)
+    m.turns = [{"id": i, "role": "user", "text": "t", "summary": "s"} for i in range(20)]
+    m.maybe_absorb()
+    assert len(ran) == 2 and real.acquire(blocking=False)
+
+
+def test_the_model_is_asked_without_the_lock():
+    import threading
+
+    owned = []
+
+    class Chat(EchoChat):
+        def chat(self, *a, **k):
+            t = threading.Thread(target=lambda: owned.append(m._lock.acquire(timeout=1) and (m._lock.release() or True)))
+            t.start()
+            t.join()
+            return "s"
+
+    m = Memory(Chat(), "m", cfg=MemoryConfig(), background=False)
+    m.turns = [{"id": i, "role": ["user", "assistant"][i % 2], "text": "t", "summary": None} for i in range(6)]
+    assert m.build_context()["summaries"] == ["s"] * len(owned) and owned and all(owned)
+
+
+def test_scratch_tables_of_two_threads(spark):
+    import threading
+
+    from siltstone.operators import ranges, scratch
+
+    inner = threading.Event(), threading.Event()
+    made = {}
+
+    def work(name, mine, other):
+        with scratch.scratch_scope(spark) as own:
+            made[name] = scratch.scratch_path(spark, name)
+            mine.set()
+            other.wait(10)
+            assert own == [made[name]]
+
+    threads = [threading.Thread(target=work, args=("a", *inner)), threading.Thread(target=work, args=("b", *inner[::-1]))]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert made["a"] != made["b"]
+    df = spark.createDataFrame([("x" * 1000,)] * 100, "t string")
+    assert ranges.ranges_for(df, ["t"]) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held, ranges.RANGE_BYTES = ranges.RANGE_BYTES, 10_000
+    try:
+        assert ranges.ranges_for(df, ["t"]) >= 10
+    finally:
+        ranges.RANGE_BYTES = held
