@@ -6,6 +6,8 @@ import logging
 import time
 from contextlib import contextmanager
 
+from pyspark.sql.streaming import StreamingQueryListener
+
 log = logging.getLogger("siltstone")
 
 
@@ -26,6 +28,35 @@ def stage(name: str):
         line("stage_end", stage=name, duration_s=round(time.perf_counter() - began, 3))
 
 
+class Progress(StreamingQueryListener):
+    """A running stream's counters: a line for each batch that had rows, with the total and the rate, and one at its end.
+    Observed metrics of the query are fields of the line."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.total, self.ids = name, 0, set()
+
+    def watch(self, query) -> None:
+        self.ids.add(str(query.id))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if str(p.id) not in self.ids or not p.numInputRows:
+            return
+        self.total += p.numInputRows
+        seen = {f"{name}_{k}": v for name, row in (p.observedMetrics or {}).items() for k, v in row.asDict().items()}
+        line("progress", counter=self.name, batch=p.batchId, rows=p.numInputRows, total=self.total, rate_per_s=round(p.processedRowsPerSecond, 1), **seen)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) in self.ids:
+            line("done", counter=self.name, total=self.total)
+
+
 class Counter:
     """Counts items; logs the total and the rate every so many."""
 

@@ -7,11 +7,15 @@ stand in order of role and text, a null number first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import speaker, tail
+from ..shipping import ship
 from .ranges import earlier, same
 from .scratch import materialize
 
@@ -111,6 +115,37 @@ def digest(gone: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
     return found.select("conv_id", F.coalesce(tail("lines", cap), F.lit("")).alias("digest"))
 
 
+def joined_tails(texts: list[str]) -> str:
+    """The deterministic merge: all lines in a row."""
+    return "\n".join(texts)
+
+
+def merged_digest(gone: DataFrame, merge: Callable[[list[str]], str] = joined_tails, cap: int = DIGEST_CAP, fan: int = 8) -> DataFrame:
+    """The digest of absorbed turns (with pos) by a tree of merges: conv_id, digest.
+
+    Each merge, a summarising model's call for instance, gets up to `fan` texts of at most `cap` characters, in order, and its
+    answer is cut to its last `cap`. Nodes of one level are merged in parallel wherever they lie, so a hot conversation takes
+    as many rounds as its logarithm, and no call or task holds it. `merge` has to be associative for the tree not to show;
+    the default gives the tail of all lines. Null lines are none; a conversation without any line has an empty digest.
+    """
+    ship(gone.sparkSession)
+
+    @F.pandas_udf("string")
+    def node(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: merge(list(t))[-cap:])
+
+    keys = gone.select("conv_id").distinct()
+    at = gone.select("conv_id", (F.col("pos") - 1).alias("node"), tail(_line(), cap).alias("text")).filter("text IS NOT NULL")
+    left = (at.agg(F.max("node")).first()[0] or 0) + 1
+    while True:
+        grouped = at.groupBy("conv_id", F.floor(F.col("node") / fan).alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]).alias("texts"))
+        # Written once a level: a call of a model is not made again for the levels above.
+        at = materialize(grouped.select("conv_id", "node", node("texts").alias("text")), "digest-level")
+        left = -(-left // fan)
+        if left <= 1:
+            return same(keys, at.select("conv_id", "text"), ["conv_id"], "left").select("conv_id", F.coalesce("text", F.lit("")).alias("digest"))
+
+
 def text_block(turns: DataFrame, pinned: list[str] | None = None, k: int = PAIRS, limit: int = SUMMARIES, boundary: str = "newest", keep: int = 2 * PAIRS + SUMMARIES, cap: int = DIGEST_CAP) -> DataFrame:
     """One row per conversation: pinned lines, pairs, summaries (here the turns themselves) and digest, blank lines between."""
     at = materialize(placed(turns), "placed-turns")

@@ -404,6 +404,12 @@ def memory_digest_tail(spark, sf_dir):
     return memory.digest(memory.absorbed(_t(spark, sf_dir, "conversations"), keep=4), 400)
 
 
+@query("WITH " + _GONE.format(k=4) + f" SELECT conv_id, right(string_agg({_CAP} || ': ' || text, chr(10) ORDER BY turn), 900) AS digest FROM gone GROUP BY conv_id")
+def memory_digest_merged(spark, sf_dir):
+    """The digest by a tree of merges, three texts at a time."""
+    return memory.merged_digest(memory.absorbed(_t(spark, sf_dir, "conversations"), keep=4), cap=900, fan=3)
+
+
 @query("WITH " + _GONE.format(k=4) + ", live AS (SELECT c.* FROM conversations c ANTI JOIN gone USING (conv_id, turn)), " + _PAIRS.format(t="live") + f"""
 SELECT c.conv_id, concat_ws(chr(10) || chr(10), 'Pinned:' || chr(10) || 'be brief', p.t, 'Recent summaries:' || chr(10) || s.t, 'Digest:' || chr(10) || g.t) AS block
 FROM (SELECT DISTINCT conv_id FROM conversations) c

@@ -7,13 +7,21 @@ from siltstone.streaming.ingest import document_stream, upsert_stream
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType()), T.StructField("seq", T.LongType())])
 
 
-def test_upsert_stream(spark, tmp_path):
+def test_upsert_stream(spark, tmp_path, caplog):
+    import logging
+    import time
+
+    caplog.set_level(logging.INFO, "siltstone")
     src, table = str(tmp_path / "in"), Table(spark, str(tmp_path), "t").ensure(SCHEMA)
     for n, data in enumerate([[(1, "a", 1), (2, "b", 1), (1, "a2", 2)], [(2, "b2", 3)]]):
         spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(src)
         q = upsert_stream(document_stream(spark, src, SCHEMA), table, ["id"], "seq", str(tmp_path / "cp"))
         q.awaitTermination()
     assert [tuple(r) for r in table.read().orderBy("id").collect()] == [(1, "a2", 2), (2, "b2", 3)]
+    end = time.time() + 20  # listeners hear of a batch a little later
+    while time.time() < end and not ("rows=3 total=3" in caplog.text and "rows=1 total=1" in caplog.text):
+        time.sleep(0.1)
+    assert "event=progress counter=upserted" in caplog.text and "rows=3 total=3" in caplog.text and "rows=1 total=1" in caplog.text
 
 
 def test_a_replayed_batch_changes_nothing(spark, tmp_path, monkeypatch):

@@ -365,3 +365,14 @@ def test_a_null_conversation_has_a_text_block(spark, group_rows):
     got = {r.conv_id: r.block for r in memory.text_block(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), ["be brief"], keep=4, cap=400).collect()}
     assert set(got) == {None, 4} and got[None] == got[4].replace("4-", "None-")
     assert got[4].startswith("Pinned:\nbe brief\n\nUser: 4-8\nAssistant: 4-9\n\nUser: 4-10\nAssistant: 4-11") and "Recent summaries:" in got[4] and "Digest:\nUser: 4-0" in got[4]
+
+
+def test_a_digest_by_a_tree_of_merges(spark, group_rows):
+    data, df = _hot(spark)
+    lists = _in_order(data, lambda r: r[1:])
+    gone = memory.absorbed(df, keep=4)
+    lines = {c: "\n".join(f"{r[2].capitalize()}: {r[3]}" for r in l[:-4] if r[3] is not None) for c, l in lists.items() if len(l) >= 6}
+    for cap, fan in ((5, 2), (700, 8)):
+        assert {r.conv_id: r.digest for r in memory.merged_digest(gone, cap=cap, fan=fan).collect()} == {c: t[-cap:] for c, t in lines.items()}
+    most = memory.merged_digest(gone, merge=lambda texts: str(max(len(texts), max((int(t) for t in texts if t.isdigit()), default=0))), cap=50, fan=4)
+    assert all(int(r.digest) <= 4 for r in most.collect())  # no merge gets more than `fan` texts
