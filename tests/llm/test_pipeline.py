@@ -115,4 +115,4 @@ def test_queries_equal_sql(spark, name):
 
 def test_every_query_is_registered():
     names = set(entry_point.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.QUERIES) <= names and "pipeline" in names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(queries.QUERIES) <= names and "pipeline" in names
