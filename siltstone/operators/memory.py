@@ -108,9 +108,9 @@ def digest(gone: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
     rows = gone.select("conv_id", "pos", _block(F.col("pos")).alias("_block"), _line().alias("line")).filter("line IS NOT NULL").withColumn("_size", (F.length("line") + 1).cast("long"))
     sums = rows.groupBy("conv_id", "_block").agg(F.sum("_size").alias("_s"))
     later = W.partitionBy("conv_id").orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
-    near = sums.withColumn("_after", F.coalesce(F.sum("_s").over(later), F.lit(0))).filter(F.col("_after") < max(cap, 1)).select("conv_id", "_block")
+    near = sums.withColumn("_after", F.coalesce(F.sum("_s").over(later), F.lit(0))).filter(F.col("_after") <= max(cap, 0)).select("conv_id", "_block")
     inside = W.partitionBy("conv_id").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
-    reach = same(rows, near, ["conv_id", "_block"]).withColumn("_after", F.coalesce(F.sum("_size").over(inside), F.lit(0))).filter(F.col("_after") < max(cap, 1))
+    reach = same(rows, near, ["conv_id", "_block"]).withColumn("_after", F.coalesce(F.sum("_size").over(inside), F.lit(0))).filter(F.col("_after") <= max(cap, 0))
     found = same(gone.select("conv_id").distinct(), _lines(reach, "pos", tail("line", cap), "\n", "lines"), ["conv_id"], "left")
     return found.select("conv_id", F.coalesce(tail("lines", cap), F.lit("")).alias("digest"))
 

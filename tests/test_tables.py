@@ -376,3 +376,13 @@ def test_a_digest_by_a_tree_of_merges(spark, group_rows):
         assert {r.conv_id: r.digest for r in memory.merged_digest(gone, cap=cap, fan=fan).collect()} == {c: t[-cap:] for c, t in lines.items()}
     most = memory.merged_digest(gone, merge=lambda texts: str(max(len(texts), max((int(t) for t in texts if t.isdigit()), default=0))), cap=50, fan=4)
     assert all(int(r.digest) <= 4 for r in most.collect())  # no merge gets more than `fan` texts
+
+
+def test_a_digest_that_begins_with_a_line_break(spark, monkeypatch):
+    """A cap that ends right before a line keeps the break before it, inside a block and where a block ends."""
+    monkeypatch.setattr(memory, "BLOCK", 3)
+    df = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(8)], "conv_id int, turn int, role string, text string")
+    gone = memory.absorbed(df, keep=0)
+    whole = "\n".join(f"User: t{t}" for t in range(8))
+    for cap in (0, 1, 8, 9, 10, 18, 27, 45, 54):
+        assert memory.digest(gone, cap).first().digest == (whole[-cap:] if cap else "")
