@@ -386,3 +386,4 @@ def test_a_digest_that_begins_with_a_line_break(spark, monkeypatch):
     whole = "\n".join(f"User: t{t}" for t in range(8))
     for cap in (0, 1, 8, 9, 10, 18, 27, 45, 54):
         assert memory.digest(gone, cap).first().digest == (whole[-cap:] if cap else "")
+    assert memory.text_block(df, keep=0, cap=18).first().block.endswith("Digest:\n\nUser: t6\nUser: t7")
