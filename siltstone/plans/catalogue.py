@@ -27,6 +27,8 @@ LIMIT = 200
 RECALL = 0.9
 #: Labels to search in are broadcast up to this count.
 FEW_LABELS = 10_000
+#: Parts whose source texts are scanned in one task (some seconds): a few megabytes of parts make hours of texts.
+PARTS = 5_000
 MODEL = "m1"
 
 
@@ -486,7 +488,10 @@ def definition_chunks(spark, sf_dir):
     """Every language's scanner, on a source text for every part; bodies vary in blocks, comments and strings."""
     code = F.explode(F.create_map(*[F.lit(x) for pair in _CODE.items() for x in pair])).alias("lang", "code")
     variant = F.element_at(F.array(*map(F.lit, _VARIANTS)), F.col("p_size") % len(_VARIANTS) + 1)
-    files = _t(spark, sf_dir, "part").select("p_partkey", "p_size", code).withColumn("code", F.replace("code", F.lit("{v}"), variant))
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    # Dealt out before they become texts: the table's file is small, and its splits would be few.
+    parts = parts.repartition(max(1, -(-parts.count() // PARTS)))
+    files = parts.select("p_partkey", "p_size", code).withColumn("code", F.replace("code", F.lit("{v}"), variant))
     files = files.withColumn("code", F.replace(F.replace("code", F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string")))
     files = files.withColumn("id", F.concat("lang", F.lit(":"), F.col("p_partkey").cast("string")))
     return definitions.chunked(files, "id", "lang", "code", 2400, 200, keep=("p_partkey", "lang"))

@@ -47,3 +47,11 @@ def test_plain_chunks_keep_every_word(spark, duck):
     texts = duck.execute("SELECT doc_id, text FROM documents").df().set_index("doc_id").text
     joined = chunks.sort_values(["doc_id", "chunk_idx"]).groupby("doc_id").content.agg("".join)
     assert all("".join(joined[d].split()) == "".join(t.split()) for d, t in texts.items() if t.strip())
+
+
+def test_definitions_are_scanned_in_more_tasks_for_more_parts(spark, duck, monkeypatch):
+    few = catalogue.definition_chunks(spark, SF)
+    monkeypatch.setattr(catalogue, "PARTS", 50)
+    many = catalogue.definition_chunks(spark, SF)
+    assert many.rdd.getNumPartitions() >= duck.execute("SELECT count(*) FROM part").fetchone()[0] / 50 > few.rdd.getNumPartitions()
+    same(many.toPandas(), few.toPandas())
