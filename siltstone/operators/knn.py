@@ -27,6 +27,8 @@ from ..shipping import ship
 QUERY_VALUES = 1 << 18
 #: Rows of a shard and components of a block of queries, beyond that.
 SHARD = 65_536
+#: Numbers of one matrix product of queries and rows (8 bytes each): what a task holds besides its rows and results.
+PRODUCT = 1 << 20
 #: How far a matrix product may lie from a sum in order, for unit vectors.
 SLACK = 1e-9
 
@@ -83,32 +85,39 @@ class Best:
         if not batch.num_rows:
             return
         names = np.array(batch.column(ids).to_pylist(), object)
-        for width, at, unit, fine in self.groups:
+        step = max(1, PRODUCT // batch.num_rows)
+        for width, all_, units, fits in self.groups:
             rows, good = _matrix(batch.column(vector), width)
-            near = 1 - unit @ rows.T
-            near[:, ~good] = np.nan
-            near[~fine] = np.nan
-            for q, i in enumerate(at.tolist()):
-                d = near[q]
-                # All that may be among the best by the product, then exactly.
-                full = self.rows[i] is not None and self.rows[i].num_rows >= self.k
-                some = np.flatnonzero(d <= self.limit[i] + SLACK) if full and np.isfinite(self.limit[i]) else np.arange(len(d))
-                if len(some) > 4 * self.k and np.isfinite(d[some]).sum() > self.k:
-                    edge = np.partition(np.where(np.isnan(d[some]), np.inf, d[some]), self.k - 1)[self.k - 1]
-                    some = some[~(d[some] > edge + SLACK) & ~np.isnan(d[some])]
-                if not len(some):
-                    continue
-                exact = np.where(np.isnan(d[some]), np.nan, 1 - (rows[some] * unit[q]).sum(1))
-                order = sorted(range(len(some)), key=lambda j: _rank(exact[j], names[some[j]]))[: self.k]
-                mine = pa.Table.from_batches([batch.take(pa.array(some[order]))]).append_column("_distance", pa.array(exact[order], pa.float64()))
-                if self.rows[i] is not None:
-                    mine = pa.concat_tables([self.rows[i], mine])
-                    dist, who = mine["_distance"].to_pylist(), mine.column(ids).to_pylist()
-                    order = sorted(range(len(dist)), key=lambda j: _rank(dist[j], who[j]))[: self.k]
-                    mine = mine.take(pa.array(order))
-                self.rows[i] = mine
-                last = mine["_distance"][-1].as_py()
-                self.limit[i] = last if mine.num_rows >= self.k and last == last else np.inf
+            for a in range(0, len(all_), step):
+                at, unit, fine = all_[a : a + step], units[a : a + step], fits[a : a + step]
+                near = 1 - unit @ rows.T
+                near[:, ~good] = np.nan
+                near[~fine] = np.nan
+                self._put(batch, ids, names, rows, at, unit, near)
+
+    def _put(self, batch: pa.RecordBatch, ids: int, names: np.ndarray, rows: np.ndarray, at: np.ndarray, unit: np.ndarray, near: np.ndarray) -> None:
+        """near: the product's distances of these queries (at, unit) and all rows of the batch."""
+        for q, i in enumerate(at.tolist()):
+            d = near[q]
+            # All that may be among the best by the product, then exactly.
+            full = self.rows[i] is not None and self.rows[i].num_rows >= self.k
+            some = np.flatnonzero(d <= self.limit[i] + SLACK) if full and np.isfinite(self.limit[i]) else np.arange(len(d))
+            if len(some) > 4 * self.k and np.isfinite(d[some]).sum() > self.k:
+                edge = np.partition(np.where(np.isnan(d[some]), np.inf, d[some]), self.k - 1)[self.k - 1]
+                some = some[~(d[some] > edge + SLACK) & ~np.isnan(d[some])]
+            if not len(some):
+                continue
+            exact = np.where(np.isnan(d[some]), np.nan, 1 - (rows[some] * unit[q]).sum(1))
+            order = sorted(range(len(some)), key=lambda j: _rank(exact[j], names[some[j]]))[: self.k]
+            mine = pa.Table.from_batches([batch.take(pa.array(some[order]))]).append_column("_distance", pa.array(exact[order], pa.float64()))
+            if self.rows[i] is not None:
+                mine = pa.concat_tables([self.rows[i], mine])
+                dist, who = mine["_distance"].to_pylist(), mine.column(ids).to_pylist()
+                order = sorted(range(len(dist)), key=lambda j: _rank(dist[j], who[j]))[: self.k]
+                mine = mine.take(pa.array(order))
+            self.rows[i] = mine
+            last = mine["_distance"][-1].as_py()
+            self.limit[i] = last if mine.num_rows >= self.k and last == last else np.inf
 
     def result(self, query_ids, name: str) -> Iterator[pa.RecordBatch]:
         for i, rows in enumerate(self.rows):

@@ -387,3 +387,19 @@ def test_a_digest_that_begins_with_a_line_break(spark, monkeypatch):
     for cap in (0, 1, 8, 9, 10, 18, 27, 45, 54):
         assert memory.digest(gone, cap).first().digest == (whole[-cap:] if cap else "")
     assert memory.text_block(df, keep=0, cap=18).first().block.endswith("Digest:\n\nUser: t6\nUser: t7")
+
+
+def test_scoring_many_queries_holds_little_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    lists = lambda n: pa.array(draw.normal(size=(n, 4)).tolist(), pa.list_(pa.float64()))
+    best, batch = knn.Best(lists(4096), 1), pa.RecordBatch.from_arrays([pa.array(range(8192), pa.int64()), lists(8192)], names=["vec_id", "embedding"])
+    tracemalloc.start()
+    best.add(batch, 0, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and all(r.num_rows == 1 for r in best.rows)
