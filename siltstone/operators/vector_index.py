@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .knn import _matrix
+from .knn import PRODUCT, _matrix
 from .scratch import drop_scratch, materialize, scratch_path
 from .store import located, replace_parts
 
@@ -84,7 +84,8 @@ class Model:
 
 
 def _nearest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.argmin((centers**2).sum(1) - 2 * rows[a : a + 4096] @ centers.T, 1) for a in range(0, len(rows), 4096))])
+    size, step = (centers**2).sum(1), max(1, PRODUCT // max(1, len(centers)))
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmin(size - 2 * (rows[a : a + step] @ centers.T), 1) for a in range(0, len(rows), step))])
 
 
 def centroids(rows: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:

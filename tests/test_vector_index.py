@@ -117,3 +117,16 @@ def test_a_fit_that_dies_leaves_the_old_generation(spark, tmp_path, monkeypatch)
     monkeypatch.undo()
     assert real is vector_index.T.StructField and index.model().generation == 0 and index.rows(index.model()).count() == 100
     assert index.build(df).generation == 1
+
+
+def test_the_nearest_of_many_cells_holds_little_at_once():
+    import tracemalloc
+
+    draw = np.random.default_rng(5)
+    rows, cells = draw.normal(size=(4096, 4)), draw.normal(size=(4096, 4))
+    tracemalloc.start()
+    found = vector_index._nearest(rows, cells)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert all(((rows[i] - cells) ** 2).sum(1).argmin() == found[i] for i in range(0, 4096, 64))
