@@ -18,14 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tasks that a bounded sample of training rows is dealt to.
 SAMPLE_PARTS = 8
 
-#: Rows of an Arrow batch, unless the session names another number than Spark's own: a worker holds few whole texts at once.
-BATCH_ROWS = "1000"
-
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, and keep Arrow batches small where the session has Spark's own size."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    shipping.small_batches(spark)
     shipping.ship(spark)
 
 

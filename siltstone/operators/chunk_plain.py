@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, strip
-from ..shipping import ship
+from ..shipping import ship, small_batches
 from .chunk_size import split_by_size
 from .pack import context_text
 from .ranges import earlier, fit_tasks, ranged, ranges_for, running
 
 BLANK = "\n\n"
 _GAP = re.compile(r"\n\s*\n")
+#: Texts whose chunks a task holds at once.
+TEXTS = 100
 
 
 @dataclass
@@ -258,12 +260,13 @@ def packed_paragraphs(text: Column | str, limit: int) -> Column:
 
 
 def chunk_table(df: DataFrame, key: str, text: str, limit: int, least: int) -> DataFrame:
-    """(key, chunk_idx, content): all phases, one Arrow batch at a time."""
+    """(key, chunk_idx, content): all phases, TEXTS texts at a time."""
     kind = df.schema[key].dataType.simpleString()
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, TEXTS) for b in batches for a in range(0, b.num_rows, TEXTS)):
             keys, idx, out = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for i, c in enumerate(chunk_plain(t, limit, least)):

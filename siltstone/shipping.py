@@ -10,6 +10,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch, unless the session names another number than Spark's own: a worker holds few whole texts at once.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small where the session has Spark's own size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application."""

@@ -206,3 +206,19 @@ def test_markup_keeps_its_own_scanners(monkeypatch):
     monkeypatch.setitem(__import__("sys").modules, "all_grammars", module)
     got = grammars.scanners("all_grammars")
     assert all(got[x] is definitions.SCANNERS[x] for x in ("xml", "yaml", "markdown")) and got["kotlin"] is not definitions.SCANNERS["kotlin"]
+
+
+@pytest.mark.parametrize("by", ["paragraphs", "definitions"])
+def test_a_task_takes_few_texts_at_once(spark, monkeypatch, by):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df = spark.range(3000).coalesce(1).selectExpr("id", "'text' AS lang", "concat('a ', id, '\n\nb') AS text")
+    out = chunk_plain.chunk_table(df, "id", "text", 4, 0) if by == "paragraphs" else definitions.chunked(df, "id", "lang", "text", 4, 0)
+
+    def most(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.num_rows for b in batches)], pa.int64())], names=["n"])
+
+    assert df.mapInArrow(most, "n long").first().n <= 1000
+    held = sorted((r.id, r.chunk_idx, r.content) for r in out.collect())
+    assert held == [(i, j, c) for i in range(3000) for j, c in enumerate(chunk_plain.chunk_plain(f"a {i}\n\nb", 4, 0))]
