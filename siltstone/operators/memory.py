@@ -88,7 +88,9 @@ def _live(at: DataFrame, keep: int, least: int = ABSORB_LEAST) -> DataFrame:
 
 
 def _lines(rows: DataFrame, order: str, line, sep: str, out: str) -> DataFrame:
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))), lambda x: x["t"]), sep).alias(out))
+    """Per conversation its lines in a row, null if it has none; null lines are none."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))), lambda x: x["t"]), sep)
+    return rows.groupBy("conv_id").agg(F.when(F.count(line) > 0, joined).alias(out))
 
 
 def _line():
@@ -103,7 +105,8 @@ def absorb_text(gone: DataFrame) -> DataFrame:
 def digest(gone: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
     """The deterministic digest of absorbed turns (with pos): the newest `cap` characters of their lines.
 
-    Lengths are summed backwards, by blocks first; only lines that reach into the last `cap` characters are joined.
+    Lengths are summed backwards, by blocks first; only lines that reach into the last `cap` characters are joined. Null
+    lines are none; a conversation without any line has a null digest.
     """
     rows = gone.select("conv_id", "pos", _block(F.col("pos")).alias("_block"), _line().alias("line")).filter("line IS NOT NULL").withColumn("_size", (F.length("line") + 1).cast("long"))
     sums = rows.groupBy("conv_id", "_block").agg(F.sum("_size").alias("_s"))
@@ -112,7 +115,7 @@ def digest(gone: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
     inside = W.partitionBy("conv_id").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
     reach = same(rows, near, ["conv_id", "_block"]).withColumn("_after", F.coalesce(F.sum("_size").over(inside), F.lit(0))).filter(F.col("_after") <= max(cap, 0))
     found = same(gone.select("conv_id").distinct(), _lines(reach, "pos", tail("line", cap), "\n", "lines"), ["conv_id"], "left")
-    return found.select("conv_id", F.coalesce(tail("lines", cap), F.lit("")).alias("digest"))
+    return found.select("conv_id", tail("lines", cap).alias("digest"))
 
 
 def joined_tails(texts: list[str]) -> str:
@@ -126,7 +129,7 @@ def merged_digest(gone: DataFrame, merge: Callable[[list[str]], str] = joined_ta
     Each merge, a summarising model's call for instance, gets up to `fan` texts of at most `cap` characters, in order, and its
     answer is cut to its last `cap`. Nodes of one level are merged in parallel wherever they lie, so a hot conversation takes
     as many rounds as its logarithm, and no call or task holds it. `merge` has to be associative for the tree not to show;
-    the default gives the tail of all lines. Null lines are none; a conversation without any line has an empty digest.
+    the default gives the tail of all lines. Null lines are none; a conversation without any line has a null digest.
     """
     ship(gone.sparkSession)
 
@@ -143,7 +146,7 @@ def merged_digest(gone: DataFrame, merge: Callable[[list[str]], str] = joined_ta
         at = materialize(grouped.select("conv_id", "node", node("texts").alias("text")), "digest-level")
         left = -(-left // fan)
         if left <= 1:
-            return same(keys, at.select("conv_id", "text"), ["conv_id"], "left").select("conv_id", F.coalesce("text", F.lit("")).alias("digest"))
+            return same(keys, at.select("conv_id", "text"), ["conv_id"], "left").select("conv_id", F.col("text").alias("digest"))
 
 
 def text_block(turns: DataFrame, pinned: list[str] | None = None, k: int = PAIRS, limit: int = SUMMARIES, boundary: str = "newest", keep: int = 2 * PAIRS + SUMMARIES, cap: int = DIGEST_CAP) -> DataFrame:

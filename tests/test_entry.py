@@ -32,6 +32,18 @@ def test_catalogue_equals_sql(spark, duck, name):
     same(catalogue.QUERIES[name](spark, SF).toPandas(), duck.execute(catalogue.ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["memory_text_block", "memory_digest_tail", "memory_digest_merged"])
+def test_memory_without_texts_equals_sql(spark, tmp_path, name):
+    """Pairs, summaries or absorbed turns of which none has a line are no part of a block, not an empty one."""
+    turns = [(c, t, None if c % 5 == 4 and t % 3 == 0 else ["user", "assistant"][t % 2], None if (c >> t % 4) % 2 or c % 7 == 6 and t < 6 else f"{c}-{t}") for c in range(70) for t in range(c % 11 + 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = c.execute(catalogue.ORACLE_SQL[name]).df()
+    assert want["block" if name == "memory_text_block" else "digest"].isin(["Pinned:\nbe brief", None]).any()
+    same(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas(), want)
+
+
 def test_entry(spark, duck):
     assert entry_point.entry(spark).count() == 12
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
